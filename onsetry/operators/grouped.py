@@ -275,6 +275,23 @@ def quantiles(
     return cold.groupBy(*keys).agg(*plain, *rest).select(*order).unionByName(result.select(*order))
 
 
+def framed(df: DataFrame, keys: list[str], pos: str, before: int, after: int, build, chunk: int = 65_536) -> DataFrame:
+    """Window expressions with a bounded row frame over positions 0, 1, 2, ... of a series.
+
+    The series is cut into chunks of positions; rows near a border are copied
+    into the neighbouring chunk, so that a series of any length is worked on by
+    many tasks.  ``build`` gets the ordered window and returns the new columns;
+    their frames may reach ``before`` rows back and ``after`` rows ahead.
+    """
+    own = F.floor(F.col(pos) / chunk)
+    needed = F.array_distinct(F.array(
+        F.floor((F.col(pos) - after) / chunk), own, F.floor((F.col(pos) + before) / chunk)
+    ))
+    tiled = df.withColumn("_own", own).withColumn("_chunk", F.explode(needed))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(pos)
+    return tiled.withColumns(build(w)).where("_own = _chunk").drop("_own", "_chunk")
+
+
 def _whole(df: DataFrame) -> list:
     n = df.count()
     return [n] if n > split_rows(df) else []

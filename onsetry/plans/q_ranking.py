@@ -164,7 +164,7 @@ a AS (SELECT {G}, k, max(n) AS n, max(p) AS p, max(n) - max(p) AS q, least(k, ma
   sum(CASE WHEN rank <= k THEN is_soz ELSE 0 END) AS tp,
   sum(CASE WHEN rank <= k THEN is_soz / log2(rank + 1) ELSE 0 END) AS dcg,
   sum(CASE WHEN rank <= k THEN is_soz * hits / rank ELSE 0 END) AS ap
-  FROM h CROSS JOIN ks GROUP BY ALL),
+  FROM h CROSS JOIN ks GROUP BY {G}, k),
 ideals AS (SELECT {G}, k, sum(1 / log2(i + 1)) AS ideal FROM a, range(1, 21) t(i) WHERE i <= least(a.k, a.p) GROUP BY ALL),
 misses AS (SELECT {G}, k, exp(sum(ln((q - i) * 1.0 / (n - i)))) AS miss FROM a, range(0, 20) t(i) WHERE i < ke AND ke <= q GROUP BY ALL),
 b AS (SELECT *, 1 - coalesce(miss, 0) AS he, tp * 1.0 / ke AS prec, CASE WHEN q > 0 THEN (ke - tp) * 1.0 / q END AS fp, p * 1.0 / n AS pe,

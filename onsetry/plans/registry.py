@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 DIGITS = 6
+NOISE = 9  # a first rounding removes summation noise, so that exact halves round alike
 
 
 def rounded(df: DataFrame) -> DataFrame:
     """Round floating columns for output, and write -0.0 as 0.0."""
     return df.select(
         *[
-            (F.round(F.col(f"`{f.name}`").cast("double"), DIGITS) + F.lit(0.0)).alias(f.name)
+            (F.round(F.round(F.col(f"`{f.name}`").cast("double"), NOISE), DIGITS) + F.lit(0.0)).alias(f.name)
             if isinstance(f.dataType, (T.DoubleType, T.FloatType))
             else F.col(f"`{f.name}`")
             for f in df.schema.fields
@@ -25,7 +26,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def r(expr: str, name: str | None = None) -> str:
     """The same rounding in SQL."""
-    sql = f"round(cast({expr} as double), {DIGITS}) + 0.0"
+    sql = f"cast(round(cast({expr} as decimal(38, {NOISE})), {DIGITS}) as double) + 0.0"
     return f"{sql} AS {name or expr}"
 
 
