@@ -280,8 +280,8 @@ def framed(df: DataFrame, keys: list[str], pos: str, before: int, after: int, bu
 
     The series is cut into chunks of positions; rows near a border are copied
     into the neighbouring chunk, so that a series of any length is worked on by
-    many tasks.  ``build`` gets the ordered window and returns the new columns;
-    their frames may reach ``before`` rows back and ``after`` rows ahead.
+    many tasks.  ``build`` gets the ordered window and returns the new columns
+    (a list of such steps if later ones build on earlier ones); together their frames may reach ``before`` rows back and ``after`` rows ahead.
     """
     own = F.floor(F.col(pos) / chunk)
     needed = F.array_distinct(F.array(
@@ -289,7 +289,10 @@ def framed(df: DataFrame, keys: list[str], pos: str, before: int, after: int, bu
     ))
     tiled = df.withColumn("_own", own).withColumn("_chunk", F.explode(needed))
     w = Window.partitionBy(*keys, "_chunk").orderBy(pos)
-    return tiled.withColumns(build(w)).where("_own = _chunk").drop("_own", "_chunk")
+    steps = build(w)
+    for cols in steps if isinstance(steps, list) else [steps]:
+        tiled = tiled.withColumns(cols)
+    return tiled.where("_own = _chunk").drop("_own", "_chunk")
 
 
 def _whole(df: DataFrame) -> list:

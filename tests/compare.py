@@ -24,7 +24,7 @@ def oracle(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def canon(pdf: pd.DataFrame) -> list[tuple]:
     def one(v):
-        if v is None or v is pd.NaT:
+        if v is None or v is pd.NaT or v is pd.NA:
             return "\0"
         if isinstance(v, (list, tuple)) or hasattr(v, "tolist") and getattr(v, "ndim", 0):
             return tuple(one(x) for x in v)
@@ -91,7 +91,7 @@ if __name__ == "__main__":
             else:
                 n, msg = f"{fn(spark, f'/root/testdata/sf{sf}').count()} rows only", None
         except Exception as e:  # noqa: BLE001
-            msg, n = f"{type(e).__name__}: {str(e)[:700]}", ""
+            msg, n = f"{type(e).__name__}: {str(e)[:350]}", ""
         print(f"{'ok  ' if msg is None else 'FAIL'} {name} {time.time() - t:.1f}s {n}", flush=True)
         if msg:
             bad.append(name)
