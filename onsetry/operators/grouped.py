@@ -295,6 +295,22 @@ def framed(df: DataFrame, keys: list[str], pos: str, before: int, after: int, bu
     return tiled.where("_own = _chunk").drop("_own", "_chunk")
 
 
+def average_ranks(df: DataFrame, keys: list[str], value: str, name: str, ties: str | None = None) -> DataFrame:
+    """Ascending rank in the group, equal values sharing the mean of their ranks; nulls get none.
+
+    Values are reduced to distinct ones with counts, ranked by running count and
+    joined back, so ties cost one row.  ``ties`` also keeps the number of equal values.
+    """
+    key = keys or ["_all"]
+    rows = df if keys else df.withColumn("_all", F.lit(0))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count(F.lit(1)).alias("_c"))
+    run = ordered(counts, key, [value], running={"_cum": F.col("_c")})
+    rank = (F.col("_cum") - (F.col("_c") - 1) / 2).alias(name)
+    extra = [F.col("_c").alias(ties)] if ties else []
+    out = rows.join(run.select(*key, value, rank, *extra), [*key, value], "left")
+    return out if keys else out.drop("_all")
+
+
 def _whole(df: DataFrame) -> list:
     n = df.count()
     return [n] if n > split_rows(df) else []

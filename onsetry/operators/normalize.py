@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from onsetry.operators.grouped import hot_groups, ordered, quantiles, with_totals
+from onsetry.operators.grouped import average_ranks, hot_groups, ordered, quantiles, with_totals
 
 MAD_SCALE = 1.4826
 SIGMA_FLOOR = 1e-9
@@ -248,18 +248,10 @@ def standardize(train: DataFrame, apply_to: DataFrame, cols: list[str]) -> DataF
 
 
 def relative_long(long: DataFrame, group: list[str], ident: list[str], feature="feature", value="value") -> DataFrame:
-    """B10 in long form: difference to the group mean, z and average percentile rank.
-
-    Ties are collapsed first: the average rank of a value is the count below it
-    plus (ties + 1) / 2.
-    """
+    """B10 in long form: difference to the group mean, z and average percentile rank."""
     keys = [*group, feature]
-    hot = hot_groups(long, keys)
-    rows = with_totals(long, keys, {"_m": F.avg(value), "_sd": F.stddev_samp(value), "_n": F.count(value)}, hot)
-    counts = long.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    run = ordered(counts, keys, [value], running={"_cum": F.col("_c")}, hot=hot)
-    avg_rank = run.select(*keys, value, (F.col("_cum") - (F.col("_c") - 1) / 2).alias("_r"))
-    out = rows.join(avg_rank, [*keys, value], "left")
+    rows = with_totals(long, keys, {"_m": F.avg(value), "_sd": F.stddev_samp(value), "_n": F.count(value)})
+    out = average_ranks(rows, keys, value, "_r")
     sd = F.nullif(F.col("_sd"), F.lit(0.0))
     return out.select(
         *group, *ident, feature, value,
