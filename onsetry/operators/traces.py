@@ -5,11 +5,10 @@ A trace is a series over positions t = 0, 1, 2, ...; ``keys`` name the trace.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from onsetry.operators.grouped import down, framed, hot_groups, ordered, quantiles, with_totals
+from onsetry.operators.lineage import durable
 
 BCE_EPS = 1e-7
 LOGIT_EPS = 1e-12
@@ -206,14 +205,6 @@ def pool_nodes(df, step: list[str], p="p", node="node_index", att: str | None =
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's checkpoint folder; a local folder only if none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="onsetry-"))
-    return df.checkpoint()
-
-
 def persistent_gate(df, seq: list[str], t="t", node="node_index", p="p", k_max_ratio=0.2, k_new_ratio=0.1,
                     k_max: int | None = None, k_new: int | None = None, alpha_stay=0.8, abs_min=0.0) -> DataFrame:
     """Persistent top-k gate over time.

@@ -196,10 +196,10 @@ def b8(spark, d):
 
 @query("B9_standardize_train", f"""WITH {PANEL}, tr AS (SELECT * FROM panel WHERE patient <> 0) SELECT patient, seizure, electrode, epoch,
  {r('(f_sum - (SELECT avg(f_sum) FROM tr)) / (SELECT stddev_pop(f_sum) FROM tr)', 'f_sum')},
- {r('(f_avg - (SELECT avg(f_avg) FROM tr)) / (SELECT stddev_pop(f_avg) FROM tr)', 'f_avg')} FROM panel WHERE patient = 0""")
+ {r('(f_avg - (SELECT avg(f_avg) FROM tr)) / (SELECT stddev_pop(f_avg) FROM tr)', 'f_avg')} FROM panel""")
 def b9(spark, d):
     p = panel(spark, d)
-    return N.standardize(p.where("patient <> 0"), p.where("patient = 0"), ["f_sum", "f_avg"]).select(
+    return N.standardize(p.where("patient <> 0"), p, ["f_sum", "f_avg"]).select(
         "patient", "seizure", "electrode", "epoch", "f_sum", "f_avg")
 
 

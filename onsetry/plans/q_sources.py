@@ -19,7 +19,7 @@ ROOT = "/data"
 
 def work_dir(spark) -> str:
     """A fresh folder under the cluster's shared checkpoint folder, local only if none is set."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return f"{base or tempfile.mkdtemp(prefix='onsetry-')}/onsetry-{uuid.uuid4().hex}"
 
 
