@@ -145,30 +145,32 @@ def directory_metadata(directory: Column, root: str, folder: str = NODE_FOLDER,
     }
 
 
-def node_file_metadata(name: Column) -> dict[str, Column]:
-    """Patient, phase, recording, epoch and average flag from a node file name."""
-    def part(i: int) -> Column:
-        return F.coalesce(*[_blank_null(F.regexp_extract(name, p, i)) for p in NODE_PATTERNS])
+def _groups(name: Column, pattern: str, n: int) -> Column:
+    """All groups of one match as an array, null without a match; one pass of the pattern."""
+    sep = "\u0001"
+    found = F.split(F.regexp_replace(name, pattern, sep.join(f"${i}" for i in range(1, n + 1))), sep)
+    return F.when(F.size(found) == n, found)
 
-    known = part(1).isNotNull()
-    return {
-        "patient": part(1), "phase": F.lower(part(2)), "seizure": part(3).cast("int"),
-        "epoch": F.when(known, F.coalesce(part(4).cast("int"), F.lit(-1))),
-        "is_avg": F.when(known, part(4).isNull()),
-    }
 
+def node_name_parts(name: Column) -> Column:
+    """Patient, phase, recording and epoch text of a node file name, by the first layout that fits."""
+    return F.coalesce(*[_groups(name, p, 4) for p in NODE_PATTERNS])
 
-def edge_file_metadata(name: Column) -> dict[str, Column]:
-    """S4 for edge files: also the metric."""
-    def part(i: int) -> Column:
-        return _blank_null(F.regexp_extract(name, EDGE_PATTERN, i))
 
-    known = part(1).isNotNull()
-    return {
-        "patient": part(1), "phase": F.lower(part(2)), "seizure": part(3).cast("int"), "feature": F.lower(part(4)),
-        "epoch": F.when(known, F.coalesce(part(5).cast("int"), F.lit(-1))),
-        "is_avg": F.when(known, part(5).isNull()),
-    }
+def edge_name_parts(name: Column) -> Column:
+    """S4 for edge files: patient, phase, recording, metric and epoch text."""
+    return _groups(name, EDGE_PATTERN, 5)
+
+
+def file_metadata(parts: Column, edge: bool = False) -> dict[str, Column]:
+    """Typed columns from the name parts; a name without epoch is an average (-1, true)."""
+    epoch = F.nullif(F.get(parts, 4 if edge else 3), F.lit(""))
+    out = {"patient": F.get(parts, 0), "phase": F.lower(F.get(parts, 1)), "seizure": F.get(parts, 2).cast("int")}
+    if edge:
+        out["feature"] = F.lower(F.get(parts, 3))
+    out["epoch"] = F.when(parts.isNotNull(), F.coalesce(epoch.cast("int"), F.lit(-1)))
+    out["is_avg"] = F.when(parts.isNotNull(), epoch.isNull())
+    return out
 
 
 def ignored_edge_file(name: Column) -> Column:

@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from onsetry.operators.grouped import average_ranks, down, numbered, ordered, pair_blocks, hot_groups, quantiles, with_totals
+from onsetry.operators.grouped import (
+    average_ranks, correlation, down, hot_groups, numbered, ordered, pair_blocks, quantiles, with_totals,
+)
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -198,9 +200,15 @@ def stability(changes, patient: list[str], recording: str, value: str, top_n=10)
     a, b = f"{recording}_a", f"{recording}_b"
     pair = [*patient, a, b]
     shared = recording_pairs(vec, patient, recording)
-    ranked = average_ranks(average_ranks(shared, pair, "v_a", "_ra"), pair, "v_b", "_rb")
-    corr = ranked.groupBy(*pair).agg(F.corr("_ra", "_rb").alias("_c"), F.count(F.lit(1)).alias("_n"))
-    corr = corr.where((F.col("_n") >= 3) & F.col("_c").isNotNull() & ~F.isnan("_c"))
+    # one pair holds at most one row per feature, so a window partition is bounded by the feature list
+    w = Window.partitionBy(*pair)
+
+    def mid_rank(c):
+        return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*pair, c)) - 1) / 2
+
+    ranked = shared.withColumns({"_ra": mid_rank("v_a"), "_rb": mid_rank("v_b")})
+    corr = ranked.groupBy(*pair).agg(correlation("_ra", "_rb").alias("_c"), F.count(F.lit(1)).alias("_n"))
+    corr = corr.where((F.col("_n") >= 3) & F.col("_c").isNotNull())
     stats = quantiles(corr, patient, {"stability_corr_median": ("_c", 0.5)}, {"stability_corr_mean": F.avg("_c")})
     top = numbered(vec.where("v is not null"), [*patient, recording], [down("v"), "feature"], "_r", hot=[]).where(F.col("_r") <= top_n)
     top = with_totals(top.drop("_r"), [*patient, recording], {"_k": F.count(F.lit(1))})
@@ -318,7 +326,7 @@ def correlations(df, by: list[str], x: str, y: str) -> DataFrame:
     ranked = average_ranks(average_ranks(rows, key, x, "_rx"), key, y, "_ry")
     n = F.count(F.lit(1))
     out = ranked.groupBy(*key).agg(
-        n.alias("n"), F.when(n >= 3, F.corr(x, y)).alias("pearson_r"), F.when(n >= 3, F.corr("_rx", "_ry")).alias("spearman_rho"))
+        n.alias("n"), F.when(n >= 3, correlation(x, y)).alias("pearson_r"), F.when(n >= 3, correlation("_rx", "_ry")).alias("spearman_rho"))
     return out if by else out.drop("_all")
 
 

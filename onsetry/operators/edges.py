@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from onsetry.functions import spectral
-from onsetry.operators.grouped import down, hot_groups, numbered, ordered, pair_blocks, quantiles
+from onsetry.operators.grouped import correlation, down, hot_groups, numbered, pair_blocks, quantiles
 
 LAPLACE_EPS = 1e-9
 TRUE_WORDS = ("true", "1", "yes")  # fixed values: accepted spellings of the label
@@ -24,10 +24,10 @@ def channel_pairs(df, window: list[str], channel: str, carry: list[str], on: lis
 def correlation_edges(df, graph: list[str], channel: str, step: str, value: str, min_steps=3) -> DataFrame:
     """Pearson correlation of two channels over shared steps; null below ``min_steps``."""
     pairs = channel_pairs(df, graph, channel, [value], on=[step])
-    corr = F.corr(f"{value}_a", f"{value}_b")
+    corr = correlation(f"{value}_a", f"{value}_b")
     return pairs.groupBy(*graph, F.col(f"{channel}_a").alias("src"), F.col(f"{channel}_b").alias("dst")).agg(
         F.when(F.count(F.lit(1)) >= min_steps, corr).alias("w"), F.count(F.lit(1)).alias("n_steps")
-    ).withColumn("w", F.when(~F.isnan("w"), F.col("w")))
+    )
 
 
 def both_directions(edges: DataFrame, sign: int = 1) -> DataFrame:
@@ -70,7 +70,11 @@ def symmetric_adjacency(directed, graph: list[str]) -> DataFrame:
 
 
 def normalized_laplacian(adjacency, graph: list[str], nodes: DataFrame | None = None) -> DataFrame:
-    """I - D^-1/2 A D^-1/2 with 1e-9 added to the degree; diagonal rows included."""
+    """I - D^-1/2 A D^-1/2 with 1e-9 added to the degree; diagonal rows included.
+
+    Without ``nodes`` the diagonal has every channel with an outgoing edge, which
+    is all of them for a symmetric adjacency.
+    """
     a = adjacency.where("src <> dst").withColumn("w", F.greatest(F.col("w"), F.lit(0.0)))
     deg = a.groupBy(*graph, "src").agg((1 / F.sqrt(F.sum("w") + LAPLACE_EPS)).alias("_d"))
     off = (
@@ -79,8 +83,7 @@ def normalized_laplacian(adjacency, graph: list[str], nodes: DataFrame | None =
         .select(*graph, "src", "dst", (-F.col("_d") * F.col("w") * F.coalesce(F.col("_e"), F.lit(LAPLACE_EPS**-0.5))).alias("w"))
     )
     if nodes is None:
-        ends = a.select(*graph, "src").unionByName(a.select(*graph, F.col("dst").alias("src")))
-        nodes = ends.distinct().withColumnRenamed("src", "node")
+        nodes = deg.withColumnRenamed("src", "node")
     diag = nodes.select(*graph, F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("w"))
     return off.unionByName(diag)
 

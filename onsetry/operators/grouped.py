@@ -295,6 +295,11 @@ def framed(df: DataFrame, keys: list[str], pos: str, before: int, after: int, bu
     return tiled.where("_own = _chunk").drop("_own", "_chunk")
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation of two complete columns; null if one of them is constant."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def average_ranks(df: DataFrame, keys: list[str], value: str, name: str, ties: str | None = None) -> DataFrame:
     """Ascending rank in the group, equal values sharing the mean of their ranks; nulls get none.
 

@@ -37,11 +37,11 @@ def collapse_nodes(df, group=GROUP, score="y_score", node="node_index", label="i
     return df.groupBy(*group, node).agg(*aggs)
 
 
-def top_flags(nodes, fracs=(0.1, 0.2), group=GROUP, score="y_score", node="node_index") -> DataFrame:
+def top_flags(nodes, fracs=(0.1, 0.2), group=GROUP, score="y_score", node="node_index", hot=None) -> DataFrame:
     """Rank, group size, k and an in-top flag per fraction."""
     out = ordered(
         nodes.where(F.col(score).isNotNull()), list(group), [down(score), node],
-        number="rank", totals={"n": F.count(F.lit(1))},
+        number="rank", totals={"n": F.count(F.lit(1))}, hot=hot,
     )
     for f in fracs:
         pct = round(f * 100)
@@ -53,17 +53,18 @@ def top_flags(nodes, fracs=(0.1, 0.2), group=GROUP, score="y_score", node="node_
 
 def group_metrics(
     nodes, group=GROUP, fracs=(0.1, 0.2), score="y_score", label="is_soz", node="node_index", tie=(),
-    brier=False,
+    brier=False, hot=None,
 ) -> DataFrame:
     """Per group: sizes, top-fraction hits, ROC area, mean scores, first positive rank.
 
     Rows are reduced to distinct scores before the area is formed, so tied
-    scores cost one row each.  The area is sum over positives of the negatives
+    scores cost one row each.  ``hot`` may name the large groups of a table the
+    nodes were reduced from: cheaper to count, and a split never changes a result.  The area is sum over positives of the negatives
     below plus half of the tied ones, over positives times negatives.
     """
     g = list(group)
     scored = nodes.where(F.col(score).isNotNull()).withColumn("_y", F.col(label).cast("int"))
-    hot = hot_groups(scored, g)
+    hot = hot_groups(scored, g) if hot is None else hot
     ranked = ordered(
         scored, g, [down(score), node, *tie], number="_rank", totals={"n": F.count(F.lit(1))}, hot=hot
     )
@@ -133,7 +134,8 @@ def with_topk_scores(gm: DataFrame, fracs=(0.1, 0.2), fp_mode="before_last") ->
 def patient_metrics(df, by=("patient",), group=GROUP, fp_mode="before_last", **cols) -> DataFrame:
     """Means over the groups of a patient, skipping undefined values."""
     keys = [*[b for b in by if b not in group], *group]
-    gm = with_topk_scores(group_metrics(collapse_nodes(df, keys, **cols), keys, **cols), fp_mode=fp_mode)
+    hot = hot_groups(df, keys)  # counted on the rows before they are reduced to nodes
+    gm = with_topk_scores(group_metrics(collapse_nodes(df, keys, **cols), keys, **cols, hot=hot), fp_mode=fp_mode)
     return gm.groupBy(*by).agg(*[
         F.avg(c).alias(a) for c, a in [
             ("mean_pos", "mean_score_pos"), ("mean_neg", "mean_score_neg"), ("gap", "confidence_gap"),
@@ -297,7 +299,8 @@ def recording_gap(df, by=("patient",), recording=("patient", "seizure_id"), **co
 def top_gap(df, frac=0.1, by=("patient",), group=("patient", "seizure_id"), suffix="_top10", **cols) -> DataFrame:
     """The same inside the top fraction of each group."""
     pct = round(frac * 100)
-    top = top_flags(collapse_nodes(df, group, **cols), (frac,), group).where(f"in_top{pct}")
+    hot = hot_groups(df, list(group))
+    top = top_flags(collapse_nodes(df, group, **cols), (frac,), group, hot=hot).where(f"in_top{pct}")
     return mean_gap(top, group, by, suffix=suffix)
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from onsetry.operators import ranking as R
 from onsetry.operators import selection as M
-from onsetry.operators.grouped import numbered
+from onsetry.operators.grouped import hot_groups
 from onsetry.plans.bindings import (
     FEATS, GROUP, NODES, PANEL_LONG, PANEL, PRED, RANKED, panel_long, predictions, table,
 )
@@ -53,12 +53,16 @@ GATE = """gate AS (SELECT patient FROM (
  GROUP BY patient HAVING min(c) >= {n})"""
 
 
+def _hot(spark, d):
+    return hot_groups(predictions(spark, d), GROUP)
+
+
 def _nodes(spark, d):
     return R.collapse_nodes(predictions(spark, d))
 
 
 def _ranked(spark, d):
-    return R.rank_rows(_nodes(spark, d))
+    return R.rank_rows(_nodes(spark, d), hot=_hot(spark, d))
 
 
 # ------------------------------------------------------------------- flagship
@@ -69,7 +73,8 @@ m AS (SELECT patient, {PATIENT_COLS} FROM gm GROUP BY patient)
 SELECT * FROM m JOIN rng USING (patient) JOIN gate USING (patient)""")
 def flagship(spark, d):
     preds = M.keep_patients(predictions(spark, d), M.min_positive_gate(predictions(spark, d), 2))
-    gm = R.with_topk_scores(R.group_metrics(R.collapse_nodes(preds)))
+    # large groups are looked for in the plain scan, before the gate and the reduction to nodes
+    gm = R.with_topk_scores(R.group_metrics(R.collapse_nodes(preds), hot=_hot(spark, d)))
     return gm.groupBy("patient").agg(*[
         F.avg(c).alias(a) for c, a in [
             ("mean_pos", "mean_score_pos"), ("mean_neg", "mean_score_neg"), ("gap", "confidence_gap"),
@@ -101,7 +106,7 @@ def r2(spark, d):
 SELECT {G}, node_index, {r('y_score')}, is_soz, rank, n, CAST(k10 AS BIGINT) AS k10, CAST(k20 AS BIGINT) AS k20,
  rank <= k10 AS in_top10, rank <= k20 AS in_top20 FROM f""")
 def r3(spark, d):
-    return R.top_flags(_nodes(spark, d))
+    return R.top_flags(_nodes(spark, d), hot=_hot(spark, d))
 
 
 @query("R4_prf_topk", f"""{BASE}, {gm_sql('nodes')}, c AS (
@@ -110,7 +115,7 @@ SELECT {G}, {r('p10', 'precision10')}, {r('r10', 'recall10')}, {r('f10', 'f1_10'
  {r('r20', 'recall20')}, {r('f20', 'f1_20')}, {r('cp10', 'classic_precision10')},
  {r('CASE WHEN cp10 + r10 > 0 THEN 2 * cp10 * r10 / (cp10 + r10) ELSE 0 END', 'classic_f1_10')} FROM c""")
 def r4(spark, d):
-    gm = R.with_topk_scores(R.group_metrics(_nodes(spark, d)))
+    gm = R.with_topk_scores(R.group_metrics(_nodes(spark, d), hot=_hot(spark, d)))
     classic = R.topk_scores(gm, 10, "classic")
     return gm.select(*GROUP, "precision10", "recall10", "f1_10", "precision20", "recall20", "f1_20",
                      classic["precision10"].alias("classic_precision10"), classic["f1_10"].alias("classic_f1_10"))
@@ -118,7 +123,7 @@ def r4(spark, d):
 
 @query("R5_auc_group", f"{BASE}, {gm_sql('nodes')} SELECT {G}, {r('auc')}, CAST(p AS BIGINT) AS n_pos, CAST(q AS BIGINT) AS n_neg FROM gm")
 def r5(spark, d):
-    return R.group_metrics(_nodes(spark, d), fracs=()).select(*GROUP, "auc", "n_pos", "n_neg")
+    return R.group_metrics(_nodes(spark, d), fracs=(), hot=_hot(spark, d)).select(*GROUP, "auc", "n_pos", "n_neg")
 
 
 @query("R6_patient_metrics", f"{BASE}, {gm_sql('nodes')} SELECT patient, {PATIENT_COLS} FROM gm GROUP BY patient")
@@ -240,7 +245,7 @@ def r13g(spark, d):
 @query("R14_gap_range", f"""{BASE}, {gm_sql('nodes')} SELECT patient, {r('min(mp)', 'min_score_pos')}, {r('min(mn)', 'min_score_neg')},
  {r('min(gap)', 'min_gap')}, {r('max(mp)', 'max_score_pos')}, {r('max(mn)', 'max_score_neg')}, {r('max(gap)', 'max_gap')} FROM gm GROUP BY patient""")
 def r14(spark, d):
-    return R.gap_range(R.group_metrics(_nodes(spark, d), fracs=()))
+    return R.gap_range(R.group_metrics(_nodes(spark, d), fracs=(), hot=_hot(spark, d)))
 
 
 @query("R15_pointwise_gap", f"""WITH {PRED}, m AS (SELECT *, avg(CASE WHEN is_soz = 1 THEN y_score END) OVER w AS mp,
@@ -256,7 +261,7 @@ def r15(spark, d):
 @query("R16_top_scores", f"""{BASE} SELECT {G}, node_index, {r('y_score')}, is_soz FROM ranked
  WHERE rank <= greatest(1, ceil(CAST(0.1 AS DOUBLE) * n))""")
 def r16(spark, d):
-    return R.top_scores(_nodes(spark, d)).select(*GROUP, "node_index", "y_score", "is_soz")
+    return R.top_scores(_nodes(spark, d), hot=_hot(spark, d)).select(*GROUP, "node_index", "y_score", "is_soz")
 
 
 @query("R17_recording_scores", f"""WITH {PRED} SELECT patient, seizure_id, node_index, {r('max(y_score)', 'y_score')},
@@ -268,7 +273,7 @@ def r17(spark, d):
 @query("R18_macro_micro", f"""{BASE}, {gm_sql('nodes')}, p AS (SELECT patient, avg(auc) AS v, count(*) AS w FROM gm GROUP BY patient)
 SELECT {r('avg(v)', 'macro')}, {r('sum(v * w) / sum(CASE WHEN v IS NOT NULL THEN w END)', 'micro')}, count(v) AS n_patients FROM p""")
 def r18(spark, d):
-    per = R.group_metrics(_nodes(spark, d), fracs=()).groupBy("patient").agg(
+    per = R.group_metrics(_nodes(spark, d), fracs=(), hot=_hot(spark, d)).groupBy("patient").agg(
         F.avg("auc").alias("v"), F.count(F.lit(1)).alias("w"))
     return R.macro_micro(per, "v", "w")
 
@@ -276,7 +281,7 @@ def r18(spark, d):
 @query("R19_auc_histogram", f"""{BASE}, {gm_sql('nodes')} SELECT patient,
  CAST(least(greatest(floor((auc - 0) / 0.1::DOUBLE), 0), 9) AS INTEGER) AS bin, count(*) AS n FROM gm WHERE auc IS NOT NULL GROUP BY ALL""")
 def r19(spark, d):
-    return R.histogram(R.group_metrics(_nodes(spark, d), fracs=()), "auc", ["patient"], 0.0, 1.0, 10)
+    return R.histogram(R.group_metrics(_nodes(spark, d), fracs=(), hot=_hot(spark, d)), "auc", ["patient"], 0.0, 1.0, 10)
 
 
 @query("R20_separability", f"""WITH {PANEL}, {PANEL_LONG}, s AS (SELECT patient, seizure, feature,
@@ -357,7 +362,7 @@ rng AS (SELECT patient, {r('min(gap)', 'min_gap')}, {r('max(gap)', 'max_gap')} F
 t AS ({gap_sql('ranked', 'rank <= greatest(1, ceil(CAST(0.1 AS DOUBLE) * n))', G, '_top10')})
 SELECT * FROM m LEFT JOIN rng USING (patient) LEFT JOIN t USING (patient)""")
 def j7(spark, d):
-    gm = R.with_topk_scores(R.group_metrics(_nodes(spark, d)))
+    gm = R.with_topk_scores(R.group_metrics(_nodes(spark, d), hot=_hot(spark, d)))
     return (
         R.patient_metrics(predictions(spark, d))
         .join(R.gap_range(gm).select("patient", "min_gap", "max_gap"), "patient", "left")

@@ -58,9 +58,9 @@ def s2(spark, d):
         F.lit("P"), F.col("patient").cast("string"), F.lit("_"), F.col("phase"), F.lit("_"), F.col("electrode").cast("string"),
         F.when(F.col("epoch") % 7 == 3, "_EDGE_corr_matrix_").when(F.col("electrode") % 2 == 0, "_EDGE_corr_").otherwise("_EDGE_psi1245_"),
         F.when(F.col("epoch") % 5 == 0, "avg_over_epochs").otherwise(F.concat(F.lit("epoch_"), F.col("epoch").cast("string"))), F.lit(".csv"))
-    named = p.select(name.alias("name"))
-    m = X.edge_file_metadata(F.col("name"))
-    return named.where(~X.ignored_edge_file(F.col("name"))).select(*[c.alias(n) for n, c in m.items()])
+    named = p.select(name.alias("name")).where(~X.ignored_edge_file(F.col("name")))
+    m = X.file_metadata(F.col("_parts"), edge=True)
+    return named.withColumn("_parts", X.edge_name_parts(F.col("name"))).select(*[c.alias(n) for n, c in m.items()])
 
 
 @query("S5_value_column", f"WITH {PANEL} SELECT patient, seizure, electrode, epoch, {r('f_avg', 'value')} FROM panel")

@@ -68,11 +68,12 @@ def tag_node_files(df: DataFrame, root: str, path="file_path") -> DataFrame:
     """S3 + S4: directory metadata first, file name second; unmatched names are dropped."""
     p = F.regexp_replace(F.col(path), r"^file:/+", "/")
     d = X.directory_metadata(F.regexp_replace(p, r"/[^/]*$", ""), root)
-    n = X.node_file_metadata(X.file_name(p))
+    df = df.withColumn("_parts", X.node_name_parts(X.file_name(p)))
+    n = X.file_metadata(F.col("_parts"))
     return df.withColumns({
         "dataset": d["dataset"], "outcome": d["outcome"], "phase": F.coalesce(d["phase"], n["phase"]),
         "patient": F.coalesce(d["patient"], n["patient"]), "seizure": n["seizure"], "epoch": n["epoch"], "is_avg": n["is_avg"],
-    }).where("epoch is not null")
+    }).where("_parts is not null").drop("_parts")
 
 
 def collect_node_features(spark, root: str, datasets: list[str], glob="*{znorm,normpre}.csv", schemas: dict | None = None) -> DataFrame:
@@ -115,13 +116,14 @@ def collect_edge_features(spark, root: str, metrics=tuple(EDGE_VALUES)) -> DataF
             continue
         p = F.regexp_replace(F.col("file_path"), r"^file:/+", "/")
         d = X.directory_metadata(F.regexp_replace(p, r"/[^/]*$", ""), root, X.EDGE_FOLDER)
-        n = X.edge_file_metadata(X.file_name(p))
-        frames.append(df.where(~X.ignored_edge_file(X.file_name(p))).select(
+        n = X.file_metadata(F.col("_parts"), edge=True)
+        named = df.withColumn("_parts", X.edge_name_parts(X.file_name(p))).where("_parts is not null")
+        frames.append(named.where(~X.ignored_edge_file(X.file_name(p))).select(
             d["dataset"].alias("dataset"), d["outcome"].alias("outcome"), F.coalesce(d["phase"], n["phase"]).alias("phase"),
             F.coalesce(d["patient"], n["patient"]).alias("patient"), n["seizure"].alias("seizure"), n["epoch"].alias("epoch"),
             n["is_avg"].alias("is_avg"), "source", "target", F.lit(std).alias("feature"),
             finite(value_column(df, aliases)).alias("value"), "file_path",
-        ).where("epoch is not null"))
+        ))
     return union_all(frames)
 
 
