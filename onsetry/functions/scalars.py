@@ -7,6 +7,11 @@ from pyspark.sql import Column, functions as F
 LOGIT_EPS = 1e-12
 
 
+def clip(x: Column, lo: float, hi: float) -> Column:
+    """``x`` held to [lo, hi]; null stays null (greatest and least alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
+
+
 def sigmoid(x: Column) -> Column:
     """1 / (1 + e^-x), written so that neither branch overflows."""
     e = F.exp(-F.abs(x))
@@ -15,7 +20,7 @@ def sigmoid(x: Column) -> Column:
 
 def logit(p: Column, eps: float = LOGIT_EPS) -> Column:
     """Log odds with p clipped to [eps, 1 - eps]."""
-    q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), p))
+    q = clip(p, eps, 1 - eps)
     return F.log(q / (1 - q))
 
 

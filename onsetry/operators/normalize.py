@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from onsetry.functions import scalars
 from onsetry.operators.grouped import average_ranks, hot_groups, ordered, quantiles, with_totals
 
 MAD_SCALE = 1.4826
@@ -117,7 +118,7 @@ def robust_baseline_z(long, channel, phase="phase", value="value", clip: float |
     sigma = F.greatest(F.lit(MAD_SCALE) * F.col("mad"), F.lit(SIGMA_FLOOR))
     z = (F.col(value) - F.col("med")) / sigma
     if clip is not None:
-        z = F.when(z.isNotNull(), F.greatest(F.lit(-clip), F.least(F.lit(clip), z)))
+        z = scalars.clip(z, -clip, clip)
     return long.join(stats, channel, "left").withColumn("z", z).drop("med", "mad")
 
 

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from onsetry.functions.scalars import clip
 from onsetry.operators.grouped import down, framed, hot_groups, ordered, quantiles, with_totals
 from onsetry.operators.lineage import durable
 
 BCE_EPS = 1e-7
-LOGIT_EPS = 1e-12
 
 
 def first_peak(value: str, t="t") -> Column:
@@ -81,7 +81,7 @@ def onset_delay(pred: DataFrame, true: DataFrame, keys) -> DataFrame:
 
 
 def bce(y, p, eps=BCE_EPS) -> Column:
-    q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), p))
+    q = clip(p, eps, 1 - eps)
     return -(y * F.log(q) + (1 - y) * F.log(1 - q))
 
 
@@ -185,7 +185,7 @@ def attention_weights(df, step: list[str], logit="logit") -> DataFrame:
 
 def pool_nodes(df, step: list[str], p="p", node="node_index", att: str | None = None, k_ratio=0.2) -> DataFrame:
     """Mean, max, attention mean, active mean, top-k mean and noisy-or per step."""
-    rows = df.withColumn("_p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(p))))
+    rows = df.where(F.col(p).isNotNull()).withColumn("_p", clip(F.col(p), 0.0, 1.0))
     w = F.greatest(F.lit(0.0), F.col(att)) if att else F.lit(1.0)
     rows = ordered(
         rows.withColumn("_w", w), step, [down("_p"), node],
@@ -193,7 +193,7 @@ def pool_nodes(df, step: list[str], p="p", node="node_index", att: str | None =
     )
     k = F.greatest(F.lit(1), F.ceil(F.lit(k_ratio) * F.col("_n")))
     share = F.col("_w") / (F.col("_ws") + 1e-12) if att else 1 / F.col("_n")
-    term = F.greatest(F.lit(1e-6), F.least(F.lit(1.0), 1 - share * F.col("_p")))
+    term = clip(1 - share * F.col("_p"), 1e-6, 1.0)
     active = F.avg(F.when(F.col("_p") > 0, F.col("_p")))
     weighted = F.sum(F.col("_w") * F.col("_p")) / F.nullif(F.sum("_w"), F.lit(0.0))
     return rows.groupBy(*step).agg(
@@ -215,7 +215,7 @@ def persistent_gate(df, seq: list[str], t="t", node="node_index", p="p", k_max_r
     driver walks the steps; inside a step all sequences and channels are worked
     on together, and only the last step's winners are carried on.
     """
-    clean = df.select(*seq, t, node, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(p))).alias("p"))
+    clean = df.where(F.col(p).isNotNull()).select(*seq, t, node, clip(F.col(p), 0.0, 1.0).alias("p"))
     size = with_totals(clean, [*seq, t], {"_n": F.count(F.lit(1))})
     kmax = F.lit(k_max) if k_max is not None else F.ceil(F.lit(k_max_ratio) * F.col("_n"))
     kmax = F.least(F.greatest(F.lit(1).cast("long"), kmax.cast("long")), F.col("_n"))
@@ -236,7 +236,7 @@ def persistent_gate(df, seq: list[str], t="t", node="node_index", p="p", k_max_r
             was = prev.where("active").select(*seq, node, F.col("p").alias("_before"))
             j = top.join(was, [*seq, node], "left")
             limit = F.greatest(F.lit(alpha_stay) * F.col("_before"), F.lit(abs_min))
-            j = j.withColumn("_stay", F.coalesce(F.col("p") >= limit, F.lit(False)))
+            j = j.withColumn("_stay", F.col("_before").isNotNull() & (F.col("p") >= limit))
             j = ordered(j, [*seq, "_stay"], [down("p"), node], number="_r1", hot=None if hot else [])
             j = with_totals(j, seq, {"_ns": F.sum(F.col("_stay").cast("int"))}, hot)
             room = F.least(F.col("_kn"), F.greatest(F.lit(0), F.col("_k") - F.col("_ns")))

@@ -263,7 +263,7 @@ def _values(spark, d):
 @query("C16_mann_whitney", f"""WITH {DIM}, {SUP}, {RANKS.format(p='patient_key % 2', src='sp')},
 g AS (SELECT patient_key % 2 AS part, CAST(count(*) FILTER (region = 'ASIA') AS DOUBLE) AS n1, CAST(count(*) FILTER (region <> 'ASIA') AS DOUBLE) AS n2,
  sum(rk) FILTER (region = 'ASIA') - count(*) FILTER (region = 'ASIA') * (count(*) FILTER (region = 'ASIA') + 1) / 2.0 AS u, sum(t * t - 1.0) AS ties FROM rk GROUP BY ALL)
-SELECT part, n1, n2, {r('u')}, {r(Z, 'z')} FROM g""")
+SELECT part, n1, n2, {r('CASE WHEN least(n1, n2) >= 2 THEN u END', 'u')}, {r(f'CASE WHEN least(n1, n2) >= 2 THEN {Z} END', 'z')} FROM g""")
 def c16(spark, d):
     v = _values(spark, d).withColumns({"part": F.col("patient_key") % 2, "side": F.when(F.col("region") == "ASIA", "in").otherwise("out")})
     return C.mann_whitney(v, ["part"], "side", "value", "in", "out")
@@ -291,7 +291,7 @@ bo AS (SELECT ga, gb, region = ga AS isa, value FROM pr JOIN sp ON region = ga O
 {RANKS.format(p='ga, gb', src='bo')},
 g AS (SELECT ga, gb, CAST(count(*) FILTER (isa) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT isa) AS DOUBLE) AS n2,
  sum(rk) FILTER (isa) - count(*) FILTER (isa) * (count(*) FILTER (isa) + 1) / 2.0 AS u, sum(t * t - 1.0) AS ties FROM rk GROUP BY ALL),
-z AS (SELECT ga, gb, n1, n2, u, {Z} AS z FROM g)"""
+z AS (SELECT ga, gb, n1, n2, CASE WHEN least(n1, n2) >= 2 THEN u END AS u, CASE WHEN least(n1, n2) >= 2 THEN {Z} END AS z FROM g)"""
 
 
 @query("C19_pairwise_tests", f"WITH {DIM}, {SUP}, {PAIRS} SELECT ga, gb, n1, n2, {r('u')}, {r('z')} FROM z")
@@ -300,7 +300,7 @@ def c19p(spark, d):
 
 
 # any decreasing map of |z| into (0, 1] serves as p in the statement of the correction
-@query("C19_holm", f"""WITH {DIM}, {SUP}, {PAIRS}, p AS (SELECT ga, gb, round(exp(-z), 9) AS p FROM z), o AS (SELECT *, row_number() OVER (ORDER BY p, ga, gb) AS i, count(*) OVER () AS m FROM p)
+@query("C19_holm", f"""WITH {DIM}, {SUP}, {PAIRS}, p AS (SELECT ga, gb, round(exp(-z), 9) AS p FROM z WHERE z IS NOT NULL), o AS (SELECT *, row_number() OVER (ORDER BY p, ga, gb) AS i, count(*) OVER () AS m FROM p)
 SELECT ga, gb, {r('p')}, {r('least(1.0, max((m - i + 1) * p) OVER (ORDER BY i))', 'p_adj')} FROM o""")
 def c19(spark, d):
     t = C.pairwise_mann_whitney(_values(spark, d), "region", "value").withColumn("p", F.round(F.exp(-F.col("z")), 9))
