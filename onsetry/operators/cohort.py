@@ -196,7 +196,8 @@ def stability(changes, patient: list[str], recording: str, value: str, top_n=10)
     Pairs without a common top feature add 0, so only overlapping pairs are formed
     and the number of pairs is counted.
     """
-    vec = recording_vectors(changes, patient, recording, value)
+    # values equal up to summation noise must rank as ties
+    vec = recording_vectors(changes, patient, recording, value).withColumn("v", F.round("v", 12))
     a, b = f"{recording}_a", f"{recording}_b"
     pair = [*patient, a, b]
     shared = recording_pairs(vec, patient, recording)

@@ -32,8 +32,11 @@ def correlation_edges(df, graph: list[str], channel: str, step: str, value: str,
 
 def both_directions(edges: DataFrame, sign: int = 1) -> DataFrame:
     """Each undirected edge in both directions; ``sign`` -1 for antisymmetric measures."""
-    back = edges.withColumns({"src": F.col("dst"), "dst": F.col("src"), "w": sign * F.col("w")})
-    return edges.unionByName(back)
+    fwd = F.struct(F.col("src"), F.col("dst"), F.col("w"))
+    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), (sign * F.col("w")).alias("w"))
+    rest = [c for c in edges.columns if c not in ("src", "dst", "w")]
+    # one pass over the edges: the pair join below is not run twice
+    return edges.select(*rest, F.explode(F.array(fwd, back)).alias("_e")).select(*rest, "_e.*")
 
 
 def coherence_edges(windows, window: list[str], channel: str, sfreq: float, nperseg: int, lo=12.0, hi=45.0) -> DataFrame:

@@ -189,6 +189,8 @@ def _ordered_split(df, keys, fields, number, running, lag, lead, totals, hot) ->
             )
         )
         out = out.drop(*hkeys).join(F.broadcast(tot), _same_keys(keys), "left")
+    # shuffle by key and bucket even where the rows already lie by key: that is what splits the group
+    out = out.repartition(*keys, "_b")
     part = Window.partitionBy(*keys, "_b")
     add: dict[str, Column] = {}
     if fields:
@@ -333,6 +335,10 @@ def pair_blocks(
     (for example a shared time step) to the join.
     """
     on = on or []
+    if blocks == 1:
+        cols = list(dict.fromkeys([ident, *carry]))
+        side = lambda s: df.select(*keys, *on, *[F.col(c).alias(f"{c}_{s}") for c in cols])
+        return side("a").join(side("b"), [*keys, *on]).where(F.col(f"{ident}_a") < F.col(f"{ident}_b"))
     blk = F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int")
     base = df.select(*keys, *on, ident, *[c for c in carry if c != ident]).withColumn("_blk", blk)
     tiles = F.explode(

@@ -177,12 +177,12 @@ def _vectors(spark, d):
         F.concat_ws("_", "feature", F.floor(F.col("epoch") / 6).cast("string")).alias("feature"), F.col("value").alias("v0"))
 
 
-@query("C10_stability", f"""WITH {VEC}, pr AS (SELECT a.patient, a.seizure AS sa, b.seizure AS sb, a.feature, a.v AS va, b.v AS vb FROM vn a JOIN vn b ON a.patient = b.patient AND a.feature = b.feature AND a.seizure < b.seizure),
+@query("C10_stability", f"""WITH {VEC}, vr AS (SELECT patient, seizure, feature, round(v, 12) AS v FROM vn), pr AS (SELECT a.patient, a.seizure AS sa, b.seizure AS sb, a.feature, a.v AS va, b.v AS vb FROM vr a JOIN vr b ON a.patient = b.patient AND a.feature = b.feature AND a.seizure < b.seizure),
 rk AS (SELECT patient, sa, sb, rank() OVER (PARTITION BY patient, sa, sb ORDER BY va) + (count(*) OVER (PARTITION BY patient, sa, sb, va) - 1) / 2.0 AS ra,
  rank() OVER (PARTITION BY patient, sa, sb ORDER BY vb) + (count(*) OVER (PARTITION BY patient, sa, sb, vb) - 1) / 2.0 AS rb FROM pr),
 cc AS (SELECT patient, sa, sb, corr(ra, rb) AS c FROM rk GROUP BY ALL HAVING count(*) >= 3),
 st AS (SELECT patient, avg(c) AS cmean, median(c) AS cmed FROM cc WHERE NOT isnan(c) GROUP BY ALL),
-tp AS (SELECT patient, seizure, list(feature ORDER BY v DESC, feature)[1:3] AS fs FROM vn GROUP BY ALL),
+tp AS (SELECT patient, seizure, list(feature ORDER BY v DESC, feature)[1:3] AS fs FROM vr GROUP BY ALL),
 jc AS (SELECT a.patient, avg(len(list_intersect(a.fs, b.fs)) * 1.0 / len(list_distinct(list_concat(a.fs, b.fs)))) AS j FROM tp a JOIN tp b ON a.patient = b.patient AND a.seizure < b.seizure GROUP BY ALL),
 ns AS (SELECT patient, count(DISTINCT seizure) AS n_seizures FROM vn GROUP BY ALL)
 SELECT patient, n_seizures, {r('cmean', 'stability_corr_mean')}, {r('cmed', 'stability_corr_median')}, {r('j', 'stability_jaccard_mean')} FROM ns LEFT JOIN st USING (patient) LEFT JOIN jc USING (patient)""")
