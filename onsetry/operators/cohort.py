@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from onsetry.operators.grouped import (
-    average_ranks, correlation, down, hot_groups, numbered, ordered, pair_blocks, quantiles, with_totals,
+    MAX_HOT, average_ranks, correlation, down, numbered, ordered, pair_blocks, quantiles, split_rows, with_totals,
 )
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -61,7 +61,8 @@ def feature_scores(long, by: list[str], feature="feature", y="y", zero_rel=0.05,
     rows = long.withColumn("_a", F.abs(y))
     amp = quantiles(rows, [*by, feature], {"_med": ("_a", 0.5)}, {"_n": F.count(y)})
     amp = amp.withColumn("_med", F.when(F.col("_n") >= 3, F.col("_med")))
-    ref = quantiles(amp, by, {"_ref": ("_med", 0.5)}).withColumn("_ref", F.coalesce("_ref", F.lit(0.0)))
+    # a patient has one amplitude per feature, so this group is bounded by the feature list
+    ref = quantiles(amp, by, {"_ref": ("_med", 0.5)}, hot=[]).withColumn("_ref", F.coalesce("_ref", F.lit(0.0)))
     rows = rows.join(ref, by)
     thr = F.greatest(F.lit(zero_abs), zero_rel * F.col("_ref"))
     big = F.col("_a") > thr
@@ -177,17 +178,27 @@ def feature_matrix(changes, rows: list[str], features: list[str], value: str) ->
 
 
 def recording_vectors(changes, patient: list[str], recording: str, value: str, normalize=True) -> DataFrame:
-    """Mean value per recording and feature, optionally divided by the recording's sum."""
+    """Mean value per recording and feature, optionally divided by the recording's sum.
+
+    A vector has one row per feature, so its group is bounded by the feature list.
+    """
     from onsetry.operators.normalize import l1_normalize
 
     v = changes.where(F.col(value).isNotNull()).groupBy(*patient, recording, "feature").agg(F.avg(value).alias("v"))
-    return l1_normalize(v, [*patient, recording], "v") if normalize else v
+    return l1_normalize(v, [*patient, recording], "v", hot=[]) if normalize else v
+
+
+def many_pairs(changes, patient: list[str], recording: str) -> list:
+    """Patients with more recording pairs than one task should hold, counted on the input rows."""
+    n = changes.groupBy(*patient).agg(F.count_distinct(recording).alias("_r"))
+    pairs = n.select(*patient, (F.col("_r") * (F.col("_r") - 1) / 2).cast("long").alias("_n"))
+    return pairs.where(F.col("_n") > split_rows(changes)).orderBy(F.desc("_n")).limit(MAX_HOT).collect()
 
 
-def recording_pairs(vectors, patient: list[str], recording: str) -> DataFrame:
+def recording_pairs(vectors, patient: list[str], recording: str, hot: list | None = None) -> DataFrame:
     """Values of two recordings a < b of a patient on shared features."""
-    blocks = 8 if hot_groups(vectors, patient) else 1
-    return pair_blocks(vectors.where("v is not null"), patient, recording, ["v"], blocks, on=["feature"])
+    hot = many_pairs(vectors, patient, recording) if hot is None else hot
+    return pair_blocks(vectors.where("v is not null"), patient, recording, ["v"], 8 if hot else 1, on=["feature"])
 
 
 def stability(changes, patient: list[str], recording: str, value: str, top_n=10) -> DataFrame:
@@ -200,7 +211,8 @@ def stability(changes, patient: list[str], recording: str, value: str, top_n=10)
     vec = recording_vectors(changes, patient, recording, value).withColumn("v", F.round("v", 12))
     a, b = f"{recording}_a", f"{recording}_b"
     pair = [*patient, a, b]
-    shared = recording_pairs(vec, patient, recording)
+    hot = many_pairs(changes, patient, recording)
+    shared = recording_pairs(vec, patient, recording, hot)
     # one pair holds at most one row per feature, so a window partition is bounded by the feature list
     w = Window.partitionBy(*pair)
 
@@ -210,11 +222,10 @@ def stability(changes, patient: list[str], recording: str, value: str, top_n=10)
     ranked = shared.withColumns({"_ra": mid_rank("v_a"), "_rb": mid_rank("v_b")})
     corr = ranked.groupBy(*pair).agg(correlation("_ra", "_rb").alias("_c"), F.count(F.lit(1)).alias("_n"))
     corr = corr.where((F.col("_n") >= 3) & F.col("_c").isNotNull())
-    stats = quantiles(corr, patient, {"stability_corr_median": ("_c", 0.5)}, {"stability_corr_mean": F.avg("_c")})
+    stats = quantiles(corr, patient, {"stability_corr_median": ("_c", 0.5)}, {"stability_corr_mean": F.avg("_c")}, hot)
     top = numbered(vec.where("v is not null"), [*patient, recording], [down("v"), "feature"], "_r", hot=[]).where(F.col("_r") <= top_n)
-    top = with_totals(top.drop("_r"), [*patient, recording], {"_k": F.count(F.lit(1))})
-    blocks = 8 if hot_groups(top, patient) else 1
-    both = pair_blocks(top, patient, recording, ["_k"], blocks, on=["feature"]).groupBy(*pair).agg(
+    top = with_totals(top.drop("_r"), [*patient, recording], {"_k": F.count(F.lit(1))}, hot=[])  # top_n rows at most
+    both = pair_blocks(top, patient, recording, ["_k"], 8 if hot else 1, on=["feature"]).groupBy(*pair).agg(
         F.count(F.lit(1)).alias("_i"), F.first("_k_a").alias("_ka"), F.first("_k_b").alias("_kb"))
     jac = both.groupBy(*patient).agg(F.sum(F.col("_i") / (F.col("_ka") + F.col("_kb") - F.col("_i"))).alias("_j"))
     size = vec.groupBy(*patient, recording).agg(F.count("v").alias("_f")).groupBy(*patient).agg(
@@ -231,7 +242,7 @@ def patient_profile(changes, patient: list[str], recording: str, value: str, nor
     from onsetry.operators.normalize import l1_normalize
 
     prof = recording_vectors(changes, patient, recording, value).groupBy(*patient, "feature").agg(F.avg("v").alias("v"))
-    return l1_normalize(prof, patient, "v") if normalize_patient else prof
+    return l1_normalize(prof, patient, "v", hot=[]) if normalize_patient else prof
 
 
 def constant_change(changes, patient: list[str], recording: str, value: str, tau_quantile=0.1, eps=EPS) -> DataFrame:

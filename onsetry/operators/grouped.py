@@ -240,7 +240,7 @@ def quantiles(
     plain = [F.percentile(v, p).alias(n) for n, (v, p) in specs.items()]
     rest = [a.alias(n) for n, a in aggs.items()]
     if hot is None:
-        hot = hot_groups(df, keys) if keys else _whole(df)
+        hot = hot_groups(df, keys) if keys else whole_table(df)
     if not hot:
         return df.groupBy(*keys).agg(*plain, *rest)
     if not keys:
@@ -318,7 +318,8 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str, ties: s
     return out if keys else out.drop("_all")
 
 
-def _whole(df: DataFrame) -> list:
+def whole_table(df: DataFrame) -> list:
+    """Non-empty if the table as one group is too large for one task."""
     n = df.count()
     return [n] if n > split_rows(df) else []
 

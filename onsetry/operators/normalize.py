@@ -273,9 +273,9 @@ def relative_features(df, group: list[str], ident: list[str], features: list[str
     return rel.groupBy(*group, *ident).agg(*wide)
 
 
-def l1_normalize(long, vector: list[str], value="value") -> DataFrame:
+def l1_normalize(long, vector: list[str], value="value", hot=None) -> DataFrame:
     """Divide by the sum of the vector; a zero sum gives null."""
-    out = with_totals(long, vector, {"_sum": F.sum(value)})
+    out = with_totals(long, vector, {"_sum": F.sum(value)}, hot)
     return out.withColumn(value, F.col(value) / F.nullif(F.col("_sum"), F.lit(0.0))).drop("_sum")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from onsetry.operators.grouped import down, hot_groups, numbered, ordered, quantiles, with_totals
+from onsetry.operators.grouped import down, hot_groups, numbered, ordered, quantiles, whole_table, with_totals
 
 GROUP = ["patient", "seizure_id", "seq_idx"]
 
@@ -153,6 +153,8 @@ def level_metrics(df, level: list[str], group=GROUP, node="node_index", score="y
     Recall of a group without positives is 1 here.
     """
     keys = [*[c for c in level if c not in group], *group]
+    # rows per level bound the groups per level, and are cheaper to count
+    large = hot_groups(df, level) if level else whole_table(df)
     gm = group_metrics(df, keys, fracs, score, label, node, tie, brier=True)
     add: dict[str, Column] = {}
     for f in fracs:
@@ -174,7 +176,7 @@ def level_metrics(df, level: list[str], group=GROUP, node="node_index", score="y
         "gap_group_max": F.max("gap"),
         "gap_num_groups": F.count("gap"),
     }
-    out = quantiles(gm, level, {"gap_group_median": ("gap", 0.5)}, aggs)
+    out = quantiles(gm, level, {"gap_group_median": ("gap", 0.5)}, aggs, large)
     return out.withColumn("gap_global", F.col("mean_score_pos_global") - F.col("mean_score_neg_global"))
 
 
@@ -237,7 +239,7 @@ def retrieval_summary(df, **kw) -> DataFrame:
 
 
 def first_positive_ranks(ranked, by=("patient",), group=GROUP, label="is_soz", node="node_index",
-                         recording="seizure_id") -> DataFrame:
+                         recording="seizure_id", hot=None) -> DataFrame:
     """Statistics of the best positive rank over a patient's groups."""
     first = ranked.groupBy(*group).agg(
         F.min(F.when(F.col(label) == 1, F.col("rank"))).alias("_r"),
@@ -248,13 +250,13 @@ def first_positive_ranks(ranked, by=("patient",), group=GROUP, label="is_soz", n
         {
             "mean_rank": F.avg("_r"), "num_groups_with_soz": F.count("_r"),
             "num_seizures": F.count_distinct(recording), "max_electrodes": F.max("_nodes"),
-        },
+        }, hot,
     )
     return out.withColumn("iqr_rank", F.col("q75_rank") - F.col("q25_rank"))
 
 
 def all_positive_ranks(ranked, by=("patient",), group=GROUP, label="is_soz", node="node_index",
-                       recording="seizure_id") -> DataFrame:
+                       recording="seizure_id", hot=None) -> DataFrame:
     """Statistics of every positive rank, and group sizes."""
     per_group = ranked.groupBy(*group).agg(
         F.count_distinct(node).alias("_nodes"),
@@ -269,7 +271,7 @@ def all_positive_ranks(ranked, by=("patient",), group=GROUP, label="is_soz", nod
     stats = quantiles(
         ranked.where(F.col(label) == 1), list(by),
         {"median_rank": ("rank", 0.5), "q25_rank": ("rank", 0.25), "q75_rank": ("rank", 0.75)},
-        {"mean_rank": F.avg("rank")},
+        {"mean_rank": F.avg("rank")}, hot,
     ).withColumn("iqr_rank", F.col("q75_rank") - F.col("q25_rank"))
     return sizes.join(stats, list(by), "left")
 

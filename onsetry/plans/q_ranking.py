@@ -57,6 +57,10 @@ def _hot(spark, d):
     return hot_groups(predictions(spark, d), GROUP)
 
 
+def _hot_patients(spark, d):
+    return hot_groups(predictions(spark, d), ["patient"])
+
+
 def _nodes(spark, d):
     return R.collapse_nodes(predictions(spark, d))
 
@@ -197,7 +201,7 @@ def rank_stats_sql(pre=""):
 SELECT patient, {rank_stats_sql()}, count(x) AS num_groups_with_soz, count(DISTINCT seizure_id) AS num_seizures,
  max(e) AS max_electrodes FROM f GROUP BY patient""")
 def r9(spark, d):
-    return R.first_positive_ranks(_ranked(spark, d))
+    return R.first_positive_ranks(_ranked(spark, d), hot=_hot_patients(spark, d))
 
 
 @query("R10_all_positive_ranks", f"""{BASE}, g AS (SELECT {G}, count(DISTINCT node_index) AS e,
@@ -207,7 +211,7 @@ z AS (SELECT patient, count(CASE WHEN s > 0 THEN 1 END) AS num_groups_with_soz,
 x AS (SELECT patient, {rank_stats_sql()} FROM (SELECT patient, CAST(rank AS DOUBLE) AS x FROM ranked WHERE is_soz = 1) GROUP BY patient)
 SELECT * FROM z LEFT JOIN x USING (patient)""")
 def r10(spark, d):
-    return R.all_positive_ranks(_ranked(spark, d))
+    return R.all_positive_ranks(_ranked(spark, d), hot=_hot_patients(spark, d))
 
 
 @query("R11_positive_ranks", f"{BASE} SELECT {G}, node_index, rank FROM ranked WHERE is_soz = 1")
@@ -376,7 +380,7 @@ b AS (SELECT patient, avg(rank) AS all_mean FROM ranked WHERE is_soz = 1 GROUP B
 SELECT patient, {r('first_mean', 'mean_rank_first')}, {r('all_mean', 'mean_rank_all')}, groups_first FROM a JOIN b USING (patient)""")
 def j9(spark, d):
     ranked = _ranked(spark, d)
-    first = R.first_positive_ranks(ranked).select(
+    first = R.first_positive_ranks(ranked, hot=_hot_patients(spark, d)).select(
         "patient", F.col("mean_rank").alias("mean_rank_first"), F.col("num_groups_with_soz").alias("groups_first"))
-    every = R.all_positive_ranks(ranked).select("patient", F.col("mean_rank").alias("mean_rank_all"))
+    every = R.all_positive_ranks(ranked, hot=_hot_patients(spark, d)).select("patient", F.col("mean_rank").alias("mean_rank_all"))
     return first.join(every, "patient")
