@@ -154,7 +154,14 @@ def _groups(name: Column, pattern: str, n: int) -> Column:
 
 def node_name_parts(name: Column) -> Column:
     """Patient, phase, recording and epoch text of a node file name, by the first layout that fits."""
-    return F.coalesce(*[_groups(name, p, 4) for p in NODE_PATTERNS])
+    plain, seizure, run = NODE_PATTERNS
+    low = F.lower(name)
+    # the second and third layout are costly to reject, so a fixed word is looked for first
+    return F.coalesce(
+        _groups(name, plain, 4),
+        F.when(F.contains(low, F.lit("seizure")), _groups(name, seizure, 4)),
+        F.when(F.contains(low, F.lit("run-")), _groups(name, run, 4)),
+    )
 
 
 def edge_name_parts(name: Column) -> Column:
