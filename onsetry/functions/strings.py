@@ -125,14 +125,19 @@ def _after(parts: Column, pos: Column) -> Column:
     return F.when((pos > 0) & (pos < F.size(parts)), F.get(parts, pos))
 
 
-def directory_metadata(directory: Column, root: str, folder: str = NODE_FOLDER, skip=("ictal", "preictal")) -> dict[str, Column]:
-    """S3: dataset, outcome, phase and patient by position in the directory path.
+def directory_parts(path: Column, root: str) -> Column:
+    """Folders of a file path below ``root``, as an array; null outside of it."""
+    base = root.rstrip("/") + "/"
+    folder = F.regexp_replace(path, r"/[^/]*$", "")
+    return F.when(F.startswith(folder, F.lit(base)), F.split(F.substring(folder, len(base) + 1, 10_000), "/"))
+
+
+def directory_metadata(parts: Column, folder: str = NODE_FOLDER, skip=("ictal", "preictal")) -> dict[str, Column]:
+    """S3: dataset, outcome, phase and patient by position among the folders.
 
     The dataset is the first part under ``root``; the part after ``sc_fc`` is the
     outcome unless it is a phase; the patient follows the features folder.
     """
-    rel = F.when(F.startswith(directory, F.lit(root.rstrip("/") + "/")), F.substring(directory, len(root.rstrip("/")) + 2, 10_000))
-    parts = F.split(rel, "/")
     cand = _after(parts, F.array_position(parts, "sc_fc"))
     known = F.array_contains(parts, "sc_fc")
     feature_dir = F.get(F.filter(parts, lambda p: p.rlike(folder)), 0)

@@ -67,13 +67,16 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def tag_node_files(df: DataFrame, root: str, path="file_path") -> DataFrame:
     """S3 + S4: directory metadata first, file name second; unmatched names are dropped."""
     p = F.regexp_replace(F.col(path), r"^file:/+", "/")
-    d = X.directory_metadata(F.regexp_replace(p, r"/[^/]*$", ""), root)
-    df = df.withColumn("_parts", X.node_name_parts(X.file_name(p)))
+    # split the path once; the columns below read the arrays
+    df = df.withColumn("_path", p).withColumns({
+        "_dirs": X.directory_parts(F.col("_path"), root), "_parts": X.node_name_parts(X.file_name(F.col("_path"))),
+    })
+    d = X.directory_metadata(F.col("_dirs"))
     n = X.file_metadata(F.col("_parts"))
     return df.withColumns({
         "dataset": d["dataset"], "outcome": d["outcome"], "phase": F.coalesce(d["phase"], n["phase"]),
         "patient": F.coalesce(d["patient"], n["patient"]), "seizure": n["seizure"], "epoch": n["epoch"], "is_avg": n["is_avg"],
-    }).where("_parts is not null").drop("_parts")
+    }).where("_parts is not null").drop("_path", "_dirs", "_parts")
 
 
 def collect_node_features(spark, root: str, datasets: list[str], glob="*{znorm,normpre}.csv", schemas: dict | None = None) -> DataFrame:
@@ -115,7 +118,7 @@ def collect_edge_features(spark, root: str, metrics=tuple(EDGE_VALUES)) -> DataF
         if not {"source", "target"} <= set(df.columns):
             continue
         p = F.regexp_replace(F.col("file_path"), r"^file:/+", "/")
-        d = X.directory_metadata(F.regexp_replace(p, r"/[^/]*$", ""), root, X.EDGE_FOLDER)
+        d = X.directory_metadata(X.directory_parts(p, root), X.EDGE_FOLDER)
         n = X.file_metadata(F.col("_parts"), edge=True)
         named = df.withColumn("_parts", X.edge_name_parts(X.file_name(p))).where("_parts is not null")
         frames.append(named.where(~X.ignored_edge_file(X.file_name(p))).select(
