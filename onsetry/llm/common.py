@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -156,7 +157,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``SLICE_BYTES`` of text, one document at least."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0)).astype(np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64)
     total, at = np.cumsum(size), 0
     while at < batch.num_rows:
         limit = (total[at - 1] if at else 0) + SLICE_BYTES
