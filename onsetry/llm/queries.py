@@ -1,4 +1,4 @@
 """All corpus queries."""
 
-from onsetry.llm import contamination, jaccard, lines, mixing, quality, sharding  # noqa: F401
+from onsetry.llm import contamination, jaccard, lines, mixing, quality, sharding, substrings  # noqa: F401
 from onsetry.llm.registry import ORACLES, QUERIES  # noqa: F401
