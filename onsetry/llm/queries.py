@@ -1,4 +1,4 @@
 """All corpus queries."""
 
-from onsetry.llm import contamination, html_text, jaccard, lines, mixing, quality, secret_scan, sharding, substrings  # noqa: F401
+from onsetry.llm import contamination, html_text, jaccard, lines, mixing, neighbours, quality, secret_scan, sharding, substrings  # noqa: F401
 from onsetry.llm.registry import ORACLES, QUERIES  # noqa: F401
