@@ -131,6 +131,8 @@ class Words:
 
 def gram_hash(values: np.ndarray, n: int) -> np.ndarray:
     """Order-sensitive hash of each run of ``n`` values."""
+    if len(values) < n:
+        return np.zeros(0, np.uint64)
     up, down = powers(STEP, len(values))
     total = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * up[: len(values)], dtype=np.uint64, out=total[1:])

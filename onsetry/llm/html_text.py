@@ -146,6 +146,8 @@ def main_text(html: str | None) -> str:
         return ""
     page = _Page()
     page.feed(html)
+    if page.rawdata.startswith("<!--"):  # a comment that never ends
+        page.rawdata = ""
     page.close()
     page.flush()
     for owner, line, links, n_links in page.blocks:
