@@ -198,7 +198,7 @@ def _ordered_split(df, keys, fields, number, running, lag, lead, totals, hot) ->
         upto = seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         rn = F.row_number().over(seq)
         if number:
-            add[number] = (rn + F.coalesce(F.col("_p_n"), F.lit(0))).cast("int")
+            add[number] = rn + F.coalesce(F.col("_p_n"), F.lit(0))
         for n, c in running.items():
             add[n] = F.coalesce(
                 F.sum(c).over(upto) + F.coalesce(F.col(f"_p_{n}"), F.lit(0)),
@@ -278,23 +278,33 @@ def quantiles(
 
 
 def framed(df: DataFrame, keys: list[str], pos: str, before: int, after: int, build, chunk: int = 65_536) -> DataFrame:
-    """Window expressions with a bounded row frame over positions 0, 1, 2, ... of a series.
-
-    The series is cut into chunks of positions; rows near a border are copied
-    into the neighbouring chunk, so that a series of any length is worked on by
-    many tasks.  ``build`` gets the ordered window and returns the new columns
-    (a list of such steps if later ones build on earlier ones); together their frames may reach ``before`` rows back and ``after`` rows ahead.
+    """Window expressions with a bounded row frame over the rows of a series, in the order of ``pos``.
+
+    Ordinary series are plain window partitions.  Where a series is too large for
+    one task, its rows are numbered and cut into chunks of row numbers; each row is
+    copied to every chunk whose frames reach it, so that many tasks work on the
+    series.  Gaps in ``pos`` and frames longer than a chunk do no harm.  ``build``
+    gets the ordered window and returns the new columns (a list of such steps if
+    later ones build on earlier ones); together their frames may reach ``before``
+    rows back and ``after`` rows ahead.
     """
-    own = F.floor(F.col(pos) / chunk)
-    needed = F.array_distinct(F.array(
-        F.floor((F.col(pos) - after) / chunk), own, F.floor((F.col(pos) + before) / chunk)
-    ))
-    tiled = df.withColumn("_own", own).withColumn("_chunk", F.explode(needed))
-    w = Window.partitionBy(*keys, "_chunk").orderBy(pos)
-    steps = build(w)
-    for cols in steps if isinstance(steps, list) else [steps]:
-        tiled = tiled.withColumns(cols)
-    return tiled.where("_own = _chunk").drop("_own", "_chunk")
+
+    def add(rows: DataFrame, w) -> DataFrame:
+        steps = build(w)
+        for cols in steps if isinstance(steps, list) else [steps]:
+            rows = rows.withColumns(cols)
+        return rows
+
+    hot = hot_groups(df, keys)
+    if not hot:
+        return add(df, Window.partitionBy(*keys).orderBy(pos))
+    chunk = max(chunk, before + after)  # at most three copies of a row
+    at = F.col("_at") - 1
+    rows = ordered(df, keys, [pos], number="_at", hot=hot)
+    needed = F.sequence(F.floor((at - after) / chunk), F.floor((at + before) / chunk))
+    tiled = rows.withColumn("_chunk", F.explode(needed))
+    out = add(tiled, Window.partitionBy(*keys, "_chunk").orderBy(pos))
+    return out.where(F.floor(at / chunk) == F.col("_chunk")).drop("_at", "_chunk")
 
 
 def correlation(x: str, y: str) -> Column:

@@ -5,11 +5,15 @@ A trace is a series over positions t = 0, 1, 2, ...; ``keys`` name the trace.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from onsetry.functions.scalars import clip
-from onsetry.operators.grouped import down, framed, hot_groups, ordered, quantiles, with_totals
-from onsetry.operators.lineage import durable
+from onsetry.operators.grouped import down, framed, hot_groups, ordered, quantiles, split_rows, with_totals
 
 BCE_EPS = 1e-7
 
@@ -97,13 +101,13 @@ def sequence_quality(df, keys, label="y", p="p") -> DataFrame:
     area = ordered(
         df.groupBy(*keys, p).agg(
             F.sum(F.col(label).cast("int")).alias("_p"), F.count(F.lit(1)).alias("_c"),
-            F.sum(bce(F.col(label), F.col(p))).alias("_b"),
+            F.sum(bce(F.col(label), F.col(p))).alias("_loss"),
         ).withColumn("_n", F.col("_c") - F.col("_p")),
         keys, [p], running={"_below": F.col("_n")},
     )
     u = F.sum(F.col("_p") * (F.col("_below") - F.col("_n") / 2))
     return area.groupBy(*keys).agg(
-        (F.sum("_b") / F.sum("_c")).alias("bce"),
+        (F.sum("_loss") / F.sum("_c")).alias("bce"),
         (u / F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0))).alias("auc"),
         F.sum("_c").alias("n_steps"),
     )
@@ -141,16 +145,55 @@ def rise_and_decay(df, keys, t="t", value="value") -> DataFrame:
     )
 
 
+SPECTRUM = ["fft_peak_freq", "fft_energy", "spectral_entropy"]
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in SPECTRUM]))
+def _spectrum(series: pd.Series) -> pd.DataFrame:
+    """Amplitude spectra of whole traces; traces of one length are transformed together."""
+    size = series.map(len).to_numpy()
+    out = np.empty((len(series), 3))
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        x = np.stack(series.iloc[at].to_list())
+        a = np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1))
+        s = a.sum(axis=1, keepdims=True) + 1e-12
+        q = a / s + 1e-12
+        q /= q.sum(axis=1, keepdims=True)
+        # amplitudes equal up to rounding noise count as tied: lowest bin wins
+        peak = np.round(a, 9).argmax(axis=1) / n
+        out[at] = np.stack([peak, (a * a).sum(axis=1), -(q * np.log(q)).sum(axis=1)], axis=1)
+    return pd.DataFrame(out, columns=SPECTRUM)
+
+
 def trace_spectrum(df, keys, t="t", value="value") -> DataFrame:
     """Peak frequency, energy and entropy of the amplitude spectrum of the mean-removed trace.
 
-    Each step adds its cosine and sine part to every bin and the parts are
-    summed by (trace, bin), so the sums are combined before the shuffle and no
-    trace is gathered.  The work per trace is length times bins.
+    The trace is the sequence of its known values.  A trace that fits one task is
+    one array and one fast transform.  Longer ones (above the split limit) are
+    summed by (trace, bin) from rows, combined before the shuffle; that gathers
+    nothing, and its work is length times bins.
     """
-    rows = with_totals(df.where(F.col(value).isNotNull()), keys, {"_n": F.count(F.lit(1)), "_m": F.avg(value)})
+    known = df.where(F.col(value).isNotNull())
+    hot = hot_groups(known, keys)
+    if not hot:
+        return _short_spectrum(known, keys, t, value)
+    rows = ordered(known, keys, [t], number="_i", totals={"_n": F.count(F.lit(1)), "_m": F.avg(value)}, hot=hot)
+    limit = split_rows(df)
+    return _short_spectrum(rows.where(F.col("_n") <= limit), keys, t, value).unionByName(
+        _long_spectrum(rows.where(F.col("_n") > limit), keys, value)
+    )
+
+
+def _short_spectrum(df, keys, t, value) -> DataFrame:
+    series = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(t, F.col(value).cast("double").alias("_v")))).alias("_s"))
+    series = series.where(F.size("_s") >= 3).withColumn("_f", _spectrum(F.col("_s._v")))
+    return series.select(*keys, "_f.*")
+
+
+def _long_spectrum(rows, keys, value) -> DataFrame:
     parts = rows.where("_n >= 3").withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_n") / 2))))
-    angle = 2 * F.pi() * F.col("_k") * F.col(t) / F.col("_n")
+    angle = 2 * F.pi() * F.col("_k") * (F.col("_i") - 1) / F.col("_n")
     c = F.col(value) - F.col("_m")
     bins = parts.groupBy(*keys, "_k").agg(
         F.sum(c * F.cos(angle)).alias("_re"), F.sum(c * F.sin(angle)).alias("_im"), F.first("_n").alias("_n")
@@ -159,7 +202,6 @@ def trace_spectrum(df, keys, t="t", value="value") -> DataFrame:
     tot = with_totals(bins, keys, {"_s": F.sum("_a"), "_bins": F.count(F.lit(1))})
     q = (F.col("_a") / (F.col("_s") + 1e-12) + 1e-12) / (F.col("_s") / (F.col("_s") + 1e-12) + F.col("_bins") * 1e-12)
     return tot.groupBy(*keys).agg(
-        # amplitudes equal up to rounding noise count as tied: lowest bin wins
         (F.max_by("_k", F.struct(F.round("_a", 9), -F.col("_k"))) / F.first("_n")).alias("fft_peak_freq"),
         F.sum(F.col("_a") * F.col("_a")).alias("fft_energy"),
         F.sum(-q * F.log(q)).alias("spectral_entropy"),
@@ -211,44 +253,47 @@ def persistent_gate(df, seq: list[str], t="t", node="node_index", p="p", k_max_r
 
     At each step the former winners stay while p >= max(abs_min, alpha * p of the
     step before), at most K_new others enter, the set is filled to K_max, and the
-    step's top K_max are always in.  This is a true recursion over t, so the
-    driver walks the steps; inside a step all sequences and channels are worked
-    on together, and only the last step's winners are carried on.
+    step's top K_max are always in.  This is a true recursion over t within a
+    sequence: rows stream through in the order of (sequence, t), and only the
+    winners of one step are kept in memory.  Sequences are independent tasks.
     """
-    clean = df.where(F.col(p).isNotNull()).select(*seq, t, node, clip(F.col(p), 0.0, 1.0).alias("p"))
-    size = with_totals(clean, [*seq, t], {"_n": F.count(F.lit(1))})
-    kmax = F.lit(k_max) if k_max is not None else F.ceil(F.lit(k_max_ratio) * F.col("_n"))
-    kmax = F.least(F.greatest(F.lit(1).cast("long"), kmax.cast("long")), F.col("_n"))
-    knew = F.lit(k_new) if k_new is not None else F.ceil(F.lit(k_new_ratio) * F.col("_n"))
-    rows = size.withColumn("_k", kmax).withColumn(
-        "_kn", F.least(F.greatest(F.lit(0).cast("long"), knew.cast("long")), F.col("_k"))
-    )
-    rows = durable(rows)
-    hot = hot_groups(rows.where(F.col(t) == 0), seq)
-    steps = [r[0] for r in rows.select(t).distinct().orderBy(t).collect()]
-    outs, prev = [], None
-    for step in steps:
-        cur = rows.where(F.col(t) == step)
-        top = ordered(cur, seq, [down("p"), node], number="_rank", hot=hot)
-        if prev is None:
-            kept = top.withColumn("_on", F.col("_rank") <= F.col("_k"))
-        else:
-            was = prev.where("active").select(*seq, node, F.col("p").alias("_before"))
-            j = top.join(was, [*seq, node], "left")
-            limit = F.greatest(F.lit(alpha_stay) * F.col("_before"), F.lit(abs_min))
-            j = j.withColumn("_stay", F.col("_before").isNotNull() & (F.col("p") >= limit))
-            j = ordered(j, [*seq, "_stay"], [down("p"), node], number="_r1", hot=None if hot else [])
-            j = with_totals(j, seq, {"_ns": F.sum(F.col("_stay").cast("int"))}, hot)
-            room = F.least(F.col("_kn"), F.greatest(F.lit(0), F.col("_k") - F.col("_ns")))
-            j = j.withColumn("_keep", F.col("_stay") | ((F.col("p") >= abs_min) & (F.col("_r1") <= room)))
-            j = ordered(j, [*seq, "_keep"], [down("p"), node], number="_r2", hot=None if hot else [])
-            j = with_totals(j, seq, {"_nk": F.sum(F.col("_keep").cast("int"))}, hot)
-            fill = F.col("_r2") <= F.greatest(F.lit(0), F.col("_k") - F.col("_nk"))
-            kept = j.withColumn("_on", F.col("_keep") | fill | (F.col("_rank") <= F.col("_k")))
-        gated = F.when(F.col("_on"), F.col("p")).otherwise(0.0)
-        prev = durable(kept.select(*seq, t, node, "p", gated.alias("p_gated"), (gated > 0).alias("active")))
-        outs.append(prev)
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out.drop("p")
+    clean = df.where(F.col(p).isNotNull()).select(*seq, t, node, clip(F.col(p), 0.0, 1.0).cast("double").alias("p"))
+    lined = clean.repartition(*seq).sortWithinPartitions(*seq, t, F.desc("p"), node)
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, last, winners = None, None, {}
+        for frame in itertools.chain(frames, [None]):
+            whole = rest if frame is None else frame if rest is None else pd.concat([rest, frame])
+            if whole is None or not len(whole):
+                continue
+            step = whole[[*seq, t]]
+            start = np.flatnonzero((step != step.shift()).any(axis=1).to_numpy())
+            ends = [*start[1:], len(whole)]
+            if frame is not None:  # the last step may go on in the next frame
+                start, ends, rest = start[:-1], ends[:-1], whole.iloc[start[-1] :]
+            nodes, values, names = whole[node].to_numpy(), whole["p"].to_numpy(), step[seq].to_numpy()
+            out = np.zeros(ends[-1] if len(ends) else 0)
+            for a, b in zip(start, ends):
+                if last is None or tuple(names[a]) != last:
+                    last, winners = tuple(names[a]), None
+                n, x, who = b - a, values[a:b], nodes[a:b]
+                k = min(max(1, int(np.ceil(k_max_ratio * n)) if k_max is None else k_max), n)
+                new = min(max(0, int(np.ceil(k_new_ratio * n)) if k_new is None else k_new), k)
+                on = np.arange(n) < k
+                if winners is not None:
+                    before = np.array([winners.get(w, np.nan) for w in who.tolist()])
+                    keep = x >= np.fmax(alpha_stay * before, abs_min)
+                    keep &= ~np.isnan(before)
+                    enter = np.flatnonzero(~keep)[: min(new, max(0, k - keep.sum()))]
+                    keep[enter] = x[enter] >= abs_min
+                    on[np.flatnonzero(~keep)[: max(0, k - keep.sum())]] = True
+                    on |= keep
+                out[a:b] = np.where(on, x, 0.0)
+                live = out[a:b] > 0
+                winners = dict(zip(who[live].tolist(), x[live].tolist()))
+            done = whole.iloc[: len(out)][[*seq, t, node]]
+            yield done.assign(p_gated=out, active=out > 0)
+
+    kinds = [T.StructField(c, clean.schema[c].dataType) for c in [*seq, t, node]]
+    schema = T.StructType([*kinds, T.StructField("p_gated", T.DoubleType()), T.StructField("active", T.BooleanType())])
+    return lined.mapInPandas(walk, schema)

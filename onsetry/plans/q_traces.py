@@ -107,7 +107,7 @@ def t8(spark, d):
 
 @query("T9_trace_spectrum", f"""WITH {TRACE}, c AS (SELECT *, value - avg(value) OVER (PARTITION BY {KS}) AS v, count(*) OVER (PARTITION BY {KS}) AS n FROM trace),
 b AS (SELECT {K}, k, max(n) AS n, sqrt(pow(sum(v * cos(2 * pi() * k * t / n)), 2) + pow(sum(v * sin(2 * pi() * k * t / n)), 2)) AS a
- FROM c, range(0, 6) r(k) WHERE k <= n // 2 AND n >= 3 GROUP BY {K}, k),
+ FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM c WHERE n >= 3) GROUP BY {K}, k),
 q AS (SELECT *, a / (sum(a) OVER w + 1e-12) + 1e-12 AS q FROM b WINDOW w AS (PARTITION BY {KS})),
 z AS (SELECT *, q / sum(q) OVER (PARTITION BY {KS}) AS z FROM q)
 SELECT {K}, {r("max_by(k / n, round(a, 9) * 1000 - k / 1000000.0)", 'fft_peak_freq')}, {r('sum(a * a)', 'fft_energy')}, {r('sum(-z * ln(z))', 'spectral_entropy')}
@@ -141,7 +141,25 @@ def t13(spark, d):
     return att.select(*STEP, "node_index", "att")
 
 
-@query("T12_persistent_gate")
+# the walk over the steps as a recursive query: a row holds one channel of one step and its gated value
+GATE = "greatest(0.8::DOUBLE * prev.p_gated, 0)"
+
+
+@query("T12_persistent_gate", f"""WITH RECURSIVE {TRACE}, x AS (SELECT patient, seizure_id, t, node_index, greatest(0, least(1, value)) AS p,
+  row_number() OVER (PARTITION BY patient, seizure_id, t ORDER BY value DESC, node_index) AS rk,
+  count(*) OVER (PARTITION BY patient, seizure_id, t) AS n FROM trace),
+y AS (SELECT *, greatest(1, ceil(0.2::DOUBLE * n)) AS k, least(ceil(0.1::DOUBLE * n), greatest(1, ceil(0.2::DOUBLE * n))) AS kn FROM x),
+g AS (SELECT patient, seizure_id, t, node_index, CASE WHEN rk <= k THEN p ELSE 0 END AS p_gated FROM y WHERE t = 0
+ UNION ALL
+ SELECT patient, seizure_id, t, node_index, CASE WHEN keep OR r2 <= k - nk OR rk <= k THEN p ELSE 0 END FROM (
+  SELECT *, sum(keep::INT) OVER (PARTITION BY patient, seizure_id, t) AS nk,
+    row_number() OVER (PARTITION BY patient, seizure_id, t, keep ORDER BY rk) AS r2 FROM (
+   SELECT *, stay OR r1 <= least(kn, greatest(0, k - ns)) AS keep FROM (
+    SELECT *, sum(stay::INT) OVER (PARTITION BY patient, seizure_id, t) AS ns,
+      row_number() OVER (PARTITION BY patient, seizure_id, t, stay ORDER BY rk) AS r1 FROM (
+     SELECT y.*, prev.p_gated > 0 AND y.p >= {GATE} AS stay FROM y JOIN g prev ON y.patient = prev.patient
+      AND y.seizure_id = prev.seizure_id AND y.node_index = prev.node_index AND y.t = prev.t + 1)))))
+SELECT patient, seizure_id, t, node_index, {r('p_gated')}, p_gated > 0 AS active FROM g""")
 def t12(spark, d):
     return T.persistent_gate(traces(spark, d), ["patient", "seizure_id"], p="value")
 

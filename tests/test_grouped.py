@@ -63,11 +63,13 @@ def test_average_ranks(tiny_splits):
     assert got == [(1.0, 1.0), (2.0, 2.0), (3.0, 4.0), (3.0, 4.0), (3.0, 4.0)]
 
 
-@pytest.mark.parametrize("chunk", [5, 7, 100])
-def test_framed_borders(spark, chunk):
-    df = spark.createDataFrame([("a", i, float(i * i % 7)) for i in range(40)], "k string, t int, v double")
-    build = lambda w: {"s": F.sum("v").over(w.rowsBetween(-2, 1)), "l": F.lag("v", 2).over(w)}
-    got = {r.t: (r.s, r.l) for r in G.framed(df, ["k"], "t", 2, 1, build, chunk).collect()}
+@pytest.mark.parametrize("chunk", [1, 5, 7, 100])
+@pytest.mark.parametrize(("before", "after"), [(2, 1), (11, 0), (0, 13)])
+def test_framed_borders(tiny_splits, chunk, before, after):
+    """Frames shorter and longer than a chunk, over positions with gaps."""
+    df = tiny_splits.createDataFrame([("a", i * i % 101 + 200 * i, float(i * i % 7)) for i in range(40)], "k string, t int, v double")
+    build = lambda w: {"s": F.sum("v").over(w.rowsBetween(-before, after)), "l": F.lag("v", before).over(w)}
+    got = {r.t: (r.s, r.l) for r in G.framed(df, ["k"], "t", before, after, build, chunk).collect()}
     w = Window.partitionBy("k").orderBy("t")
     want = {r.t: (r.s, r.l) for r in df.withColumns(build(w)).collect()}
     assert got == want

@@ -10,7 +10,7 @@ SPLIT = [
     "R1_rank", "R3_topk_flags", "R4_prf_topk", "R5_auc_group", "R9_first_positive_rank", "R15_pointwise_gap",
     "B1_robust_baseline_z", "B5_persistent_burst", "B8_group_zscore", "B10_relative_features", "J4_first_ictal",
     "J11_channel_pairs", "E9_node_index", "E11_percentile", "Q1_relative_time", "Q2_sliding_sequences",
-    "Q11_middle_sequences", "T6_T7_trace_summary", "T8_rise_decay", "T11_pool_nodes", "C9_correlations", "C17_kruskal",
+    "Q11_middle_sequences", "T4_sequence_quality", "T6_T7_trace_summary", "T8_rise_decay", "T9_trace_spectrum", "T11_pool_nodes", "C9_correlations", "C17_kruskal",
     "C12_constant_change", "X5_numeric_first_order",
 ]
 ROWS_ONLY = sorted(set(catalog.QUERIES) - set(catalog.ORACLES))
