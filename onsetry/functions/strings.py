@@ -56,7 +56,7 @@ def channel_display(c: Column) -> Column:
 # --------------------------------------------------------------- patient ids
 def patient_number(c: Column) -> Column:
     """First number in the id."""
-    return _blank_null(F.regexp_extract(c, r"(\d+)", 1)).cast("int")
+    return _blank_null(F.regexp_extract(c, r"(\d+)", 1)).try_cast("int")
 
 
 def padded_patient(c: Column) -> Column:
@@ -106,7 +106,7 @@ def numeric_first(c: Column) -> list[Column]:
 
 def node_column(c: Column) -> tuple[Column, Column]:
     """``node_044:NAME`` to index and name."""
-    idx = _blank_null(F.regexp_extract(c, r"^node_(\d+)", 1)).cast("int")
+    idx = _blank_null(F.regexp_extract(c, r"^node_(\d+)", 1)).try_cast("int")
     return idx, _blank_null(F.regexp_extract(c, r"^node_\d+:(.*)$", 1))
 
 
@@ -129,7 +129,7 @@ def directory_parts(path: Column, root: str) -> Column:
     """Folders of a file path below ``root``, as an array; null outside of it."""
     base = root.rstrip("/") + "/"
     folder = F.regexp_replace(path, r"/[^/]*$", "")
-    return F.when(F.startswith(folder, F.lit(base)), F.split(F.substring(folder, len(base) + 1, 10_000), "/"))
+    return F.when(F.startswith(folder, F.lit(base)), F.split(F.substr(folder, F.lit(len(base) + 1)), "/"))
 
 
 def directory_metadata(parts: Column, folder: str = NODE_FOLDER, skip=("ictal", "preictal")) -> dict[str, Column]:
@@ -177,10 +177,10 @@ def edge_name_parts(name: Column) -> Column:
 def file_metadata(parts: Column, edge: bool = False) -> dict[str, Column]:
     """Typed columns from the name parts; a name without epoch is an average (-1, true)."""
     epoch = F.nullif(F.get(parts, 4 if edge else 3), F.lit(""))
-    out = {"patient": F.get(parts, 0), "phase": F.lower(F.get(parts, 1)), "seizure": F.get(parts, 2).cast("int")}
+    out = {"patient": F.get(parts, 0), "phase": F.lower(F.get(parts, 1)), "seizure": F.get(parts, 2).try_cast("int")}
     if edge:
         out["feature"] = F.lower(F.get(parts, 3))
-    out["epoch"] = F.when(parts.isNotNull(), F.coalesce(epoch.cast("int"), F.lit(-1)))
+    out["epoch"] = F.when(parts.isNotNull(), F.coalesce(epoch.try_cast("int"), F.lit(-1)))
     out["is_avg"] = F.when(parts.isNotNull(), epoch.isNull())
     return out
 
@@ -195,7 +195,7 @@ def ignored_edge_file(name: Column) -> Column:
 def series_file(name: Column) -> tuple[Column, Column]:
     """Recording id text and sequence number of ``seiz_<id>_seq_<n>``."""
     pattern = r"^seiz_(.+?)_seq_(\d+)(?:_nodes)?\.[A-Za-z]+$"
-    return _blank_null(F.regexp_extract(name, pattern, 1)), _blank_null(F.regexp_extract(name, pattern, 2)).cast("int")
+    return _blank_null(F.regexp_extract(name, pattern, 1)), _blank_null(F.regexp_extract(name, pattern, 2)).try_cast("int")
 
 
 def experiment_path(path: Column) -> tuple[Column, Column]:

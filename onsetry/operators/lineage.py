@@ -4,13 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder; a local folder only if none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    It is named in ``spark.checkpoint.dir`` (or set on the context, as tests do).  Only in local mode, where there is
+    one machine, a temporary folder serves; a cluster without the setting is an error.
+    """
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="onsetry-")
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="onsetry-"))
+        sc.setCheckpointDir(at)
+    return at
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -1,6 +1,5 @@
 """Queries for layout parsing, sources and sinks (S), names (X) and label joins."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -8,6 +7,7 @@ from pyspark.sql import functions as F
 from onsetry.functions import scalars as SC
 from onsetry.functions import strings as X
 from onsetry.operators import normalize as N
+from onsetry.operators.lineage import shared_dir
 from onsetry.plans.bindings import FEATS, PANEL, PRED, panel, predictions, table
 from onsetry.plans.registry import query, r
 from onsetry.sources import readers as S
@@ -18,9 +18,8 @@ ROOT = "/data"
 
 
 def work_dir(spark) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder, local only if none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base or tempfile.mkdtemp(prefix='onsetry-')}/onsetry-{uuid.uuid4().hex}"
+    """A fresh folder under the cluster's shared checkpoint folder."""
+    return f"{shared_dir(spark)}/onsetry-{uuid.uuid4().hex}"
 
 
 # ------------------------------------------------------------- paths and names
@@ -69,18 +68,18 @@ def s5(spark, d):
     return p.select(*KEYS, F.col(S.value_column(p, S.EDGE_VALUES["coh1245"][0])).alias("value"))
 
 
-KINDS = "kd AS (SELECT DISTINCT 'sub-U' || user_id AS subject, lpad(CAST(extract(day FROM ts) AS VARCHAR), 2, '0') AS run, event_type FROM events WHERE event_type IN ('click', 'view', 'error'))"
+KINDS = "kd AS (SELECT DISTINCT 'sub-U' || user_id AS subject, lpad(CAST(extract(day FROM ts) AS VARCHAR), 2, '0') AS run, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS kind FROM events)"
 
 
 def _paths(spark, d):
-    ev = table(spark, d, "events").where(F.col("event_type").isin("click", "view", "error"))
+    ev = table(spark, d, "events")
     sub = F.concat(F.lit("sub-U"), F.col("user_id").cast("string"))
     end = F.when(F.col("event_type") == "click", "ieeg.edf").when(F.col("event_type") == "view", "events.tsv").otherwise("channels.tsv")
     return ev.select(F.concat(
         F.lit("/bids/"), sub, F.lit("/ieeg/"), sub, F.lit("_task-x_run-"), F.lpad(F.dayofmonth("ts").cast("string"), 2, "0"), F.lit("_"), end).alias("path")).distinct()
 
 
-@query("S6_recording_triplets", f"""WITH {KINDS}, g AS (SELECT subject, run, count(DISTINCT event_type) AS c FROM kd GROUP BY ALL) SELECT subject, run, c = 3 AS complete FROM g""")
+@query("S6_recording_triplets", f"""WITH {KINDS}, g AS (SELECT subject, run, count(DISTINCT kind) AS c FROM kd GROUP BY ALL) SELECT subject, run, c = 3 AS complete FROM g""")
 def s6(spark, d):
     whole, rest = S.recording_triplets(_paths(spark, d))
     return whole.select("subject", "run", F.lit(True).alias("complete")).unionByName(rest.select("subject", "run", F.lit(False).alias("complete")))
@@ -164,7 +163,7 @@ def _wide(spark, d):
 SELECT patient, seizure, electrode, epoch, node_index, electrode_name, {r('value')}, CASE WHEN node_index = 1 THEN electrode % 2 END AS is_soz FROM w""")
 def s14(spark, d):
     raw = panel(spark, d).select("electrode").distinct().select(
-        "electrode", F.lit("1").alias("index"), F.lit("A2x").alias("name"), (F.col("electrode") % 2).cast("string").alias("soz"))
+        "electrode", F.lit("1").alias("electrode_id"), F.lit("A2x").alias("name"), (F.col("electrode") % 2).cast("string").alias("soz"))
     m = S.node_map(raw, ["electrode"])
     return S.wide_to_long(_wide(spark, d), KEYS, m, ["electrode"])
 
@@ -172,7 +171,7 @@ def s14(spark, d):
 @query("S15_node_map", "SELECT CAST(p_partkey AS INTEGER) AS node_index, p_name AS electrode_name, CASE WHEN p_size % 3 <> 0 THEN CAST(p_size % 2 AS INTEGER) END AS is_soz FROM part WHERE p_partkey % 10 <> 0")
 def s15(spark, d):
     raw = table(spark, d, "part").select(
-        F.when(F.col("p_partkey") % 10 == 0, "x").otherwise(F.col("p_partkey").cast("string")).alias("idx"), F.col("p_name").alias("channel"),
+        F.when(F.col("p_partkey") % 10 == 0, "x").otherwise(F.col("p_partkey").cast("string")).alias("electrode_id"), F.col("p_name").alias("electrode_name"),
         F.when(F.col("p_size") % 3 == 0, "").otherwise((F.col("p_size") % 2).cast("string")).alias("is_SOZ"))
     return S.node_map(raw)
 

@@ -1,7 +1,8 @@
 """Readers for the file layouts of recordings, features, edges, series and predictions.
 
 Each reader is one scan over a directory tree; metadata comes from the file path
-as columns.  NaN and infinities become null.
+as columns.  Every CSV file is read by its own header, so files of one tree may
+differ in columns and in their order.  NaN and infinities become null.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ EDGE_VALUES = {
 }
 # fixed values: accepted column names of a node map
 NODE_MAP_NAMES = {
-    "node_index": ("node_index", "index", "idx", "node"),
-    "electrode_name": ("electrode_name", "electrode", "name", "channel"),
-    "is_soz": ("is_SOZ", "is_soz", "soz", "label"),
+    "node_index": ("node_index", "electrode_id"),
+    "electrode_name": ("electrode_name", "name"),
+    "is_soz": ("is_SOZ", "soz"),
 }
 
 
@@ -52,12 +53,40 @@ def clean_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumns({c: F.trim(c) for c in strings})
 
 
-def _csv_tree(spark, root: str, glob: str, schema=None, header=True, **options) -> DataFrame:
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("header", header)
-    reader = reader.options(**options)
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    df = reader.csv(root)
-    return df.select("*", X.file_path().alias("file_path"))
+UNQUOTED = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'  # a separator followed by whole quotes only
+
+
+def csv_files(spark, root: str, glob: str, comment: str | None = None) -> DataFrame:
+    """One row per file: ``file_path``, ``header`` (names) and ``rows`` (arrays of cells).
+
+    Comma, semicolon or tab separate, whichever the header holds most of.  A file is one row, so it is bounded by what a task can hold; trees of any number of files are read in parallel.
+    """
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: (F.trim(x) != "") & (~F.startswith(x, F.lit(comment)) if comment else F.lit(True)))
+    table = files.select(X.file_path().alias("file_path"), lines.alias("_lines"))
+    count = lambda c: F.length(F.regexp_replace(F.coalesce(F.get("_lines", F.lit(0)), F.lit("")), f"[^{c}]", ""))
+    table = table.withColumn("_sep", F.when((count(";") > count(",")) & (count(";") >= count("\t")), ";").when(count("\t") > count(","), "\t").otherwise(","))
+    pattern = F.concat(F.col("_sep"), F.lit(UNQUOTED))
+    cells = F.transform("_lines", lambda x: F.transform(F.split(x, pattern, -1), lambda c: F.regexp_replace(F.trim(c), '^"(.*)"$', "$1")))
+    table = table.select("file_path", cells.alias("_cells"))
+    return table.select("file_path", F.get("_cells", F.lit(0)).alias("header"), F.slice("_cells", F.lit(2), F.greatest(F.size("_cells") - 1, F.lit(0))).alias("rows"))
+
+
+def cell(cells: Column, header: Column, name: str) -> Column:
+    """The cell under ``name``; null if the file has no such column or the line is short."""
+    at = F.array_position(header, name)
+    return F.when(at > 0, F.get(cells, (at - 1).cast("int")))
+
+
+def csv_lines(files: DataFrame, kinds: dict[str, str] | None = None, other: str = "string") -> DataFrame:
+    """All lines, columns matched by name over all headers; ``kinds`` gives types by name, ``other`` that of the rest."""
+    names = sorted(r[0] for r in files.select(F.explode("header")).distinct().collect())  # as many as there are names
+    rows = files.withColumn("_cells", F.explode("rows"))
+    typed = [cell(F.col("_cells"), F.col("header"), n) for n in names]
+    cast = {n: (kinds or {}).get(n, other) for n in names}
+    return rows.select(
+        "file_path", *[(c if cast[n] == "string" else c.try_cast(cast[n])).alias(n) for n, c in zip(names, typed)]
+    )
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -65,7 +94,11 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def tag_node_files(df: DataFrame, root: str, path="file_path") -> DataFrame:
-    """S3 + S4: directory metadata first, file name second; unmatched names are dropped."""
+    """S3 + S4: directory metadata first, file name second; rows of unmatched names are dropped."""
+    return _tagged(df, root, path).where("_parts is not null").drop("_parts")
+
+
+def _tagged(df: DataFrame, root: str, path: str) -> DataFrame:
     p = F.regexp_replace(F.col(path), r"^file:/+", "/")
     # split the path once; the columns below read the arrays
     df = df.withColumn("_path", p).withColumns({
@@ -76,21 +109,20 @@ def tag_node_files(df: DataFrame, root: str, path="file_path") -> DataFrame:
     return df.withColumns({
         "dataset": d["dataset"], "outcome": d["outcome"], "phase": F.coalesce(d["phase"], n["phase"]),
         "patient": F.coalesce(d["patient"], n["patient"]), "seizure": n["seizure"], "epoch": n["epoch"], "is_avg": n["is_avg"],
-    }).where("_parts is not null").drop("_path", "_dirs", "_parts")
+    }).drop("_path", "_dirs")
 
 
-def collect_node_features(spark, root: str, datasets: list[str], glob="*{znorm,normpre}.csv", schemas: dict | None = None) -> DataFrame:
-    """Normalised node files of every dataset, united by column name.
+def collect_node_features(spark, root: str, glob="*{znorm,normpre}.csv", kinds: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Normalised node files, united by column name; and the files whose names do not fit.
 
-    Files of one dataset share their columns; datasets may differ.  The first,
-    unnamed column is the channel.
+    The first, unnamed column is the channel; others are numbers unless ``kinds`` says otherwise.
     """
-    frames = []
-    for name in datasets:
-        df = _csv_tree(spark, f"{root}/{name}", glob, (schemas or {}).get(name))
-        first = df.columns[0]
-        frames.append(nan_to_null(tag_node_files(df.withColumnRenamed(first, "electrode"), root)))
-    return union_all(frames)
+    files = _tagged(csv_files(spark, root, glob), root, "file_path")
+    named = F.concat(F.array(F.lit("electrode")), F.slice("header", F.lit(2), F.greatest(F.size("header") - 1, F.lit(0))))
+    good = files.where("_parts is not null").withColumn("header", named)
+    tags = good.select("file_path", "dataset", "outcome", "phase", "patient", "seizure", "epoch", "is_avg")
+    lines = csv_lines(good, {"electrode": "string", **(kinds or {})}, "double")
+    return nan_to_null(lines.join(tags, "file_path")), files.where("_parts is null").select("file_path")
 
 
 def value_column(df: DataFrame, aliases: list[str], keys=("source", "target")) -> str:
@@ -104,30 +136,44 @@ def value_column(df: DataFrame, aliases: list[str], keys=("source", "target")) -
     return numeric[0]
 
 
-def collect_edge_features(spark, root: str, metrics=tuple(EDGE_VALUES)) -> DataFrame:
-    """Edge files as one long table; matrix, adjacency and Laplacian files are skipped."""
-    frames = []
-    for metric in metrics:
-        aliases, std = EDGE_VALUES[metric]
-        try:
-            df = _csv_tree(spark, root, f"*_EDGE_{metric}_*.csv")
-        except Exception as e:  # a metric without files
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                continue
-            raise
-        if not {"source", "target"} <= set(df.columns):
-            continue
-        p = F.regexp_replace(F.col("file_path"), r"^file:/+", "/")
-        d = X.directory_metadata(X.directory_parts(p, root), X.EDGE_FOLDER)
-        n = X.file_metadata(F.col("_parts"), edge=True)
-        named = df.withColumn("_parts", X.edge_name_parts(X.file_name(p))).where("_parts is not null")
-        frames.append(named.where(~X.ignored_edge_file(X.file_name(p))).select(
-            d["dataset"].alias("dataset"), d["outcome"].alias("outcome"), F.coalesce(d["phase"], n["phase"]).alias("phase"),
-            F.coalesce(d["patient"], n["patient"]).alias("patient"), n["seizure"].alias("seizure"), n["epoch"].alias("epoch"),
-            n["is_avg"].alias("is_avg"), "source", "target", F.lit(std).alias("feature"),
-            finite(value_column(df, aliases)).alias("value"), "file_path",
-        ))
-    return union_all(frames)
+def file_value_position(aliases: list[str], header="header", rows="rows", keys=("source", "target")) -> Column:
+    """S5 per file: position (from 0) of the first alias in the header, else of the first column of numbers."""
+    found = [F.nullif(F.array_position(header, a), F.lit(0)) - 1 for a in aliases]
+    number = lambda c: c.isNull() | (c == "") | c.try_cast("double").isNotNull()
+    free = F.filter(
+        F.sequence(F.lit(0), F.size(header) - 1),
+        lambda i: ~F.get(F.col(header), i).isin(*keys) & F.forall(rows, lambda r: number(F.get(r, i))),
+    )
+    return F.coalesce(*found, F.get(free, F.lit(0))).cast("int")
+
+
+def collect_edge_features(spark, root: str, metrics=tuple(EDGE_VALUES)) -> tuple[DataFrame, DataFrame]:
+    """Edge files as one long table; and the files without end points, values or a fitting name.
+
+    Matrix, adjacency and Laplacian files are no edge files and are passed over.
+    """
+    files = csv_files(spark, root, "*_EDGE_*.csv").where(~X.ignored_edge_file(X.file_name(F.col("file_path"))))
+    p = F.regexp_replace(F.col("file_path"), r"^file:/+", "/")
+    d = X.directory_metadata(X.directory_parts(p, root), X.EDGE_FOLDER)
+    n = X.file_metadata(F.col("_parts"), edge=True)
+    files = files.withColumn("_parts", X.edge_name_parts(X.file_name(p))).withColumn("_metric", n["feature"])
+    files = files.where(F.col("_metric").isin(*metrics) | F.col("_parts").isNull())
+    at, std = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for m in metrics:
+        aliases, name = EDGE_VALUES[m]
+        at = F.when(F.col("_metric") == m, file_value_position(aliases)).otherwise(at)
+        std = F.when(F.col("_metric") == m, name).otherwise(std)
+    files = files.withColumns({"_at": at, "_std": std})
+    ok = F.col("_parts").isNotNull() & F.array_contains("header", "source") & F.array_contains("header", "target") & F.col("_at").isNotNull()
+    rows = files.where(ok).withColumn("_cells", F.explode("rows"))
+    end = lambda k: cell(F.col("_cells"), F.col("header"), k).alias(k)
+    edges = rows.select(
+        d["dataset"].alias("dataset"), d["outcome"].alias("outcome"), F.coalesce(d["phase"], n["phase"]).alias("phase"),
+        F.coalesce(d["patient"], n["patient"]).alias("patient"), n["seizure"].alias("seizure"), n["epoch"].alias("epoch"),
+        n["is_avg"].alias("is_avg"), end("source"), end("target"), F.col("_std").alias("feature"),
+        F.get("_cells", F.col("_at")).try_cast("double").alias("value"), "file_path",
+    )
+    return nan_to_null(edges), files.where(~F.coalesce(ok, F.lit(False))).select("file_path")
 
 
 def list_paths(spark, root: str, glob="*") -> DataFrame:
@@ -182,7 +228,7 @@ def without_bad_channels(recorded: DataFrame, bad: DataFrame, keys: list[str]) -
 def recordings_of_phase(paths: DataFrame, phase: str, path="path") -> DataFrame:
     """Distinct recording numbers named in the file names of a phase."""
     num = F.nullif(F.regexp_extract(X.file_name(F.col(path)), rf"(?i)_{phase}_(\d+)", 1), F.lit(""))
-    return paths.select(num.cast("int").alias("seizure")).where("seizure is not null").distinct()
+    return paths.select(num.try_cast("int").alias("seizure")).where("seizure is not null").distinct()
 
 
 def series_files(paths: DataFrame, path="path") -> DataFrame:
@@ -214,20 +260,31 @@ def wide_to_long(wide: DataFrame, ids: list[str], node_map: DataFrame | None = N
 
 
 def read_series(spark, root: str, glob="seiz_*_seq_*[0-9].csv") -> DataFrame:
-    """Every series file of one layout, comment lines skipped, in long form."""
-    df = _csv_tree(spark, root, glob, comment="#")
+    """Every series file by its own header, comment lines skipped, in long form."""
+    files = csv_files(spark, root, glob, comment="#")
     rec, seq = X.series_file(X.file_name(F.col("file_path")))
-    tagged = df.withColumns({"seizure_id": rec, "seq_idx": seq})
-    return wide_to_long(tagged, ["file_path", "seizure_id", "seq_idx", "t"])
+    rows = files.withColumn("_cells", F.explode("rows"))
+    step = cell(F.col("_cells"), F.col("header"), "t").try_cast("int")
+    pairs = F.explode(F.filter(F.arrays_zip(F.col("header").alias("k"), F.col("_cells").alias("v")), lambda x: F.startswith(F.lower(x["k"]), F.lit("node_"))))
+    long = rows.select("file_path", rec.alias("seizure_id"), seq.alias("seq_idx"), step.alias("t"), pairs.alias("_c"))
+    idx, name = X.node_column(F.col("_c.k"))
+    return nan_to_null(long.select(
+        "file_path", "seizure_id", "seq_idx", "t", idx.alias("node_index"), name.alias("electrode_name"), F.col("_c.v").try_cast("double").alias("value")))
+
 
+def node_map(df: DataFrame, keys: list[str] | None = None, names: dict[str, tuple] | None = None) -> DataFrame:
+    """Node map by accepted column names (``names`` adds others); rows without an index are dropped.
 
-def node_map(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Node map with accepted column names; rows without an index are dropped."""
+    Raises without an index or a name column; a missing label column gives null labels.
+    """
     out: list[Column] = []
-    for std, names in NODE_MAP_NAMES.items():
-        found = next((n for n in names if n in df.columns and n not in (keys or [])), None)
-        c = F.col(found) if found else F.lit(None)
-        out.append((c.cast("string") if std == "electrode_name" else to_int(c.cast("string")).cast("int")).alias(std))
+    for std, accepted in NODE_MAP_NAMES.items():
+        known = [*accepted, *(names or {}).get(std, ())]
+        found = next((n for n in known if n in df.columns and n not in (keys or [])), None)
+        if found is None and std != "is_soz":
+            raise ValueError(f"no column for {std} among {df.columns}; one of {known} is needed")
+        c = F.col(found).cast("string") if found else F.lit(None).cast("string")
+        out.append((c if std == "electrode_name" else to_int(c).try_cast("int")).alias(std))
     return df.select(*(keys or []), *out).where("node_index is not null")
 
 
@@ -248,11 +305,11 @@ def with_outcomes(parts: dict[str, DataFrame], key: str) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("_a") == F.col("_b"), F.col("outcome")).otherwise("unknown")).drop("_a", "_b")
 
 
-def read_predictions(spark, root: str, schema: str | None = None, file="cv_val_predictions_ranked.csv") -> DataFrame:
-    """The prediction files of all runs and experiments in one scan."""
-    df = _csv_tree(spark, root, file, schema)
+def read_predictions(spark, root: str, kinds: dict[str, str] | None = None, file="cv_val_predictions_ranked.csv") -> DataFrame:
+    """The prediction files of all runs and experiments in one scan, each by its own header."""
+    kinds = {"y_score": "double", "is_SOZ": "int", "seq_idx": "int", "node_index": "int", "rank": "int", "fold": "int"} | (kinds or {})
     run, exp = X.experiment_path(F.col("file_path"))
-    return df.withColumns({"run": run, "experiment": exp})
+    return nan_to_null(csv_lines(csv_files(spark, root, file), kinds)).withColumns({"run": run, "experiment": exp})
 
 
 def selected_epochs(manifest: DataFrame, epochs: DataFrame, keys: list[str], ids="selected_epoch_ids", status="status", epoch="epoch") -> DataFrame:

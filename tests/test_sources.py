@@ -1,5 +1,6 @@
 """Readers over CSV trees in the expected layouts."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from onsetry.functions import scalars as SC
@@ -20,7 +21,9 @@ def test_node_tree(spark, tmp_path):
     write(tmp_path, f"{a}/Patient_01_preictal_0_NODEfeatures_epoch_3_raw.csv", ",ll,rms\nA1,9,9\n")
     b = "ds004100/sc_fc/good outcome/ictal/NODE_features_SOZ/sub-HUP1"
     write(tmp_path, f"{b}/sub-HUP1_ictal_run-02_x_NODE_features_epoch_0_normpre.csv", ",ll,kurt\nB+1,3,4\n")
-    df = S.collect_node_features(spark, str(tmp_path), ["CHUM", "ds004100"])
+    write(tmp_path, f"{b}/other_znorm.csv", ",ll\nx,1\n")
+    df, rejected = S.collect_node_features(spark, str(tmp_path))
+    assert [r.file_path.rsplit("/", 1)[1] for r in rejected.collect()] == ["other_znorm.csv"]
     got = {(r.patient, r.electrode, r.epoch): r for r in df.collect()}
     assert set(got) == {("Patient_01", "SEEG A1", 3), ("Patient_01", "A2", 3), ("Patient_01", "A1", -1), ("sub-HUP1", "B+1", 0)}
     r = got["Patient_01", "SEEG A1", 3]
@@ -35,7 +38,14 @@ def test_edge_tree(spark, tmp_path):
     write(tmp_path, f"{a}/Patient_02_ictal_5_EDGE_coh1245_epoch_1.csv", "source,target,coh\nA,B,0.5\nB,A,inf\n")
     write(tmp_path, f"{a}/Patient_02_ictal_5_EDGE_coh1245_matrix_epoch_1.csv", "x,A\nA,1\n")
     write(tmp_path, f"{a}/Patient_02_ictal_5_EDGE_psi1245_epoch_1.csv", "source,target,score\nA,B,-0.25\n")
-    rows = S.collect_edge_features(spark, str(tmp_path)).collect()
+    write(tmp_path, f"{a}/Patient_02_ictal_5_EDGE_corr_epoch_1.csv", "source,target,pearson_r\nA,B,0.9\n")
+    write(tmp_path, f"{a}/Patient_02_ictal_6_EDGE_corr_epoch_1.csv", "target;p_value;r;source\nD;0.01;0.7;C\n")
+    write(tmp_path, f"{a}/Patient_02_ictal_7_EDGE_corr_epoch_1.csv", "from,target,r\nD,C,0.7\n")
+    edges, rejected = S.collect_edge_features(spark, str(tmp_path))
+    assert [r.file_path.rsplit("_EDGE_", 1)[0][-1] for r in rejected.collect()] == ["7"]
+    corr = {(r.source, r.target): (r.value, r.seizure) for r in edges.where("feature = 'pearson_r'").collect()}
+    assert corr == {("A", "B"): (0.9, 5), ("C", "D"): (0.7, 6)}
+    rows = edges.where("feature <> 'pearson_r'").collect()
     got = {(r.source, r.target, r.feature): r.value for r in rows}
     assert got == {("A", "B", "coh_12_45"): 0.5, ("B", "A", "coh_12_45"): None, ("A", "B", "psi_12_45"): -0.25}
     assert {(r.patient, r.seizure, r.epoch, r.phase) for r in rows} == {("Patient_02", 5, 1, "ictal")}
@@ -59,7 +69,10 @@ def test_bounds_need_order_and_finite_values(spark):
 def test_series_with_header_lines(spark, tmp_path):
     write(tmp_path, "P1/series/seiz_0_seq_004.csv", "#patient,P1\n#thr,0.5\nt,p_graph,node_000:A1,node_001:B'2\n0,0.1,0.2,nan\n1,0.3,0.4,0.5\n")
     write(tmp_path, "P1/series/seiz_0_seq_004_nodes.csv", "node_index,electrode_name,is_SOZ\n0,A1,1\n")
+    write(tmp_path, "P2/series/seiz_1_seq_000.csv", "#x\nt;node_000:B9;node_001:B8;node_002:B7\n0;1;2;3\n")
     rows = S.read_series(spark, str(tmp_path)).collect()
+    assert {(r.electrode_name, r.value) for r in rows if r.seizure_id == "1"} == {("B9", 1.0), ("B8", 2.0), ("B7", 3.0)}
+    rows = [r for r in rows if r.seizure_id == "0"]
     got = {(r.seizure_id, r.seq_idx, r.node_index, r.electrode_name, r.t): r.value for r in rows}
     assert got["0", 4, 0, "A1", 1] == 0.4 and got["0", 4, 1, "B'2", 0] is None and len(got) == 4
     lines = spark.read.text(str(tmp_path / "P1/series/seiz_0_seq_004.csv")).withColumn("f", F.lit(1))
@@ -69,9 +82,17 @@ def test_series_with_header_lines(spark, tmp_path):
 
 def test_predictions_are_tagged(spark, tmp_path):
     for run, exp in (("results_1", "exp1"), ("results_2", "exp3")):
-        write(tmp_path, f"{run}/big/{exp}/cv_val_predictions_ranked.csv", "patient,y_score\np,0.5\n")
-    got = {(r.run, r.experiment) for r in S.read_predictions(spark, str(tmp_path)).collect()}
-    assert got == {("results_1", "exp1"), ("results_2", "exp3")}
+        head = "patient,y_score\np,0.5\n" if exp == "exp1" else "y_score,fold,patient\n0.25,3,p\n"
+        write(tmp_path, f"{run}/big/{exp}/cv_val_predictions_ranked.csv", head)
+    got = {(r.run, r.experiment, r.patient, r.y_score, r.fold) for r in S.read_predictions(spark, str(tmp_path)).collect()}
+    assert got == {("results_1", "exp1", "p", 0.5, None), ("results_2", "exp3", "p", 0.25, 3)}
+
+
+def test_node_map_names(spark):
+    df = spark.createDataFrame([("3", "A1"), ("x", "A2")], "electrode_id string, name string")
+    assert [tuple(r) for r in S.node_map(df).collect()] == [(3, "A1", None)]
+    with pytest.raises(ValueError, match="electrode_name"):
+        S.node_map(df.select("electrode_id"))
 
 
 def test_manifest_falls_back_to_all_epochs(spark):
