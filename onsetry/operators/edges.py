@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from onsetry.functions import spectral
-from onsetry.operators.grouped import correlation, down, hot_groups, numbered, pair_blocks, quantiles
+from onsetry.operators.grouped import correlation, down, hot_groups, numbered, pair_blocks, quantiles, split_rows
 
 LAPLACE_EPS = 1e-9
 TRUE_WORDS = ("true", "1", "yes")  # fixed values: accepted spellings of the label
@@ -15,10 +15,18 @@ FALSE_WORDS = ("false", "0", "no")
 OUTCOME_Y = {"good outcome": 1, "bad outcome": 0, "good": 1, "bad": 0}  # fixed values
 
 
+BLOCK_CHANNELS = 2048  # channels of a block; two blocks give the pairs of one task
+
+
 def channel_pairs(df, window: list[str], channel: str, carry: list[str], on: list[str] | None = None) -> DataFrame:
-    """Channel pairs a < b of one window.  A window that is too large is worked on in blocks."""
-    blocks = 8 if hot_groups(df, [*window, *(on or [])]) else 1
-    return pair_blocks(df, window, channel, carry, blocks, on)
+    """Channel pairs a < b of one window; a window is cut into blocks by its number of channels."""
+    size = min(BLOCK_CHANNELS, split_rows(df))
+    group = [*window, *(on or [])]
+    sizes = df.groupBy(*group).count()
+    if (sizes.agg(F.max("count")).first()[0] or 0) <= size:
+        return pair_blocks(df, window, channel, carry, 1, on)
+    blocks = sizes.select(*group, F.ceil(F.col("count") / size).cast("int").alias("_nb"))
+    return pair_blocks(df.join(blocks, group), window, channel, carry, "_nb", on)
 
 
 def correlation_edges(df, graph: list[str], channel: str, step: str, value: str, min_steps=3) -> DataFrame:
@@ -40,10 +48,13 @@ def both_directions(edges: DataFrame, sign: int = 1) -> DataFrame:
 
 
 def coherence_edges(windows, window: list[str], channel: str, sfreq: float, nperseg: int, lo=12.0, hi=45.0) -> DataFrame:
-    """Coherence of every channel pair of a window; the transforms are made once per channel."""
+    """Coherence of every channel pair of a window; the transforms are made once per channel.
+
+    Windows shorter than a segment have no spectrum, so their pairs have weight 0.
+    """
     bins = len(spectral.coherence_bins(sfreq, nperseg, lo, hi))
     spec = windows.select(*window, channel, spectral.segment_transforms(sfreq, nperseg, lo, hi).alias("z"))
-    pairs = channel_pairs(spec.where("z is not null"), window, channel, ["z"])
+    pairs = channel_pairs(spec, window, channel, ["z"])
     return pairs.select(
         *window, F.col(f"{channel}_a").alias("src"), F.col(f"{channel}_b").alias("dst"),
         spectral.coherence("z_a", "z_b", bins).alias("w"),
@@ -51,14 +62,15 @@ def coherence_edges(windows, window: list[str], channel: str, sfreq: float, nper
 
 
 def phase_slope_edges(windows, window: list[str], channel: str, sfreq: float, size: int, lo=12.0, hi=45.0) -> DataFrame:
-    """Phase-slope index src -> dst for a < b; the reverse edge is its negative."""
+    """Phase-slope index of every directed edge; the reverse of an edge is its negative."""
     _, sel = spectral.multitaper_bins(size, sfreq, lo, hi)
     spec = windows.select(*window, channel, spectral.taper_transforms(sfreq, lo, hi).alias("z"))
     pairs = channel_pairs(spec, window, channel, ["z"])
-    return pairs.select(
+    one = pairs.select(
         *window, F.col(f"{channel}_a").alias("src"), F.col(f"{channel}_b").alias("dst"),
         spectral.phase_slope("z_a", "z_b", len(sel)).alias("w"),
     )
+    return both_directions(one, -1)
 
 
 def average_edges(edges, keys: list[str]) -> DataFrame:
@@ -67,7 +79,11 @@ def average_edges(edges, keys: list[str]) -> DataFrame:
 
 
 def symmetric_adjacency(directed, graph: list[str]) -> DataFrame:
-    """E5: negative weights to 0, then A + A^T, without self loops: a sum over both directions."""
+    """E5: negative weights to 0, then A + A^T, without self loops: a sum over both directions.
+
+    ``directed`` holds every directed edge of an antisymmetric measure (as ``phase_slope_edges`` gives them), so a
+    negative slope counts by its size; an undirected table gives each edge once.
+    """
     pos = directed.where("src <> dst").withColumn("w", F.greatest(F.col("w"), F.lit(0.0)))
     return both_directions(pos.select(*graph, "src", "dst", "w")).groupBy(*graph, "src", "dst").agg(F.sum("w").alias("w"))
 

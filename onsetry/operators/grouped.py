@@ -335,14 +335,14 @@ def whole_table(df: DataFrame) -> list:
 
 
 def pair_blocks(
-    df: DataFrame, keys: list[str], ident: str, carry: list[str], blocks: int = 4,
+    df: DataFrame, keys: list[str], ident: str, carry: list[str], blocks: int | str = 4,
     on: list[str] | None = None,
 ) -> DataFrame:
     """Unordered pairs ``a.ident < b.ident`` of one group, spread over block tasks.
 
     The pairs are the wanted rows (an edge table).  Each member is hashed to one
     of ``blocks`` blocks and sent to the block pairs that need it, so one group is
-    worked on by ``blocks*(blocks+1)/2`` tasks.  ``on`` adds equality columns
+    worked on by ``blocks*(blocks+1)/2`` tasks; a column name gives each group its own number.  ``on`` adds equality columns
     (for example a shared time step) to the join.
     """
     on = on or []
@@ -350,18 +350,19 @@ def pair_blocks(
         cols = list(dict.fromkeys([ident, *carry]))
         side = lambda s: df.select(*keys, *on, *[F.col(c).alias(f"{c}_{s}") for c in cols])
         return side("a").join(side("b"), [*keys, *on]).where(F.col(f"{ident}_a") < F.col(f"{ident}_b"))
-    blk = F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int")
-    base = df.select(*keys, *on, ident, *[c for c in carry if c != ident]).withColumn("_blk", blk)
+    many = F.col(blocks) if isinstance(blocks, str) else F.lit(blocks)
+    blk = F.pmod(F.xxhash64(ident), many).cast("int")
+    base = df.select(*keys, *on, ident, *[c for c in carry if c != ident], many.alias("_many"), blk.alias("_blk"))
     tiles = F.explode(
         F.transform(
-            F.sequence(F.lit(0), F.lit(blocks - 1)),
+            F.sequence(F.lit(0), F.col("_many") - 1),
             lambda j: F.struct(
                 F.least(F.col("_blk"), j).alias("lo"), F.greatest(F.col("_blk"), j).alias("hi")
             ),
         )
     )
     tiled = base.withColumn("_tile", tiles).withColumns({"_lo": F.col("_tile.lo"), "_hi": F.col("_tile.hi")})
-    tiled = tiled.drop("_tile")
+    tiled = tiled.drop("_tile", "_many")
     join_on = [*keys, *on, "_lo", "_hi"]
     left = tiled.select(*join_on, *[F.col(c).alias(f"{c}_a") for c in [ident, *carry, "_blk"] if c in tiled.columns])
     right = tiled.select(*join_on, *[F.col(c).alias(f"{c}_b") for c in [ident, *carry, "_blk"] if c in tiled.columns])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -33,16 +33,15 @@ class Experiment:
     row_share: float = 0.9
     column_share: float = 0.9
     min_leaf: int = 20
-    extra: dict = field(default_factory=dict)
 
 
-# fixed values: the five published configurations
+# fixed values: names and settings of the five published configurations
 EXPERIMENTS = (
-    Experiment("exp1_baseline"),
-    Experiment("exp2_deeper", leaves=127, learning_rate=0.03, rounds=1200),
-    Experiment("exp3_regularised", row_share=0.8, column_share=0.8, min_leaf=40),
-    Experiment("exp4_all_groups", group_zscore=False, groups_with_positive_only=False),
-    Experiment("exp5_small", leaves=31, row_share=0.7, column_share=0.4, min_leaf=60),
+    Experiment("exp1_binary_groupnorm_baseline"),
+    Experiment("exp2_binary_deeper_lowlr", leaves=127, learning_rate=0.03, rounds=1200),
+    Experiment("exp3_binary_more_reg", row_share=0.8, column_share=0.8, min_leaf=40),
+    Experiment("exp4_binary_no_norm_keep_all_groups", group_zscore=False, groups_with_positive_only=False),
+    Experiment("exp5_binary_small_model_heavy_dropout", leaves=31, row_share=0.7, column_share=0.4, min_leaf=60),
 )
 
 
