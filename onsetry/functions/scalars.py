@@ -24,6 +24,16 @@ def logit(p: Column, eps: float = LOGIT_EPS) -> Column:
     return F.log(q / (1 - q))
 
 
+def seeded(*cols: Column | str, seed: int) -> Column:
+    """A text that orders rows in a seeded random way; any engine with MD5 gives the same order."""
+    return F.md5(F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols], F.lit(str(seed))))
+
+
+def seeded_number(*cols: Column | str, seed: int, below: int) -> Column:
+    """A seeded whole number from 0 to ``below`` - 1."""
+    return F.conv(F.substring(seeded(*cols, seed=seed), 1, 7), 16, 10).cast("long") % below
+
+
 def to_int(text: Column) -> Column:
     """X11: integer or null; decimal text is truncated."""
     return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))

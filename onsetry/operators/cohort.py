@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from onsetry.functions.scalars import seeded
 from onsetry.operators.grouped import (
-    MAX_HOT, average_ranks, correlation, down, numbered, ordered, pair_blocks, quantiles, split_rows, with_totals,
+    MOST, average_ranks, correlation, down, numbered, ordered, pair_blocks, quantiles, split_rows, with_totals,
 )
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -192,7 +193,7 @@ def many_pairs(changes, patient: list[str], recording: str) -> list:
     """Patients with more recording pairs than one task should hold, counted on the input rows."""
     n = changes.groupBy(*patient).agg(F.count_distinct(recording).alias("_r"))
     pairs = n.select(*patient, (F.col("_r") * (F.col("_r") - 1) / 2).cast("long").alias("_n"))
-    return pairs.where(F.col("_n") > split_rows(changes)).orderBy(F.desc("_n")).limit(MAX_HOT).collect()
+    return pairs.where(F.col("_n") > split_rows(changes)).orderBy(F.desc("_n")).limit(MOST).collect()
 
 
 def recording_pairs(vectors, patient: list[str], recording: str, hot: list | None = None) -> DataFrame:
@@ -440,7 +441,7 @@ def permutation_test(df, ident: str, group: str, value: str, n_perm: int, seed:
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(ident, group, value).withColumn("_k", F.lit(0))
     labels = numbered(rows, ["_k"], [group, ident], "_pos").select("_pos", F.col(group).alias("_g"))
     draws = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    perm = numbered(draws, ["draw"], [F.xxhash64(ident, "draw", F.lit(seed)), ident], "_pos").join(labels, "_pos")
+    perm = numbered(draws, ["draw"], [seeded(ident, "draw", seed=seed), ident], "_pos").join(labels, "_pos")
     obs = rows.select(F.lit(0).alias("draw"), F.col(group).alias("_g"), value)
     both = obs.unionByName(perm.select("draw", "_g", value))
     if statistic == "median_difference":

@@ -7,10 +7,10 @@ fall into order-preserving buckets, each bucket is one window partition, and
 the prefix of the earlier buckets is added back.  The split changes the task
 layout only, never a result.  Without such a group the plan is a plain window.
 
-What reaches the driver is bounded: at most ``MAX_HOT`` groups, and at most
-``MAX_SPLITS`` split points and bucket totals for each of them.  Groups past
-``MAX_HOT`` (each then under 1/MAX_HOT of all rows) keep the ordinary,
-spilling window.
+What reaches the driver is bounded by ``MOST``: so many of the largest groups,
+and about so many split points and bucket totals for all of them together.  A
+group past these holds less than 1/MOST of all rows, a bucket no more than the
+split limit or 1/MOST of the rows, whatever the size of the data.
 """
 
 from __future__ import annotations
@@ -22,8 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 SPLIT_ROWS_CONF = "onsetry.splitRows"
 SPLIT_ROWS = 2_000_000
-MAX_HOT = 1024
-MAX_SPLITS = 512
+MOST = 100_000
 SAMPLES_PER_SPLIT = 32
 
 
@@ -55,7 +54,7 @@ def hot_groups(df: DataFrame, keys: list[str]) -> list:
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > limit)
         .orderBy(F.desc("_n"))
-        .limit(MAX_HOT)
+        .limit(MOST)
         .collect()
     )
 
@@ -65,13 +64,13 @@ def _same_keys(keys: list[str]) -> Column:
 
 
 def _hot_frame(df: DataFrame, keys: list[str], hot: list) -> DataFrame:
-    limit = split_rows(df)
+    limit = max(split_rows(df), sum(r["_n"] for r in hot) // MOST)
     schema = T.StructType(
         [T.StructField(f"_h_{k}", df.schema[k].dataType) for k in keys]
         + [T.StructField("_h_n", T.LongType()), T.StructField("_h_parts", T.IntegerType())]
     )
     rows = [
-        tuple(r[k] for k in keys) + (r["_n"], max(2, min(MAX_SPLITS, ceil(r["_n"] / limit))))
+        tuple(r[k] for k in keys) + (r["_n"], max(2, ceil(r["_n"] / limit)))
         for r in hot
     ]
     return df.sparkSession.createDataFrame(rows, schema)

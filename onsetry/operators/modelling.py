@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from onsetry.functions.scalars import sigmoid
+from onsetry.functions.scalars import seeded, sigmoid
 from onsetry.operators import normalize as N
 from onsetry.operators.grouped import numbered
 from onsetry.operators.lineage import durable
@@ -62,10 +62,9 @@ def leave_one_out(df: DataFrame, patient="patient") -> DataFrame:
 
 def calibration_patients(df: DataFrame, share: float, seed: int, patient="patient") -> DataFrame:
     """M7: a seeded choice of ceil(share * n) patients."""
-    people = df.select(patient).distinct()
-    n = people.count()
-    k = math.ceil(share * n)
-    return people.orderBy(F.xxhash64(patient, F.lit(seed)), patient).limit(k)
+    people = df.select(patient).distinct().withColumn("_k", F.lit(0))
+    k = math.ceil(share * people.count())
+    return numbered(people, ["_k"], [seeded(patient, seed=seed), patient], "_r").where(F.col("_r") <= k).select(patient)
 
 
 def class_weights(df: DataFrame, label="is_soz", name="_w") -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from onsetry.functions.scalars import seeded
 from onsetry.operators.grouped import numbered, ordered, with_totals
 
 SPAN = "array<struct<seq_id:int,lo:int,len:int>>"
@@ -206,7 +207,7 @@ def first_sequences(seqs, rec: list[str], order="seq_id") -> DataFrame:
 
 def random_sequence(seqs, rec: list[str], seed: int, order="seq_id") -> DataFrame:
     """Q13: one seeded choice per recording."""
-    return numbered(seqs, rec, [F.xxhash64(*rec, order, F.lit(seed)), order], "_r", hot=[]).where("_r = 1").drop("_r")
+    return numbered(seqs, rec, [seeded(*rec, order, seed=seed), order], "_r", hot=[]).where("_r = 1").drop("_r")
 
 
 def covering_windows(seq_info: DataFrame, rec: list[str], steps_pre: int, steps_post: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from onsetry.functions.scalars import seeded, seeded_number
 from onsetry.operators.grouped import framed, numbered, quantiles, with_totals
 
 EPS = 1e-12
@@ -85,8 +86,8 @@ def boundary_epochs(df, recording: list[str], k_pre: int, k_ict: int, phase="pha
 def random_epochs(df, recording: list[str], seed: int, lo=20, hi=40, phase="phase", epoch="epoch") -> DataFrame:
     """A seeded draw of between ``lo`` and ``hi`` windows per recording and phase."""
     keys = [*recording, phase]
-    out = numbered(df, keys, [F.xxhash64(*keys, epoch, F.lit(seed)), epoch], "_r", hot=[])
-    k = F.lit(lo) + F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(hi - lo + 1))
+    out = numbered(df, keys, [seeded(*keys, epoch, seed=seed), epoch], "_r", hot=[])
+    k = F.lit(lo) + seeded_number(*keys, seed=seed, below=hi - lo + 1)
     # the constant bound lets Spark cut each group before the shuffle
     return out.where((F.col("_r") <= hi) & (F.col("_r") <= k)).drop("_r")
 

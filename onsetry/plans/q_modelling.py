@@ -23,7 +23,8 @@ def m6(spark, d):
     return M.leave_one_out(p).join(n, "patient").withColumn("n_train", F.lit(p.count()) - F.col("n_val"))
 
 
-@query("M7_calibration_patients")
+@query("M7_calibration_patients", f"""WITH {PRED}, q AS (SELECT DISTINCT patient FROM pred)
+SELECT patient FROM q QUALIFY row_number() OVER (ORDER BY md5(concat_ws('|', patient, 42)), patient) <= ceil(0.1::DOUBLE * (SELECT count(*) FROM q))""")
 def m7(spark, d):
     return M.calibration_patients(predictions(spark, d), 0.1, 42)
 

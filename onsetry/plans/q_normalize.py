@@ -272,7 +272,12 @@ def g5(spark, d):
         "patient", "seizure", "electrode", "phase", "epoch", "f_sum")
 
 
-@query("G6_random_epochs")
+GK = "patient, seizure, electrode, phase"
+
+
+@query("G6_random_epochs", f"""WITH {PANEL} SELECT {GK}, epoch, {r('f_sum')} FROM panel
+QUALIFY row_number() OVER (PARTITION BY {GK} ORDER BY md5(concat_ws('|', {GK}, epoch, 7)), epoch)
+ <= 2 + cast('0x' || substr(md5(concat_ws('|', {GK}, 7)), 1, 7) AS bigint) % 3""")
 def g6(spark, d):
     return S.random_epochs(panel(spark, d), ["patient", "seizure", "electrode"], 7, 2, 4).select(
         "patient", "seizure", "electrode", "phase", "epoch", "f_sum")

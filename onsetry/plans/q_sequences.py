@@ -159,7 +159,8 @@ def q12(spark, d):
     return Q.first_sequences(_seq_keys(spark, d), REC)
 
 
-@query("Q13_random_sequence")
+@query("Q13_random_sequence", f"""{items_sql(SLIDE)}, {SEQ_KEYS} SELECT {RC}, seq_id FROM sk
+QUALIFY row_number() OVER (PARTITION BY {RC} ORDER BY md5(concat_ws('|', {RC}, seq_id, 42)), seq_id) = 1""")
 def q13(spark, d):
     return Q.random_sequence(_seq_keys(spark, d), REC, 42)
 
