@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from onsetry.functions import spectral
 from onsetry.operators.grouped import correlation, down, hot_groups, numbered, pair_blocks, quantiles, split_rows
+from onsetry.operators.lineage import durable
 
 LAPLACE_EPS = 1e-9
 TRUE_WORDS = ("true", "1", "yes")  # fixed values: accepted spellings of the label
@@ -94,7 +95,8 @@ def normalized_laplacian(adjacency, graph: list[str], nodes: DataFrame | None =
     Without ``nodes`` the diagonal has every channel with an outgoing edge, which
     is all of them for a symmetric adjacency.
     """
-    a = adjacency.where("src <> dst").withColumn("w", F.greatest(F.col("w"), F.lit(0.0)))
+    # three branches read the adjacency; what made it is not run for each
+    a = durable(adjacency.where("src <> dst").withColumn("w", F.greatest(F.col("w"), F.lit(0.0))))
     deg = a.groupBy(*graph, "src").agg((1 / F.sqrt(F.sum("w") + LAPLACE_EPS)).alias("_d"))
     off = (
         a.join(deg, [*graph, "src"])

@@ -6,7 +6,9 @@ label columns are parameters.  Equal scores rank by ``node`` ascending.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from onsetry.operators.grouped import down, hot_groups, numbered, ordered, quantiles, whole_table, with_totals
 
@@ -184,13 +186,14 @@ def topk_retrieval(df, ks=(1, 3, 5, 10, 20), group=GROUP, node="node_index", sco
                    label="is_soz", tie=()) -> DataFrame:
     """R8 per group and k: gain, average precision, recall, hit, rates and chance-corrected forms."""
     g = list(group)
-    run = ordered(
-        df.where(F.col(score).isNotNull()).withColumn("_y", F.col(label).cast("int")), g,
-        [down(score), node, *tie], number="_rank", running={"_hits": F.col("_y")},
-        totals={"n": F.count(F.lit(1)), "n_pos": F.sum("_y")},
-    )
-    # only the first max(ks) ranks carry information beyond the totals
-    head = run.where(F.col("_rank") <= max(ks))
+    scored = df.where(F.col(score).isNotNull()).withColumn("_y", F.col(label).cast("int"))
+    totals = scored.groupBy(*[F.col(k).alias(f"_t_{k}") for k in g]).agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("n_pos"))
+    # only the first max(ks) ranks carry information beyond the totals; Spark cuts each group to them before the shuffle
+    order = [down(score), node, *tie]
+    head = numbered(scored, g, order, "_rank", hot=[]).where(F.col("_rank") <= max(ks))
+    head = head.withColumn("_hits", F.sum("_y").over(Window.partitionBy(*g).orderBy("_rank")))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in g])
+    head = head.join(totals, same)
     at_k = head.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("_rank <= k")
     rows = at_k.groupBy(*g, "k").agg(
         F.first("n").alias("n"), F.first("n_pos").alias("n_pos"),

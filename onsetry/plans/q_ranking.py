@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from onsetry.operators import ranking as R
 from onsetry.operators import selection as M
 from onsetry.operators.grouped import hot_groups
+from onsetry.operators.lineage import durable
 from onsetry.plans.bindings import (
     FEATS, GROUP, NODES, PANEL_LONG, PANEL, PRED, RANKED, panel_long, predictions, table,
 )
@@ -76,9 +77,10 @@ rng AS (SELECT patient, {r('min(mp)', 'min_score_pos')}, {r('min(mn)', 'min_scor
 m AS (SELECT patient, {PATIENT_COLS} FROM gm GROUP BY patient)
 SELECT * FROM m JOIN rng USING (patient) JOIN gate USING (patient)""")
 def flagship(spark, d):
-    preds = M.keep_patients(predictions(spark, d), M.min_positive_gate(predictions(spark, d), 2))
-    # large groups are looked for in the plain scan, before the gate and the reduction to nodes
-    gm = R.with_topk_scores(R.group_metrics(R.collapse_nodes(preds), hot=_hot(spark, d)))
+    # one scan: the gate and the sizes of groups follow from the nodes
+    nodes = durable(_nodes(spark, d))
+    kept = M.keep_patients(nodes, M.min_positive_gate(nodes, 2))
+    gm = R.with_topk_scores(R.group_metrics(kept, hot=hot_groups(nodes, GROUP)))
     return gm.groupBy("patient").agg(*[
         F.avg(c).alias(a) for c, a in [
             ("mean_pos", "mean_score_pos"), ("mean_neg", "mean_score_neg"), ("gap", "confidence_gap"),
