@@ -9,10 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from onsetry.llm.common import NOT_SPACE, Words, components, gram_hash, mix64, slices, stored
+from onsetry.llm.common import NOT_SPACE, Words, bounded, components, gram_hash, mix64, slices, stored
 from onsetry.llm.registry import query, read
 
 SHINGLE, THRESHOLD = 5, Fraction(4, 5)
+SENT_ROWS = 1_000_000  # ids or pairs that may be sent to every task
 
 
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,26 +88,44 @@ def index_lists(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
     return docs.mapInArrow(heads, "token long, id long, f long, need int")
 
 
+SKETCH_WORDS = 16  # 64-bit words of a parity sketch
+
+
+def parity_sketch(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """A bit for each of 1,024 classes of elements: whether the set holds an odd number of them.
+
+    Sketches of two sets differ in no more bits than the sets differ in elements.
+    """
+    h = mix64(value + np.uint64(0x2545F4914F6CDD1D))
+    out = np.zeros((n, SKETCH_WORDS), np.uint64)
+    np.bitwise_xor.at(out, (row, (h & np.uint64(SKETCH_WORDS - 1)).astype(np.int64)), np.uint64(1) << (h >> np.uint64(58)))
+    return out
+
+
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, tokens): the whole shingle set."""
+    """(id, n, tokens, sketch): the whole shingle set, and its parity sketch."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                _, value, n = shingles(part.column("text"), width)
+                row, value, n = shingles(part.column("text"), width)
                 ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                sketch = _signed(parity_sketch(row, value, len(n)).ravel())
+                fixed = pa.array(np.arange(len(n) + 1, dtype=np.int32) * SKETCH_WORDS)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n), pa.ListArray.from_arrays(ends, _signed(value))], ["id", "n", "tokens"]
+                    [part.column("id"), pa.array(n), pa.ListArray.from_arrays(ends, _signed(value)), pa.ListArray.from_arrays(fixed, sketch)],
+                    ["id", "n", "tokens", "sketch"],
                 )
 
-    return docs.mapInArrow(collect, "id long, n long, tokens array<long>")
+    return docs.mapInArrow(collect, "id long, n long, tokens array<long>, sketch array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+    """The pairs (a, b) whose whole sets reach the threshold; only sets that a pair names are moved."""
     one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("o", F.size(F.array_intersect("ta", "tb")).cast("long"))
+    two = two.join(bounded(pairs.select("b").distinct(), SENT_ROWS), "b", "left_semi")
+    both = one.join(bounded(pairs, SENT_ROWS), "a").join(two, "b").withColumn("o", F.size(F.array_intersect("ta", "tb")).cast("long"))
     return both.where(f"o * {t.denominator} >= (na + nb - o) * {t.numerator}").select("a", "b", "na", "nb")
 
 
@@ -123,7 +142,8 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
        prefix, and entries are passed over by size and by position.
     3. Answers from similar sets: in each list the most central set (least far down in its own order) is verified
        first. Sets tied by these links share an answer; only pairs from different components are verified then, so
-       no link between components is lost and none inside is looked for.
+       no link between components is lost and none inside is looked for. Parity sketches, which never differ in more
+       bits than the sets do in elements, rule out most of the others.
 
     Ids must be integers; rows without one are left out of the links and come back with a null component. Rows of one
     id are one document with several texts. No rows give no rows.
@@ -139,7 +159,7 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     reps = stored(classes.join(alive.select(F.col("id").alias("rep"), F.col("f").alias("fa")), ["rep", "fa"]).select("rep", "fa").distinct())
 
     # several rows may carry one id: the digest tells which text stands for the class
-    texts = lean.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    texts = lean.join(bounded(reps.select(F.col("rep").alias("id")).distinct(), SENT_ROWS), "id", "left_semi")
     sets = stored(sets_of(texts, width).where("n > 0").dropDuplicates(["id", "n", "tokens"]))
 
     tokens = sets.select("id", "n", F.explode("tokens").alias("token"))
@@ -163,10 +183,19 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         "token", "id", "n", "pos", F.coalesce("component", "id").alias("comp")
     )
     open_lists = marked.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
-    marked = stored(marked.join(open_lists, "token"))
-    one = marked.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-    two = marked.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
-    rest = one.join(two, "token").where(f"a > b and ca <> cb and {near}").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    heads_of = prefix.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("head"))
+    sketches = sets.groupBy("id").agg(F.count("*").alias("c"), F.first("sketch").alias("sketch"))
+    one_set = F.col("c") == 1  # an id with several texts is spared what follows
+    about = heads_of.join(sketches, "id").select("id", *[F.when(one_set, F.col(x)).alias(x) for x in ("head", "sketch")])
+    marked = stored(marked.join(open_lists, "token").join(about, "id"))
+    one = marked.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("head").alias("ha"), F.col("sketch").alias("sa"))
+    two = marked.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("head").alias("hb"), F.col("sketch").alias("sb"))
+    # a pair comes from one list only, that of its first common element, and only if its sketches are near enough
+    once = "coalesce(array_intersect(ha, hb)[0] = token, true)"
+    bits = "aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
+    alike = f"coalesce({bits} * {den + num} <= (na + nb) * {den - num}, true)"
+    first = one.join(two, "token").where(f"a > b and ca <> cb and {near} and {alike} and {once}")
+    rest = stored(first.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     more = stored(_linked(rest, sets, threshold).select("a", "b"))
 
     answers = components(links.union(more))
