@@ -13,17 +13,19 @@ from onsetry.llm.contamination import decontaminate
 from onsetry.llm.jaccard import similar_sets
 from onsetry.llm.mixing import mix, n_words
 from onsetry.llm.quality import resample
+from onsetry.llm.registry import reachable
 from onsetry.llm.sharding import assign
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards well-labelled text keeps."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = reachable(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return resample(docs, labels).where("kept").select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents tied by links (five-word shingles, similarity 0.8 or more), the one with the smallest id."""
+    reachable(spark)
     first = similar_sets(docs).where("doc_id = component_id").select("doc_id").distinct()
     # a row without an id belongs to no group
     return docs.join(first, "doc_id", "left_semi").union(docs.where("doc_id is null")).select(*docs.columns)
@@ -31,7 +33,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    benchmark = reachable(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate(docs, benchmark).where("not contaminated").select(*docs.columns)
 
 

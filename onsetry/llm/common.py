@@ -40,7 +40,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; beyond that Spark chooses and AQE splits skew."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).take(rows + 1)) <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def hash60(*cols: Column | str, seed: int = 0) -> Column:
