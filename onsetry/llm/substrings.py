@@ -16,18 +16,19 @@ GRAM = 8  # words of an anchor
 
 
 def phrases(w: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Cut texts at anchors: (row, first window, windows, anchor hash, context hash) of every phrase.
+    """Cut texts at anchors: (row, first window, windows, anchor hash, context hash, times) of every phrase.
 
     The anchor of a window is its ``gram`` words with the least hash (the last such place). Windows that follow one
     another with the same anchor are one phrase; its context is all the words of these windows. Equal windows
     have equal anchors, so a window can recur only in phrases of the same anchor; in phrases with the same context,
-    every window recurs.
+    every window recurs. In periodic text each window is a phrase and all are alike: equal phrases in a row are one,
+    ``times`` repeated.
     """
     g, _ = w.grams(gram)
     n, width = len(w.hash) - window + 1, window - gram + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
     value, place, have = g, np.arange(len(g)), 1
     while have < width:
         step = min(have, width - have)
@@ -42,7 +43,12 @@ def phrases(w: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
     many = np.diff(np.append(first, len(at)))
     start, anchor = at[first], place[first]
     context = mix64(span_hash(w.hash, start, start + many + window - 1) + (anchor - start).astype(np.uint64))
-    return w.row[start], start, many, g[anchor], context
+    row, h = w.row[start], g[anchor]
+    new = np.ones(len(start), bool)
+    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1]) | (context[1:] != context[:-1])
+    first = np.flatnonzero(new)
+    many = np.add.reduceat(many, first) if len(first) else many
+    return row[first], start[first], many, h[first], context[first], np.diff(np.append(first, len(new)))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -50,21 +56,21 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def phrase_index(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(h, c, id, k, lo, m): anchor, context, document, first window and number of windows of every phrase."""
+    """(h, c, id, k, lo, m, r): anchor, context, document, first window, number of windows and repetitions of every phrase."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 w = Words(part.column("text"))
-                row, start, many, h, c = phrases(w, window, gram)
+                row, start, many, h, c, times = phrases(w, window, gram)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [_signed(h), _signed(c), part.column("id").take(take), part.column("k").take(take),
-                     pa.array((start - w.first[row]).astype(np.int32)), pa.array(many.astype(np.int32))],
-                    ["h", "c", "id", "k", "lo", "m"],
+                     pa.array((start - w.first[row]).astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(times.astype(np.int32))],
+                    ["h", "c", "id", "k", "lo", "m", "r"],
                 )
 
-    return docs.mapInArrow(cut, "h long, c long, id long, k int, lo int, m int")
+    return docs.mapInArrow(cut, "h long, c long, id long, k int, lo int, m int, r int")
 
 
 def phrase_windows(docs: DataFrame, window: int) -> DataFrame:
@@ -145,9 +151,10 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     id_, k = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-1)), F.hash(F.col(f"`{text}`"))
     lean = docs.select(id_.alias("id"), k.alias("k"), F.col(f"`{text}`").alias("text"))
     index = phrase_index(lean, window, gram)
-    twice = index.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # stored first: a join of two plain shuffles is one that AQE can split where an anchor is common
+    twice = stored(index.groupBy("h").agg(F.sum("r").alias("n")).where("n > 1").select("h"))
     shared = stored(index.join(twice, "h"))
-    classes = stored(shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "k", "lo", "m")).alias("r")))
+    classes = stored(shared.groupBy("h", "c").agg(F.sum("r").alias("n"), F.min(F.struct("id", "k", "lo", "m")).alias("r")))
     whole = shared.join(classes.where("n > 1").select("h", "c"), ["h", "c"]).select("id", "k", "lo", (F.col("lo") + F.col("m") + window - 1).alias("hi"))
 
     several = classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
