@@ -120,8 +120,16 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(collect, "id long, n long, tokens array<long>, sketch array<long>")
 
 
+def _alike(t: Fraction, a: str = "sa", b: str = "sb") -> str:
+    """Sketches ``a`` and ``b`` of sets of ``na`` and ``nb`` elements do not rule the threshold out."""
+    bits = f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
+    return f"coalesce({bits} * {t.denominator + t.numerator} <= (na + nb) * {t.denominator - t.numerator}, true)"
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold; only sets that a pair names are moved."""
+    """The pairs (a, b) whose whole sets reach the threshold; only sets that a likely pair names are moved."""
+    brief = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    pairs = stored(pairs.join(brief("a"), "a").join(brief("b"), "b").where(_alike(t)).select("a", "b").distinct())
     one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     two = two.join(bounded(pairs.select("b").distinct(), SENT_ROWS), "b", "left_semi")
@@ -192,9 +200,7 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     two = marked.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("head").alias("hb"), F.col("sketch").alias("sb"))
     # a pair comes from one list only, that of its first common element, and only if its sketches are near enough
     once = "coalesce(array_intersect(ha, hb)[0] = token, true)"
-    bits = "aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
-    alike = f"coalesce({bits} * {den + num} <= (na + nb) * {den - num}, true)"
-    first = one.join(two, "token").where(f"a > b and ca <> cb and {near} and {alike} and {once}")
+    first = one.join(two, "token").where(f"a > b and ca <> cb and {near} and {once} and {_alike(threshold)}")
     rest = stored(first.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     more = stored(_linked(rest, sets, threshold).select("a", "b"))
 
