@@ -209,7 +209,11 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def query_graphs(graphs: DataFrame, queries: DataFrame, least: float) -> DataFrame:
-    """(a, b, n): for each query and graph the vectors linked (n, b null), and edges that connect them (n null)."""
+    """(a, b, n): numbers of vectors linked (b null), and edges that connect them (n null).
+
+    A link within a shard is met from both sides, and each side counts its own; one between shards is met from the
+    side that queries, which counts for both.
+    """
 
     def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
         graph, v, ids, many = pickle.loads(left.column("graph")[0].as_py())
@@ -222,12 +226,15 @@ def query_graphs(graphs: DataFrame, queries: DataFrame, least: float) -> DataFra
         ok = (exact >= least) & (ids[node] != names[row])
         row, node = row[ok], node[ok]
         n = np.bincount(row, weights=many[node], minlength=len(q)).astype(np.int64)
-        some = np.flatnonzero(n)
+        own, weight = np.asarray(right.column("own")), np.asarray(right.column("many"))
+        across = ~own[row]
+        back = np.bincount(node[across], weights=weight[row[across]], minlength=len(ids)).astype(np.int64)
+        some, other = np.flatnonzero(n), np.flatnonzero(back)
         edges = _forest(names[row], ids[node])
         return pa.table({
-            "a": pa.array([*names[some].tolist(), *[x for x, _ in edges]], pa.int64()),
-            "b": pa.array([*[None] * len(some), *[y for _, y in edges]], pa.int64()),
-            "n": pa.array([*n[some].tolist(), *[None] * len(edges)], pa.int64()),
+            "a": pa.array([*names[some].tolist(), *ids[other].tolist(), *[x for x, _ in edges]], pa.int64()),
+            "b": pa.array([*[None] * (len(some) + len(other)), *[y for _, y in edges]], pa.int64()),
+            "n": pa.array([*n[some].tolist(), *back[other].tolist(), *[None] * len(edges)], pa.int64()),
         })
 
     return graphs.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(ask, "a long, b long, n long")
@@ -244,7 +251,8 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     """(vec_id, n_links, component_id, kept): vectors linked by a cosine of at least ``least``, as components.
 
     Equal vectors are one class, counted but never paired. The others are dealt by hash into shards of about
-    ``shard_rows``, one graph each; every vector queries every shard's graph, in blocks of about ``block_rows``. A
+    ``shard_rows``, one graph each; every vector queries its own shard's graph, and for each other shard either it
+    queries that graph or that shard's vectors query its own, in blocks of about ``block_rows``. A
     graph's beam is widened until it finds planted near copies and, in each block, what a sample of its queries finds by
     comparing all; a query whose beam holds links only is widened until it meets something else. Candidates are
     checked in double precision, so nothing below ``least`` links. A task returns counts and enough edges to connect
@@ -271,8 +279,11 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     asked = graphs.join(shards, F.floor(F.col("shard") / (1 << 40)) == F.col("d")).select("shard", "graph", blocks)
     every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    queries = dealt.select("id", "v", "d", F.pmod(F.xxhash64(F.lit(2), F.col("id")), F.col("blocks")).alias("block"), every.alias("s"))
-    queries = queries.select(name(F.col("s")).alias("shard"), "block", "id", "v")
+    block = F.pmod(F.xxhash64(F.lit(2), F.col("id")), F.col("blocks")).alias("block")
+    queries = dealt.select("id", "many", "v", "d", block, F.pmod(F.xxhash64("id"), F.col("shards")).alias("p"), every.alias("s"))
+    # each pair of shards is searched from one side, taken in turn
+    queries = queries.where("p = s or (p < s) = ((p + s) % 2 = 0)")
+    queries = queries.select(name(F.col("s")).alias("shard"), "block", "id", "many", "v", (F.col("p") == F.col("s")).alias("own"))
     found = stored(query_graphs(asked, queries, least))
     counts = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n"))
     groups = components(found.where("b is not null"))
