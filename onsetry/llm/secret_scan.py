@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from onsetry.llm.common import hash60
 from onsetry.llm.registry import query, read
 
 #: The base kinds in their order, with the least length of the checked part (group) of a match.
@@ -21,8 +20,6 @@ KINDS = [k for k, *_ in BASE] + [MARKOV]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 MIN_RATIO = 0.5  # nats per character pair by which the model of random strings must explain a candidate better
-SAMPLE_DOCS = 500  # documents, by hash of the id, whose words stand for ordinary identifiers
-SAMPLE_STRINGS = 20_000  # labelled strings of either kind at most
 
 
 def spans(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
@@ -47,26 +44,36 @@ def spans(text: Column, pattern: str, group: int, least: int, kind: int) -> Colu
     return F.when(text.rlike(pattern), listed).otherwise(empty)
 
 
-def train(samples: DataFrame, text: str = "text", secret: str = "secret") -> list[float]:
-    """Log-likelihood ratios of character pairs, secret against ordinary, from labelled strings.
-
-    Two first-order Markov models over ``ALPHABET`` with add-one smoothing; null texts and labels are left out, other
-    characters count as one symbol more. The table has (66 + 2) squared entries whatever the samples.
-    """
+def pair_counts(samples: DataFrame, text: str = "text", secret: str = "secret", n: Column | None = None) -> DataFrame:
+    """(s, at, n): how often each character pair occurs in the secret and the ordinary strings; ``n`` weights a string."""
     size = len(ALPHABET) + 1
     clean = samples.where(F.col(text).isNotNull() & F.col(secret).isNotNull() & (F.length(text) >= 2))
     pairs = F.explode(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(F.col(text), i, F.lit(2))))
-    counts = clean.select(F.col(secret).alias("s"), pairs.alias("p"))
+    counts = clean.select(F.col(secret).cast("boolean").alias("s"), (F.lit(1) if n is None else n).cast("long").alias("n"), pairs.alias("p"))
     code = F.instr(F.lit(ALPHABET), F.substring("p", 1, 1)) * size, F.instr(F.lit(ALPHABET), F.substring("p", 2, 1))
-    rows = counts.groupBy("s", (code[0] + code[1]).alias("at")).count().collect()
+    return counts.groupBy("s", (code[0] + code[1]).alias("at")).agg(F.sum("n").alias("n"))
+
+
+def model_of(counts: DataFrame) -> list[float]:
+    """Log-likelihood ratios of character pairs, secret against ordinary, from their counts (s, at, n).
+
+    Two first-order Markov models over ``ALPHABET`` with add-one smoothing; other characters count as one symbol more.
+    The table has (66 + 2) squared entries of either kind, whatever was counted.
+    """
+    size = len(ALPHABET) + 1
     table = {True: [1.0] * size * size, False: [1.0] * size * size}
-    for r in rows:
-        table[bool(r["s"])][r["at"]] += r["count"]
+    for r in counts.collect():
+        table[r["s"]][r["at"]] += r["n"]
     total = {k: [sum(v[i * size : (i + 1) * size]) for i in range(size)] for k, v in table.items()}
     logp = lambda k, i: math.log(table[k][i] / total[k][i // size])
     return [logp(True, i) - logp(False, i) for i in range(size * size)]
 
 
+def train(samples: DataFrame, text: str = "text", secret: str = "secret") -> list[float]:
+    """The model of labelled strings; null texts and labels are left out."""
+    return model_of(pair_counts(samples, text, secret))
+
+
 def ratio(token: Column, model: list[float]) -> Column:
     """Log-likelihood ratio of a string, per character pair."""
     size = len(ALPHABET) + 1
@@ -76,27 +83,59 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), pair) / (F.length(token) - 1)
 
 
-def labelled_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS,
-                     sample_strings: int = SAMPLE_STRINGS, seed: int = 0) -> DataFrame:
-    """(text, secret): identifiers put together from the words of a bounded sample of documents, and as many keys.
+def word_pairs(docs: DataFrame, doc_id: str, text: str, seed: int) -> DataFrame:
+    """(a, b, x0 .. x3): each plain word of a document with its next new one, in lower case, and a 256-bit digest of both and the id."""
+    words = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\b[A-Za-z]{2,}\b"), F.lit(0)))
+    zipped = F.arrays_zip(words.alias("a"), F.slice(F.concat(words, F.array(F.lit("id"))), 2, 1 << 30).alias("b"))
+    pairs = docs.select(F.col(doc_id).alias("_id"), F.explode(zipped).alias("w")).select("_id", F.lower("w.a").alias("a"), F.lower("w.b").alias("b"))
+    pairs = pairs.select("a", "b", F.xxhash64("a", "b", "_id", F.lit(seed)).alias("h"))
+    return pairs.select("a", "b", *[F.xxhash64("h", F.lit(i)).alias(f"x{i}") for i in range(4)])
+
+
+def labelled_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
+    """(text, secret): identifiers put together from the words of every document, and as many keys.
 
     Ordinary ones are pairs of plain words in snake and camel case; secret ones are digests of them written in Base64 and
     in hexadecimal, which is how random keys look.
     """
-    ids = docs.select(F.col(doc_id).alias("_id")).where("_id is not null").orderBy(hash60("_id", seed=seed), "_id").limit(sample_docs)
-    some = docs.join(F.broadcast(ids), F.col(doc_id) == F.col("_id"), "left_semi")
-    words = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\b[A-Za-z]{2,}\b"), F.lit(0)))
-    pairs = some.select(F.explode(F.arrays_zip(words.alias("a"), F.slice(F.concat(words, F.array(F.lit("id"))), 2, 1 << 30).alias("b"))).alias("w"))
-    pairs = pairs.where("w.a is not null and w.b is not null").select(F.lower("w.a").alias("a"), F.lower("w.b").alias("b")).distinct()
-    pairs = pairs.orderBy(hash60("a", "b", seed=seed), "a", "b").limit(sample_strings // 4)
-    key = F.sha2(F.concat_ws("|", "a", "b", F.lit(str(seed))), 256)
+    key = F.concat(*[F.lpad(F.hex(f"x{i}"), 16, "0") for i in range(4)])
     forms = [
         (F.concat_ws("_", "a", "b"), False), (F.concat("a", F.initcap("b")), False),
-        (F.translate(F.base64(F.unhex(key)), "=", ""), True), (F.substring(key, 1, 40), True),
+        (F.translate(F.base64(F.unhex(key)), "=", ""), True), (F.lower(F.substring(key, 1, 40)), True),
     ]
+    pairs = word_pairs(docs, doc_id, text, seed)
     return pairs.select(F.explode(F.array(*[F.struct(c.alias("text"), F.lit(s).alias("secret")) for c, s in forms])).alias("x")).select("x.*")
 
 
+def corpus_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
+    """``pair_counts`` of ``labelled_samples`` without making its strings, which are ten times the corpus.
+
+    Ordinary strings are counted as pieces first (the words and the joints between two words), so that characters are
+    taken apart once per distinct piece. The symbols of a digest are read from its bits: runs of 60 of them, one every 48,
+    hold 8 pairs of Base64 symbols or 12 of hexadecimal ones before the next begins; the last 16 bits hold two pairs more.
+    """
+    size, pairs = len(ALPHABET) + 1, word_pairs(docs, doc_id, text, seed)
+    last, first = F.substring("a", -1, 1), F.substring("b", 1, 1)
+    pieces = F.array("a", "a", "b", F.initcap("b"), F.concat(last, F.lit("_"), first), F.concat(last, F.upper(first)))
+    pieces = pairs.select(F.explode(pieces).alias("text")).groupBy("text").count()
+    ordinary = pair_counts(pieces.withColumn("secret", F.lit(False)), n=F.col("count"))
+    shift, low = F.shiftrightunsigned, lambda c, n: F.col(c).bitwiseAND(F.lit((1 << n) - 1))
+    runs = F.array(
+        shift("x0", 4), F.shiftleft(low("x0", 16), 44).bitwiseOR(shift("x1", 20)), F.shiftleft(low("x1", 32), 28).bitwiseOR(shift("x2", 36)),
+        F.shiftleft(low("x2", 48), 12).bitwiseOR(shift("x3", 52)), shift("x3", 4), F.shiftleft(low("x3", 16), 44),
+    )
+    part = pairs.select(F.posexplode(runs).alias("c", "r")).select("c", "r", F.explode(F.array(*map(F.lit, range(20)))).alias("j"))
+    part = part.where("if(j < 8, j < 2 or c < 5, c < 3 or (c = 3 and j < 11))")  # 42 pairs of Base64, 39 hexadecimal ones
+    part = part.select(F.expr("cast(if(j < 8, shiftright(r, 48 - 6 * j) & 4095, 4096 + (shiftright(r, 84 - 4 * j) & 255)) as int)").alias("v"))
+    seen = part.groupBy("v").count()
+    digit = lambda x: F.when(x < 10, x + 53).otherwise(x + 17)  # noqa: E731  as instr counts in ALPHABET
+    v, h = F.col("v"), F.col("v") - 4096
+    at = F.when(v < 4096, (F.shiftright(v, 6) + 1) * size + v.bitwiseAND(F.lit(63)) + 1).otherwise(
+        digit(F.shiftright(h, 4)) * size + digit(h.bitwiseAND(F.lit(15))))
+    secret = seen.groupBy(F.lit(True).alias("s"), at.alias("at")).agg(F.sum("count").alias("n"))
+    return ordinary.union(secret)
+
+
 def scan(docs: DataFrame, model: list[float], text: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
     """``docs`` with ``base_spans`` and ``all_spans``: arrays of (start, kind, end, match), by start and kind.
 
@@ -124,7 +163,7 @@ def written(spans_column: str) -> Column:
 @query("op8_secret_scan")
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = scan(docs, train(labelled_samples(docs)))
+    out = scan(docs, model_of(corpus_counts(docs)))
     number = lambda i: F.size(F.filter("base_spans", lambda x: x["kind"] == i)).cast("long")
     return out.select(
         "doc_id", *[number(i).alias(f"n_{k}") for i, (k, *_) in enumerate(BASE)], F.sha2(written("base_spans"), 256).alias("base_sha256"),
