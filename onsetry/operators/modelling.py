@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from onsetry.functions.scalars import seeded, sigmoid
+from onsetry.functions.scalars import seeded, seeded_number, sigmoid
 from onsetry.operators import normalize as N
 from onsetry.operators.grouped import numbered
 from onsetry.operators.lineage import durable
@@ -172,22 +172,29 @@ def score(df: DataFrame, fitted: Fitted) -> DataFrame:
 
 
 def leave_one_out_predictions(df: DataFrame, cols: list[str], exp: Experiment, group=GROUP, label="is_soz",
-                              keep=("node_index",), select_on_all=False, l1_c=None, **fit_args) -> DataFrame:
+                              keep=("node_index",), select_on_all=False, l1_c=None, max_fits: int | None = None,
+                              **fit_args) -> DataFrame:
     """Every patient scored by a model trained on the others, ranked in its groups.
 
+    With more than ``max_fits`` patients, patients are dealt by hash to that many folds, and every row is scored by a
+    model trained on the other folds: so many models are fitted at most, and no list of patients reaches the driver.
+
     The prepared table is cut from its lineage once and read by all folds.
     ``select_on_all`` repeats the published order, in which features are selected
     before the folds; the default selects inside each fold.
     """
     table = durable(prepare(df, cols, exp, group, label))
-    folds = {r["patient"]: r["fold"] for r in leave_one_out(table).collect()}
+    folds = leave_one_out(table)
+    if max_fits and folds.count() > max_fits:
+        folds = folds.withColumn("fold", (seeded_number("patient", seed=42, below=max_fits) + 1).cast("int"))
+    table = durable(table.join(folds, "patient"))
     chosen = l1_features(table, cols, label, l1_c) if select_on_all and l1_c else None
     parts = []
-    for patient, fold in sorted(folds.items(), key=lambda kv: kv[1]):
-        fitted = fit(table.where(F.col("patient") != patient), cols, exp, group, label,
+    for fold in sorted(r["fold"] for r in table.select("fold").distinct().collect()):
+        fitted = fit(table.where(F.col("fold") != fold), cols, exp, group, label,
                      l1_c=None if chosen else l1_c, selected=chosen, **fit_args)
-        out = score(table.where(F.col("patient") == patient), fitted)
-        parts.append(durable(out.select(*group, *keep, label, "y_score").withColumn("fold", F.lit(fold))))
+        out = score(table.where(F.col("fold") == fold), fitted)
+        parts.append(durable(out.select(*group, *keep, label, "y_score", "fold")))
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)

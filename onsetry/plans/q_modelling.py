@@ -9,13 +9,24 @@ from onsetry.plans.registry import query, r
 
 GROUP = ["patient", "seizure_id"]
 COLS = ["mean", "std", "median", "max", "range", "iqr", "slope_mean", "area", "time_to_peak", "fft_energy", "spectral_entropy"]
-EXP = M.Experiment("small", leaves=8, learning_rate=0.1, rounds=3, min_leaf=5)
+# every base feature, and three relative ones of each
+BASE = ["n_steps", "mean", "std", "min", "max", "median", "range", "iqr", "slope_mean", "slope_std", "area", "time_to_peak", "rise_time",
+        "decay_time", "fft_peak_freq", "fft_energy", "spectral_entropy"]
+ALL = [f"{c}{s}" for c in BASE for s in ("", "_rel", "_z", "_rank")]
+EXP = M.EXPERIMENTS[0]
+MAX_FITS = 20  # up to so many patients each is held out alone; more share folds by hash
 
 
 def _features(spark, d):
     return T.trace_features(traces(spark, d), NODE)
 
 
+def _all_features(spark, d):
+    f = _features(spark, d)
+    f = f.withColumns({c: F.col(c).cast("double") for c in BASE})
+    return M.N.relative_features(f, GROUP, ["node_index", "is_soz", "is_flat_zero"], BASE)
+
+
 @query("M6_lopo_folds", f"WITH {PRED}, f AS (SELECT patient, dense_rank() OVER (ORDER BY patient) AS fold FROM (SELECT DISTINCT patient FROM pred)), c AS (SELECT patient, count(*) AS n_val FROM pred GROUP BY ALL) SELECT patient, fold, n_val, (SELECT count(*) FROM pred) - n_val AS n_train FROM f JOIN c USING (patient)")
 def m6(spark, d):
     p = predictions(spark, d)
@@ -36,7 +47,7 @@ def m8(spark, d):
 
 @query("M9_M13_lopo_predictions")
 def m9(spark, d):
-    return M.leave_one_out_predictions(_features(spark, d), COLS, EXP, GROUP).select(
+    return M.leave_one_out_predictions(_all_features(spark, d), ALL, EXP, GROUP, max_fits=MAX_FITS).select(
         *GROUP, "node_index", "is_soz", "y_score", "fold", "rank")
 
 
@@ -58,6 +69,6 @@ def m11(spark, d):
 
 @query("M12_score_new_patients")
 def m12(spark, d):
-    f = M.durable(_features(spark, d))
-    fitted = M.fit(M.prepare(f.where("patient < 5"), COLS, EXP, GROUP), COLS, EXP, GROUP, calibrate=0.2)
-    return M.apply_to_new(f.where("patient >= 5"), fitted, EXP, COLS, GROUP)
+    f = M.durable(_all_features(spark, d))
+    fitted = M.fit(M.prepare(f.where("patient < 5"), ALL, EXP, GROUP), ALL, EXP, GROUP, calibrate=0.2)
+    return M.apply_to_new(f.where("patient >= 5"), fitted, EXP, ALL, GROUP)
