@@ -43,6 +43,22 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that no column of ``df`` has (Spark tells names apart without regard to case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and back quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def hash60(*cols: Column | str, seed: int = 0) -> Column:
     """60 bits of MD5 over the columns' text (null differs from empty); any SQL engine can compute it."""
     parts = [F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n")) for c in (F.col(c) if isinstance(c, str) else c for c in cols)]
