@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from onsetry.llm.common import col, fresh, stored
+from onsetry.llm.common import col, fresh, in_arrow, stored
 from onsetry.llm.registry import query, read
 
 #: Scaled components are held within this, so that a squared distance fits 64 bits.
@@ -78,7 +78,7 @@ def partial_sums(centroids: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]],
 
 def moved(vectors: DataFrame, centroids: np.ndarray) -> np.ndarray:
     """One round: assign every vector, then the floor of each non-empty cluster's mean. k x (dims + 1) sums return."""
-    sums = vectors.mapInArrow(partial_sums(centroids), "c int, d int, s long")
+    sums = in_arrow(vectors, partial_sums(centroids), "c int, d int, s long")
     total = sums.groupBy("c", "d").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s"))
     got = {(r["c"], r["d"]): int(r["s"]) for r in total.collect()}
     out = centroids.copy()
@@ -135,7 +135,7 @@ def cluster_vectors(
                 [*batch.columns[:-1], pa.array(label), pa.array(distance)], names=[f.name for f in fields]
             )
 
-    out = stored(kept.mapInArrow(assign, T.StructType(fields)))
+    out = stored(in_arrow(kept, assign, T.StructType(fields)))
     inertia = {r["cluster"]: int(r["s"]) for r in out.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()}
     rows = []
     for c, at in enumerate(centroids.tolist()):

@@ -59,6 +59,16 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def in_arrow(df: DataFrame, work, schema) -> DataFrame:
+    """``df.mapInArrow``, for column names of any form (dots break the plain call); batches bear the names of ``df``."""
+    names = df.columns
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*[f"_{i}" for i in range(len(names))]).mapInArrow(renamed, schema)
+
+
 def hash60(*cols: Column | str, seed: int = 0) -> Column:
     """60 bits of MD5 over the columns' text (null differs from empty); any SQL engine can compute it."""
     parts = [F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n")) for c in (F.col(c) if isinstance(c, str) else c for c in cols)]
