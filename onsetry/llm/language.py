@@ -16,7 +16,7 @@ BUCKETS = 1 << 15  # hashed subwords share so many embeddings
 GRAMS = (2, 3, 4)  # bytes of a subword, the borders of a word included
 MAX_LABELLED = 8_000  # bound of the fit: labelled rows, dealt evenly over languages
 MAX_SUBWORDS = 400  # bound of the fit: subwords drawn from the whole of a labelled text
-DIMS, EPOCHS, BATCH, RATE, SEED = 16, 6, 32, 2.0, 12
+DIMS, STEPS, BATCH, RATE, SEED = 16, 1500, 32, 2.0, 12
 CALIBRATION_SHARE = 5  # one labelled row in so many is kept out of the fit, for temperature and threshold
 TARGET_PRECISION = 0.99  # accepted calibration rows must be right at least so often
 UNKNOWN = "und"
@@ -94,32 +94,31 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(bags: list[np.ndarray], target: np.ndarray, languages: list[str]) -> Model:
-    """Stochastic gradient descent on the cross-entropy, each language weighing the same, the rate falling to zero."""
+    """``STEPS`` steps of stochastic gradient descent on the cross-entropy; languages weigh alike, the rate falls to zero."""
     random = np.random.default_rng(SEED)
     embeddings = random.uniform(-1, 1, (BUCKETS, DIMS)) / DIMS
     weights, bias = np.zeros((DIMS, len(languages))), np.zeros(len(languages))
     have = np.bincount(target, minlength=len(languages))
     weight = (len(target) / np.maximum(have * (have > 0).sum(), 1))[target]
-    steps, step = EPOCHS * -(-len(bags) // BATCH), 0
-    for _ in range(EPOCHS):
-        order = random.permutation(len(bags))
-        for at in range(0, len(order), BATCH):
-            rate = RATE * (1 - step / steps)
-            step += 1
-            rows = order[at : at + BATCH]
-            counts = np.array([len(bags[i]) for i in rows])
-            ids = np.concatenate([bags[i] for i in rows])
-            owner = np.repeat(np.arange(len(rows)), counts)
-            mean = np.zeros((len(rows), DIMS))
-            np.add.at(mean, owner, embeddings[ids])
-            mean /= np.maximum(counts, 1)[:, None]
-            error = softmax(mean @ weights + bias)
-            error[np.arange(len(rows)), target[rows]] -= 1
-            error *= np.minimum(weight[rows], 10)[:, None] / len(rows)
-            back = (error @ weights.T) / np.maximum(counts, 1)[:, None]
-            weights -= rate * mean.T @ error
-            bias -= rate * error.sum(0)
-            np.subtract.at(embeddings, ids, rate * len(rows) * back[owner])
+    order = np.zeros(0, np.int64)
+    for step in range(STEPS):
+        while len(order) < BATCH:  # the next pass over the rows
+            order = np.concatenate([order, random.permutation(len(bags))])
+        rows, order = order[:BATCH], order[BATCH:]
+        rate = RATE * (1 - step / STEPS)
+        counts = np.array([len(bags[i]) for i in rows])
+        ids = np.concatenate([bags[i] for i in rows])
+        owner = np.repeat(np.arange(BATCH), counts)
+        mean = np.zeros((BATCH, DIMS))
+        np.add.at(mean, owner, embeddings[ids])
+        mean /= np.maximum(counts, 1)[:, None]
+        error = softmax(mean @ weights + bias)
+        error[np.arange(BATCH), target[rows]] -= 1
+        error *= np.minimum(weight[rows], 10)[:, None] / BATCH
+        back = (error @ weights.T) / np.maximum(counts, 1)[:, None]
+        weights -= rate * mean.T @ error
+        bias -= rate * error.sum(0)
+        np.subtract.at(embeddings, ids, rate * BATCH * back[owner])
     return Model(languages, embeddings, weights, bias)
 
 

@@ -37,7 +37,7 @@ def test_subwords():
 
 
 def test_descent_learns_and_both_layouts_agree(monkeypatch):
-    monkeypatch.setattr(L, "EPOCHS", 40)
+    monkeypatch.setattr(L, "STEPS", 200)
     bags = [L.subwords([t])[0] for t in ("the cat sat", "the dog ran", "der hund lief", "die katze sass")]
     model = L.train(bags, np.array([0, 0, 1, 1]), ["en", "de"])
     p = model.probabilities(np.concatenate(bags), np.array([len(b) for b in bags]))
