@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from onsetry.functions.scalars import seeded, seeded_number, sigmoid
 from onsetry.operators import normalize as N
+from onsetry.operators.boosting import Growth, bounded_rows, fit_folds, raw_scores
 from onsetry.operators.grouped import numbered
 from onsetry.operators.lineage import durable
 from onsetry.operators.ranking import GROUP, rank_rows
@@ -22,7 +22,7 @@ DELTA_MIN, DELTA_MAX, DELTA_STEPS, NEG_MEAN_CAP = -2.0, 6.0, 81, 0.05
 
 @dataclass(frozen=True)
 class Experiment:
-    """M9: settings of one classifier run, in boosted-tree terms."""
+    """M9: settings of one classifier run."""
 
     name: str
     group_zscore: bool = True
@@ -33,27 +33,23 @@ class Experiment:
     row_share: float = 0.9
     column_share: float = 0.9
     min_leaf: int = 20
+    l2: float = 0.0
+    patience: int = 80
+
+    def growth(self) -> Growth:
+        return Growth(self.leaves, self.learning_rate, self.rounds, self.row_share, self.column_share, self.min_leaf, self.l2, self.patience)
 
 
 # fixed values: names and settings of the five published configurations
 EXPERIMENTS = (
     Experiment("exp1_binary_groupnorm_baseline"),
     Experiment("exp2_binary_deeper_lowlr", leaves=127, learning_rate=0.03, rounds=1200),
-    Experiment("exp3_binary_more_reg", row_share=0.8, column_share=0.8, min_leaf=40),
+    Experiment("exp3_binary_more_reg", row_share=0.8, column_share=0.8, min_leaf=40, l2=0.2),
     Experiment("exp4_binary_no_norm_keep_all_groups", group_zscore=False, groups_with_positive_only=False),
     Experiment("exp5_binary_small_model_heavy_dropout", leaves=31, row_share=0.7, column_share=0.4, min_leaf=60),
 )
 
 
-def classifier(exp: Experiment, rounds: int | None = None, seed: int = 42) -> GBTClassifier:
-    """M9: Spark's boosted trees with the mapped settings (leaves become a depth)."""
-    return GBTClassifier(
-        featuresCol="_x", labelCol="_y", weightCol="_w", seed=seed,
-        maxIter=rounds or exp.rounds, stepSize=exp.learning_rate, maxDepth=math.ceil(math.log2(exp.leaves)),
-        subsamplingRate=exp.row_share, featureSubsetStrategy=str(exp.column_share), minInstancesPerNode=exp.min_leaf,
-    )
-
-
 def leave_one_out(df: DataFrame, patient="patient") -> DataFrame:
     """M6: fold number of every patient, from 1."""
     out = numbered(df.select(patient).distinct().withColumn("_k", F.lit(0)), ["_k"], [patient], "fold")
@@ -128,11 +124,11 @@ def choose_shift(df: DataFrame, by: list[str] | None = None, raw="raw", label="i
 class Fitted:
     """Everything needed to score new patients."""
 
-    model: object
+    model: bytes
     columns: list[str]
-    medians: dict[str, float]
     delta: float
     group_zscore: bool
+    rounds: int
 
 
 def prepare(df: DataFrame, cols: list[str], exp: Experiment, group=GROUP, label="is_soz") -> DataFrame:
@@ -142,42 +138,50 @@ def prepare(df: DataFrame, cols: list[str], exp: Experiment, group=GROUP, label=
     return N.group_zscore(out, group, cols) if exp.group_zscore else out
 
 
-def fit(train: DataFrame, cols: list[str], exp: Experiment, group=GROUP, label="is_soz", rounds=None, seed=42,
-        l1_c: float | None = None, max_features=None, selected: list[str] | None = None, calibrate=0.1) -> Fitted:
-    """M8-M11 on prepared training rows."""
-    rows = N.groups_with_positive(train, group, label) if exp.groups_with_positive_only else train
-    medians = {k: v for k, v in N.column_medians(rows, cols).first().asDict().items() if v is not None}
-    use = selected or (l1_features(rows, cols, label, l1_c, max_features) if l1_c else [c for c in cols if c in medians])
-    filled = N.impute(rows, use, {c: medians.get(c, 0.0) for c in use})
-    ready = _vectors(class_weights(filled, label).withColumn("_y", F.col(label).cast("double")), use)
-    model = classifier(exp, rounds, seed).fit(ready)
-    out = Fitted(model, use, medians, 0.0, exp.group_zscore)
+def fit_all(table: DataFrame, cols: list[str], exp: Experiment, folds: int, group=GROUP, label="is_soz", rounds=None, seed=42,
+            l1_c: float | None = None, max_features=None, selected: list[str] | None = None, calibrate=0.1, patient="patient") -> dict[int, Fitted]:
+    """M8-M11 for every fold at once, on prepared rows with a ``fold``; at most ``boosting.MAX_FIT_ROWS`` rows in all.
+
+    Models and shifts, ``folds`` rows, come to the driver.
+    """
+    rows = N.groups_with_positive(table, group, label) if exp.groups_with_positive_only else table
+    rows = rows.withColumns({"_watch": F.abs(F.hash(*group)), "_order": seeded(patient, seed=seed)})
+    use = selected or cols
+    # a row is drawn by all it holds, so repeated rows go together
+    drawn = bounded_rows(rows, [*group, *use, label])
+    how = exp.growth() if rounds is None else replace(exp.growth(), rounds=rounds)
+    out = durable(fit_folds(drawn, use, how, folds=folds, fold="fold", label=label, watch="_watch", patient=patient, order="_order",
+                            calibrate=calibrate, seed=seed, l1_c=None if selected else l1_c, max_features=max_features))
+    shifts = {}
     if calibrate:
-        held = ready.join(calibration_patients(rows, calibrate, seed), "patient", "left_semi")
-        out.delta = choose_shift(_raw(model, held), label=label).first()["delta"]
-    return out
+        shifts = {r["fold"]: r["delta"] for r in choose_shift(out.where("model is null"), ["fold"], label="label").collect()}
+    return {r["fold"]: Fitted(bytes(r["model"]), use, shifts.get(r["fold"], 0.0), exp.group_zscore, r["rounds"])
+            for r in out.where("model is not null").select("fold", "model", "rounds").collect()}
 
 
-def _raw(model, vectors: DataFrame) -> DataFrame:
-    # the tree margin is half the log odds
-    return model.transform(vectors).withColumn("raw", 2 * vector_to_array("rawPrediction")[1]).drop(
-        "rawPrediction", "probability", "prediction")
+def fit(train: DataFrame, cols: list[str], exp: Experiment, group=GROUP, label="is_soz", **fit_args) -> Fitted | None:
+    """M8-M11 on prepared training rows; None without any."""
+    return fit_all(train.withColumn("fold", F.lit(None).cast("int")), cols, exp, 1, group, label, **fit_args).get(1)
 
 
-def score(df: DataFrame, fitted: Fitted) -> DataFrame:
-    """Impute with the fitted medians, score, shift."""
-    filled = N.impute(df, fitted.columns, {c: fitted.medians.get(c, 0.0) for c in fitted.columns})
-    out = _raw(fitted.model, _vectors(filled, fitted.columns))
-    return out.withColumn("y_score", sigmoid(F.col("raw") + fitted.delta)).drop("_x")
+def score(df: DataFrame, fitted: dict[int, Fitted], fold="fold") -> DataFrame:
+    """Impute with the fitted medians, score, shift, each row by the model of its ``fold``."""
+    if not fitted:
+        return df.withColumns({"raw": F.lit(None).cast("double"), "y_score": F.lit(None).cast("double")})
+    cols = next(iter(fitted.values())).columns
+    out = raw_scores(df, {k: f.model for k, f in fitted.items()}, cols, fold)
+    delta = F.create_map(*[F.lit(x) for k, f in fitted.items() for x in (k, f.delta)])
+    return out.withColumn("y_score", sigmoid(F.col("raw") + F.try_element_at(delta, F.col(fold).cast("int"))))
 
 
 def leave_one_out_predictions(df: DataFrame, cols: list[str], exp: Experiment, group=GROUP, label="is_soz",
-                              keep=("node_index",), select_on_all=False, l1_c=None, max_fits: int | None = None,
+                              keep=("node_index",), select_on_all=False, l1_c=None, max_fits: int = 20,
                               **fit_args) -> DataFrame:
     """Every patient scored by a model trained on the others, ranked in its groups.
 
     With more than ``max_fits`` patients, patients are dealt by hash to that many folds, and every row is scored by a
-    model trained on the other folds: so many models are fitted at most, and no list of patients reaches the driver.
+    model trained on the other folds: so many models are fitted at most, side by side, and no list of patients reaches
+    the driver.
 
     The prepared table is cut from its lineage once and read by all folds.
     ``select_on_all`` repeats the published order, in which features are selected
@@ -185,20 +189,13 @@ def leave_one_out_predictions(df: DataFrame, cols: list[str], exp: Experiment, g
     """
     table = durable(prepare(df, cols, exp, group, label))
     folds = leave_one_out(table)
-    if max_fits and folds.count() > max_fits:
+    n = folds.count()
+    if n > max_fits:
         folds = folds.withColumn("fold", (seeded_number("patient", seed=42, below=max_fits) + 1).cast("int"))
     table = durable(table.join(folds, "patient"))
     chosen = l1_features(table, cols, label, l1_c) if select_on_all and l1_c else None
-    parts = []
-    for fold in sorted(r["fold"] for r in table.select("fold").distinct().collect()):
-        fitted = fit(table.where(F.col("fold") != fold), cols, exp, group, label,
-                     l1_c=None if chosen else l1_c, selected=chosen, **fit_args)
-        out = score(table.where(F.col("fold") == fold), fitted)
-        parts.append(durable(out.select(*group, *keep, label, "y_score", "fold")))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return rank_rows(union, group)
+    fitted = fit_all(table, cols, exp, max(1, min(n, max_fits)), group, label, l1_c=l1_c, selected=chosen, **fit_args)
+    return rank_rows(score(table, fitted).select(*group, *keep, label, "y_score", "fold"), group)
 
 
 def apply_to_new(df: DataFrame, fitted: Fitted, exp: Experiment, cols: list[str], group=GROUP, label="is_soz",
@@ -207,5 +204,5 @@ def apply_to_new(df: DataFrame, fitted: Fitted, exp: Experiment, cols: list[str]
     for c in cols:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("double"))
-    rows = prepare(df, cols, exp, group, label)
-    return rank_rows(score(rows, fitted).select(*group, *keep, label, "y_score"), group)
+    rows = prepare(df, cols, exp, group, label).withColumn("fold", F.lit(1))
+    return rank_rows(score(rows, {1: fitted} if fitted else {}).select(*group, *keep, label, "y_score"), group)

@@ -14,7 +14,6 @@ SPLIT = [
     "C12_constant_change", "X5_numeric_first_order",
 ]
 ROWS_ONLY = sorted(set(catalog.QUERIES) - set(catalog.ORACLES))
-SLOW = {"M9_M13_lopo_predictions"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
@@ -27,7 +26,7 @@ def test_split_groups_give_the_same(tiny_splits, duck, name):
     assert diff(tiny_splits, SF, duck, catalog.QUERIES[name], catalog.ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", [n for n in ROWS_ONLY if n not in SLOW])
+@pytest.mark.parametrize("name", ROWS_ONLY)
 def test_rows_only(spark, name):
     rows = catalog.QUERIES[name](spark, SF)
     assert rows.columns and rows.count() > 0
