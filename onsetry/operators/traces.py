@@ -5,8 +5,6 @@ A trace is a series over positions t = 0, 1, 2, ...; ``keys`` name the trace.
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from onsetry.functions.scalars import clip
 from onsetry.operators.grouped import down, framed, hot_groups, ordered, quantiles, split_rows, with_totals
+from onsetry.operators.lineage import durable
 
 BCE_EPS = 1e-7
 
@@ -171,8 +170,8 @@ def trace_spectrum(df, keys, t="t", value="value") -> DataFrame:
 
     The trace is the sequence of its known values.  A trace that fits one task is
     one array and one fast transform.  Longer ones (above the split limit) are
-    summed by (trace, bin) from rows, combined before the shuffle; that gathers
-    nothing, and its work is length times bins.
+    transformed in four steps over rows and columns (``distributed_fft``): work is
+    length times its logarithm, and a task holds about the root of the length.
     """
     known = df.where(F.col(value).isNotNull())
     hot = hot_groups(known, keys)
@@ -181,7 +180,7 @@ def trace_spectrum(df, keys, t="t", value="value") -> DataFrame:
     rows = ordered(known, keys, [t], number="_i", totals={"_n": F.count(F.lit(1)), "_m": F.avg(value)}, hot=hot)
     limit = split_rows(df)
     return _short_spectrum(rows.where(F.col("_n") <= limit), keys, t, value).unionByName(
-        _long_spectrum(rows.where(F.col("_n") > limit), keys, value)
+        _long_spectrum(rows.where(F.col("_n") > limit), keys, value, limit)
     )
 
 
@@ -191,13 +190,89 @@ def _short_spectrum(df, keys, t, value) -> DataFrame:
     return series.select(*keys, "_f.*")
 
 
-def _long_spectrum(rows, keys, value) -> DataFrame:
-    parts = rows.where("_n >= 3").withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_n") / 2))))
-    angle = 2 * F.pi() * F.col("_k") * (F.col("_i") - 1) / F.col("_n")
-    c = F.col(value) - F.col("_m")
-    bins = parts.groupBy(*keys, "_k").agg(
-        F.sum(c * F.cos(angle)).alias("_re"), F.sum(c * F.sin(angle)).alias("_im"), F.first("_n").alias("_n")
-    ).withColumn("_a", F.sqrt(F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")))
+def _row_transform(parts: int):
+    """The fast transform of one row of a two-dimensional layout, times the twiddle factors of that row.
+
+    A row is a flat list of (place, re, im, ...) with ``parts`` complex numbers a place; places not listed are zero.
+    """
+
+    @F.pandas_udf("array<double>")
+    def transform(flat: pd.Series, size: pd.Series, twist: pd.Series, total: pd.Series) -> pd.Series:
+        out = []
+        for x, n, r, whole in zip(flat, size, twist, total):
+            x = np.asarray(x).reshape(-1, 1 + 2 * parts)
+            z = np.zeros((parts, n), complex)
+            z[:, x[:, 0].astype(np.int64)] = (x[:, 1::2] + 1j * x[:, 2::2]).T
+            z = np.fft.fft(z, axis=1) * np.exp(-2j * np.pi * ((r * np.arange(n)) % whole) / whole)
+            out.append(np.stack([z.real, z.imag], axis=1).ravel())
+        return pd.Series(out)
+
+    return transform
+
+
+def distributed_fft(rows: DataFrame, keys: list[str], parts: list[tuple[str, str]], i="_i", n1="_n1", n2="_n2") -> DataFrame:
+    """The discrete transform of series of n1 * n2 places, four steps over rows and columns of that layout.
+
+    Place j1 + n1 * j2 belongs to row j1; its transform over j2 gives the columns k2, whose transforms over j1 give
+    place k2 + n2 * k1. ``n1`` and ``n2`` are columns (one value a key); ``parts`` names re and im of series that are
+    transformed together. Absent places are zero. A task holds one row or column, about the root of the length.
+    """
+    names = [c for p in parts for c in p]
+    fixed = list(dict.fromkeys([*keys, n1, n2]))
+    transform = _row_transform(len(parts))
+
+    def step(df: DataFrame, row: Column, place: Column, size: str, twisted: bool, then: Column) -> DataFrame:
+        cell = F.array(place.cast("double"), *[F.col(c).cast("double") for c in names])
+        cells = df.select(*fixed, row.alias("_row"), cell.alias("_cell"))
+        lines = cells.groupBy(*fixed, "_row").agg(F.flatten(F.collect_list("_cell")).alias("_cells"))
+        twist = F.col("_row") if twisted else F.lit(0).cast("long")
+        out = lines.withColumn("_f", transform("_cells", F.col(size), twist, F.col(n1) * F.col(n2)))
+        value = lambda k, at: F.get("_f", (k + at * F.col(size)).cast("int"))
+        spread = F.transform(F.sequence(F.lit(0).cast("long"), F.col(size) - 1), lambda k: F.struct(k.alias("_k"), *[value(k, at).alias(c) for at, c in enumerate(names)]))
+        return out.select(*fixed, "_row", F.explode(spread).alias("_s")).select(*fixed, "_row", "_s.*").withColumn(i, then)
+
+    at = F.col(i)
+    columns = step(rows, at % F.col(n1), F.floor(at / F.col(n1)), n2, True, F.col("_k"))
+    return step(columns, F.col(i), F.col("_row"), n1, False, F.col("_row") + F.col(n2) * F.col("_k")).select(*fixed, i, *names)
+
+
+def _long_transform(rows: DataFrame, keys: list[str], value: Column, most: int) -> DataFrame:
+    """(keys, _n, _i, _re, _im) of series numbered 0 ... _n - 1 by ``_i``.
+
+    A length that parts into two factors of ``most`` at most is transformed directly; another one as a convolution
+    with a chirp at a power of two (both series at once, product, and back).
+    """
+    divisors = F.filter(F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt("_n")).cast("long")), lambda x: F.col("_n") % x == 0)
+    sized = rows.groupBy(*keys).agg(F.first("_n").alias("_n")).withColumn("_n1", F.array_max(divisors)).withColumn("_n2", (F.col("_n") / F.col("_n1")).cast("long"))
+    sized = durable(sized)
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]
+    placed = rows.alias("x").join(sized.drop("_n").alias("y"), same).select(*[F.col(f"x.{k}").alias(k) for k in keys], "_n", "_i", value.alias("_re"), "_n1", "_n2")
+    fixed = [*keys, "_n"]
+    direct = distributed_fft(placed.where(F.col("_n2") <= most).withColumn("_im", F.lit(0.0)), fixed, [("_re", "_im")])
+
+    bits = F.ceil(F.log2(F.lit(2) * F.col("_n"))).cast("int")
+    half = F.floor(bits / 2).cast("int")
+    power = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)
+    chirp = placed.where(F.col("_n2") > most).withColumns({"_n1": power(half), "_n2": power(bits - half)})
+    angle = F.pi() * F.pmod(F.col("_i") * F.col("_i"), 2 * F.col("_n")) / F.col("_n")
+    c, s, m = F.cos(angle), F.sin(angle), F.col("_n1") * F.col("_n2")
+    zero = F.lit(0.0)
+    here = F.struct(F.col("_i").alias("_i"), (F.col("_re") * c).alias("a"), (-F.col("_re") * s).alias("b"), c.alias("c"), s.alias("d"))
+    mirror = F.struct((m - F.col("_i")).alias("_i"), zero.alias("a"), zero.alias("b"), c.alias("c"), s.alias("d"))
+    both = chirp.withColumn("_s", F.explode(F.when(F.col("_i") > 0, F.array(here, mirror)).otherwise(F.array(here)))).select(*fixed, "_n1", "_n2", "_s.*")
+    both = distributed_fft(both, fixed, [("a", "b"), ("c", "d")])
+    # the inverse transform is the conjugate of the transform of the conjugate
+    product = both.select(*fixed, "_n1", "_n2", "_i", F.expr("a * c - b * d").alias("_re"), F.expr("-(a * d + b * c)").alias("_im"))
+    back = distributed_fft(product, fixed, [("_re", "_im")]).where("_i < _n")
+    back = back.withColumns({"_re": F.col("_re") / m, "_im": -F.col("_im") / m})
+    back = back.withColumns({"_re": F.col("_re") * c + F.col("_im") * s, "_im": F.col("_im") * c - F.col("_re") * s})
+    return direct.select(*fixed, "_i", "_re", "_im").union(back.select(*fixed, "_i", "_re", "_im"))
+
+
+def _long_spectrum(rows, keys, value, most: int) -> DataFrame:
+    parts = rows.where("_n >= 3").withColumn("_i", F.col("_i").cast("long") - 1)
+    bins = _long_transform(parts, keys, F.col(value) - F.col("_m"), most).where("_i <= _n / 2")
+    bins = bins.select(*keys, "_n", F.col("_i").alias("_k"), F.sqrt(F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")).alias("_a"))
     # q = (a / (S + 1e-12) + 1e-12) / (S / (S + 1e-12) + bins * 1e-12)
     tot = with_totals(bins, keys, {"_s": F.sum("_a"), "_bins": F.count(F.lit(1))})
     q = (F.col("_a") / (F.col("_s") + 1e-12) + 1e-12) / (F.col("_s") / (F.col("_s") + 1e-12) + F.col("_bins") * 1e-12)
@@ -253,47 +328,28 @@ def persistent_gate(df, seq: list[str], t="t", node="node_index", p="p", k_max_r
 
     At each step the former winners stay while p >= max(abs_min, alpha * p of the
     step before), at most K_new others enter, the set is filled to K_max, and the
-    step's top K_max are always in.  This is a true recursion over t within a
-    sequence: rows stream through in the order of (sequence, t), and only the
-    winners of one step are kept in memory.  Sequences are independent tasks.
+    step's top K_max are always in.  Those that enter or fill are the first by rank
+    besides the ones that stay, so their rank is K_max at most: a channel is on
+    exactly if it is among the top K_max, or was on with p > 0 at the sequence's
+    step before and may stay.  So each channel is on from a top step until its stay
+    breaks, which sums along the channel tell; K_new never changes the outcome.
     """
     clean = df.where(F.col(p).isNotNull()).select(*seq, t, node, clip(F.col(p), 0.0, 1.0).cast("double").alias("p"))
-    lined = clean.repartition(*seq).sortWithinPartitions(*seq, t, F.desc("p"), node)
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest, last, winners = None, None, {}
-        for frame in itertools.chain(frames, [None]):
-            whole = rest if frame is None else frame if rest is None else pd.concat([rest, frame])
-            if whole is None or not len(whole):
-                continue
-            step = whole[[*seq, t]]
-            start = np.flatnonzero((step != step.shift()).any(axis=1).to_numpy())
-            ends = [*start[1:], len(whole)]
-            if frame is not None:  # the last step may go on in the next frame
-                start, ends, rest = start[:-1], ends[:-1], whole.iloc[start[-1] :]
-            nodes, values, names = whole[node].to_numpy(), whole["p"].to_numpy(), step[seq].to_numpy()
-            out = np.zeros(ends[-1] if len(ends) else 0)
-            for a, b in zip(start, ends):
-                if last is None or tuple(names[a]) != last:
-                    last, winners = tuple(names[a]), None
-                n, x, who = b - a, values[a:b], nodes[a:b]
-                k = min(max(1, int(np.ceil(k_max_ratio * n)) if k_max is None else k_max), n)
-                new = min(max(0, int(np.ceil(k_new_ratio * n)) if k_new is None else k_new), k)
-                on = np.arange(n) < k
-                if winners is not None:
-                    before = np.array([winners.get(w, np.nan) for w in who.tolist()])
-                    keep = x >= np.fmax(alpha_stay * before, abs_min)
-                    keep &= ~np.isnan(before)
-                    enter = np.flatnonzero(~keep)[: min(new, max(0, k - keep.sum()))]
-                    keep[enter] = x[enter] >= abs_min
-                    on[np.flatnonzero(~keep)[: max(0, k - keep.sum())]] = True
-                    on |= keep
-                out[a:b] = np.where(on, x, 0.0)
-                live = out[a:b] > 0
-                winners = dict(zip(who[live].tolist(), x[live].tolist()))
-            done = whole.iloc[: len(out)][[*seq, t, node]]
-            yield done.assign(p_gated=out, active=out > 0)
-
-    kinds = [T.StructField(c, clean.schema[c].dataType) for c in [*seq, t, node]]
-    schema = T.StructType([*kinds, T.StructField("p_gated", T.DoubleType()), T.StructField("active", T.BooleanType())])
-    return lined.mapInPandas(walk, schema)
+    n = F.col("_n")
+    k = F.greatest(F.lit(1).cast("long"), F.ceil(k_max_ratio * n)) if k_max is None else F.lit(k_max).cast("long")
+    steps = clean.groupBy(*seq, t).agg(F.count(F.lit(1)).alias("_n"))
+    steps = ordered(steps, seq, [t], lag={"_before": F.col(t), "_later": F.lit(True)}).withColumn("_top", F.least(k, n))
+    steps = steps.select(*[F.col(c).alias(f"_s_{c}") for c in [*seq, t]], "_before", "_later", "_top")
+    ranked = ordered(clean, [*seq, t], [-F.col("p"), node], number="_rank")
+    same = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in [*seq, t]]
+    rows = ranked.join(steps, same).drop(*[f"_s_{c}" for c in [*seq, t]])
+    channel = [*seq, node]
+    hot = hot_groups(clean, channel)
+    rows = ordered(rows, channel, [t], lag={"_t1": F.col(t), "_p1": F.col("p"), "_seen": F.lit(True)}, hot=hot)
+    stays = F.col("_seen") & F.col("_later") & F.col("_t1").eqNullSafe(F.col("_before")) & (F.col("_p1") > 0)
+    stays &= F.col("p") >= F.greatest(alpha_stay * F.col("_p1"), F.lit(abs_min))
+    rows = ordered(rows, channel, [t], running={"_part": F.when(stays, 0).otherwise(1)}, hot=hot)
+    # within a part the channel stays from row to row, so one top step keeps it on from there
+    rows = ordered(rows, [*channel, "_part"], [t], running={"_tops": (F.col("_rank") <= F.col("_top")).cast("int")}, hot=None if hot else [])
+    gated = F.when(F.col("_tops") > 0, F.col("p")).otherwise(0.0)
+    return rows.select(*seq, t, node, gated.alias("p_gated"), (gated > 0).alias("active"))

@@ -8,7 +8,7 @@ from onsetry.functions import scalars as SC
 from onsetry.functions import strings as X
 from onsetry.operators import normalize as N
 from onsetry.operators.lineage import shared_dir
-from onsetry.plans.bindings import FEATS, PANEL, PRED, panel, predictions, table
+from onsetry.plans.bindings import FEATS, PANEL, PRED, TRACE, panel, predictions, table, traces
 from onsetry.plans.registry import query, r
 from onsetry.sources import readers as S
 from onsetry.sources import sinks
@@ -62,6 +62,71 @@ def s2(spark, d):
     return named.withColumn("_parts", X.edge_name_parts(F.col("name"))).select(*[c.alias(n) for n, c in m.items()])
 
 
+TREE = "tr AS (SELECT *, epoch % 2 AS rec, epoch % 3 AS ep, patient % 2 = 0 AS even FROM panel)"
+
+
+def _tree(spark, d):
+    return panel(spark, d).withColumns({"rec": F.col("epoch") % 2, "ep": F.col("epoch") % 3, "even": F.col("patient") % 2 == 0})
+
+
+def _folders(p, kind, name, dataset, outcome=None):
+    """Folder columns of the layout: dataset / sc_fc / (outcome) / phase / features folder / patient / table."""
+    folders = {"l0": F.lit(dataset), "l1": F.lit("sc_fc")} | ({"l2": outcome} if outcome is not None else {}) | {
+        "l3": F.col("phase"), "l4": F.lit(f"{kind}_features_SOZ"), "l5": F.concat(F.lit("P"), F.col("patient").cast("string")), "l6": name}
+    return p.withColumns(folders), list(folders)
+
+
+def _name(middle, epoch):
+    return F.concat(F.lit("P"), F.col("patient").cast("string"), F.lit("_"), F.col("phase"), F.lit("_"), F.col("rec").cast("string"), middle, epoch)
+
+
+@query("S1_node_tree", f"""WITH {PANEL}, {TREE} SELECT CASE WHEN even THEN 'CHUM' ELSE 'ds004100' END AS dataset, CASE WHEN NOT even THEN CASE WHEN patient % 4 = 1 THEN 'good outcome' ELSE 'bad outcome' END END AS outcome,
+ phase, 'P' || patient AS patient, CAST(rec AS INTEGER) AS seizure, CAST(CASE WHEN ep = 2 THEN -1 ELSE ep END AS INTEGER) AS epoch, ep = 2 AS is_avg,
+ concat_ws('-', seizure, electrode, epoch) AS electrode, {r('f_sum')}, {r('f_avg')}, {r('CASE WHEN even THEN f_max END', 'f_max')}, {r('CASE WHEN NOT even THEN f_cnt END', 'f_cnt')}, 0 AS rejected FROM tr
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'P' || patient, NULL, NULL, NULL, NULL, 1 FROM (SELECT DISTINCT patient FROM tr WHERE NOT even)""")
+def s1_tree(spark, d):
+    """The whole panel as a tree of CSV tables, headers and separators differing by dataset; misnamed tables come back as rejects."""
+    root, p = work_dir(spark), _tree(spark, d)
+    p = p.withColumn("_c0", F.concat_ws("-", "seizure", "electrode", "epoch"))
+    epoch = F.when(F.col("ep") == 2, "avg_over_epochs_znorm.csv").otherwise(F.concat(F.lit("epoch_"), F.col("ep").cast("string"), F.lit("_znorm.csv")))
+    one, folders = _folders(p.where("even"), "NODE", _name(F.lit("_NODEfeatures_"), epoch), "CHUM")
+    sinks.write_tree(one.select(*folders, "_c0", "f_sum", "f_avg", "f_max"), root, folders)
+    outcome = F.when(F.col("patient") % 4 == 1, "good outcome").otherwise("bad outcome")
+    two, folders = _folders(p.where("not even"), "NODE", _name(F.lit("_NODE_features_"), epoch), "ds004100", outcome)
+    sinks.write_tree(two.select(*folders, "_c0", "f_cnt", "f_avg", "f_sum"), root, folders, ";")
+    odd, folders = _folders(p.where("not even"), "NODE", F.lit("notes_znorm.csv"), "ds004100", outcome)
+    sinks.write_tree(odd.select(*folders, "f_cnt"), root, folders)
+    nodes, rejects = S.collect_node_features(spark, root)
+    got = nodes.select("dataset", "outcome", "phase", "patient", "seizure", "epoch", "is_avg", "electrode", *FEATS, F.lit(0).alias("rejected"))
+    bad = rejects.select(F.regexp_extract("file_path", "/l5=([^/]+)/", 1).alias("electrode"), F.lit(1).alias("rejected")).distinct()
+    return got.unionByName(bad, allowMissingColumns=True)
+
+
+@query("S2_S5_edge_tree", f"""WITH {PANEL}, {TREE}, k AS (SELECT *, CASE WHEN even THEN 'corr' WHEN rec = 0 THEN 'coh1245' ELSE 'psi1245' END AS m FROM tr)
+SELECT phase, 'P' || patient AS patient, CAST(rec AS INTEGER) AS seizure, CAST(ep AS INTEGER) AS epoch, seizure || '-' || electrode AS source, 'E' || epoch AS target,
+ CASE m WHEN 'corr' THEN 'pearson_r' WHEN 'coh1245' THEN 'coh_12_45' ELSE 'psi_12_45' END AS feature, {r('f_avg', 'value')}, 0 AS rejected FROM k WHERE patient <> 9
+UNION ALL SELECT NULL, 'P9', NULL, NULL, NULL, NULL, NULL, NULL, 1 FROM (SELECT 1 FROM tr WHERE patient = 9 LIMIT 1)""")
+def s2_tree(spark, d):
+    """The whole panel as edge tables; the value column goes by another name in each dataset, or is only known by its numbers."""
+    root = work_dir(spark)
+    p = _tree(spark, d).withColumns({
+        "source": F.concat_ws("-", "seizure", "electrode"), "target": F.concat(F.lit("E"), F.col("epoch").cast("string")), "note": F.concat(F.lit("n"), F.col("epoch").cast("string"))})
+    epoch = F.concat(F.lit("epoch_"), F.col("ep").cast("string"), F.lit(".csv"))
+    one, folders = _folders(p.where("even"), "EDGE", _name(F.lit("_EDGE_corr_"), epoch), "CHUM")
+    sinks.write_tree(one.select(*folders, F.col("f_sum").alias("p_value"), "target", F.col("f_avg").alias("r"), "source"), root, folders, ";")
+    metric = F.when(F.col("rec") == 0, "_EDGE_coh1245_").otherwise("_EDGE_psi1245_")
+    two, folders = _folders(p.where("not even and patient <> 9"), "EDGE", _name(metric, epoch), "ds004100", F.lit("bad outcome"))
+    sinks.write_tree(two.select(*folders, "source", "note", "target", F.col("f_avg").alias("score"), "f_sum"), root, folders)
+    bad, folders = _folders(p.where("patient = 9"), "EDGE", _name(metric, epoch), "ds004100", F.lit("bad outcome"))
+    sinks.write_tree(bad.select(*folders, F.col("source").alias("from"), "target", "f_avg"), root, folders)
+    skip, folders = _folders(p.where("even"), "EDGE", _name(F.lit("_EDGE_corr_matrix_"), epoch), "CHUM")
+    sinks.write_tree(skip.select(*folders, "f_sum"), root, folders)
+    edges, rejects = S.collect_edge_features(spark, root)
+    got = edges.select("phase", "patient", "seizure", "epoch", "source", "target", "feature", "value", F.lit(0).alias("rejected"))
+    lost = rejects.select(F.regexp_extract("file_path", "/l5=([^/]+)/", 1).alias("patient"), F.lit(1).alias("rejected")).distinct()
+    return got.unionByName(lost, allowMissingColumns=True)
+
+
 @query("S5_value_column", f"WITH {PANEL} SELECT patient, seizure, electrode, epoch, {r('f_avg', 'value')} FROM panel")
 def s5(spark, d):
     p = panel(spark, d).select(*KEYS, F.col("f_avg").alias("coh"), F.col("f_sum").alias("other"))
@@ -151,6 +216,23 @@ def s13(spark, d):
     return S.series_files(files).select("folder", "seizure_id", "seq_idx", F.col("nodes_path").isNotNull().alias("has_map"))
 
 
+@query("S13_series_tree", f"""WITH {TRACE}, q AS (SELECT *, 'P' || patient AS p FROM trace)
+SELECT p AS patient, seizure_id, CAST(node_index % 4 AS INTEGER) AS seq_idx, t, CAST(i AS INTEGER) AS node_index, 'N' || i AS electrode_name, {r('CASE i WHEN 0 THEN value WHEN 1 THEN node_index * 1.0 WHEN 2 THEN CASE WHEN t % 2 = 0 THEN t * 1.0 END END', 'value')}
+FROM q, (SELECT unnest(range(3)) AS i) WHERE i < 2 OR patient % 2 = 0""")
+def s13_tree(spark, d):
+    """All traces as series files, wide, with two or three node columns; text that is no number reads as null."""
+    root, tr = work_dir(spark), traces(spark, d)
+    tr = tr.withColumns({
+        "l0": F.concat(F.lit("P"), F.col("patient").cast("string")), "l1": F.lit("series"),
+        "l2": F.concat(F.lit("seiz_"), F.col("seizure_id"), F.lit("_seq_00"), (F.col("node_index") % 4).cast("string"), F.lit(".csv"))})
+    folders, two = ["l0", "l1", "l2"], [F.col("node_index").cast("double").alias("node_001:N1"), F.col("value").alias("node_000:N0")]
+    third = F.when(F.col("t") % 2 == 0, F.col("t").cast("string")).otherwise("n/a").alias("node_002:N2")
+    sinks.write_tree(tr.where("patient % 2 = 1").select(*folders, "t", *two), root, folders)
+    sinks.write_tree(tr.where("patient % 2 = 0").select(*folders, third, "t", *two), root, folders, ";")
+    out = S.read_series(spark, root)
+    return out.select(F.regexp_extract("file_path", "/l0=([^/]+)/", 1).alias("patient"), "seizure_id", "seq_idx", "t", "node_index", "electrode_name", "value")
+
+
 def _wide(spark, d):
     """Value columns named like series columns; the third one is text and partly not a number."""
     return panel(spark, d).select(
@@ -198,6 +280,20 @@ def s18(spark, d):
     return predictions(spark, d).withColumn("file_path", path).groupBy(run.alias("run"), exp.alias("experiment")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("S18_prediction_tree", f"""WITH {PRED} SELECT 'results_' || run AS run, 'exp' || experiment AS experiment, CAST(patient AS VARCHAR) AS patient, seizure_id, CAST(seq_idx AS INTEGER) AS seq_idx, CAST(node_index AS INTEGER) AS node_index,
+ {r('y_score')}, CASE WHEN experiment = 1 THEN CAST(row_id % 7 AS INTEGER) END AS fold FROM pred""")
+def s18_tree(spark, d):
+    """All predictions as the result files of their run and experiment; the experiments' headers differ."""
+    root, p = work_dir(spark), predictions(spark, d)
+    p = p.withColumns({
+        "l0": F.concat(F.lit("results_"), F.col("run")), "l1": F.concat(F.lit("exp"), F.col("experiment").cast("string")), "l2": F.lit("cv_val_predictions_ranked.csv")})
+    folders = ["l0", "l1", "l2"]
+    keys = ["patient", "seizure_id", "seq_idx", "node_index"]
+    sinks.write_tree(p.where("experiment = 0").select(*folders, *keys, "y_score"), root, folders)
+    sinks.write_tree(p.where("experiment = 1").select(*folders, (F.col("row_id") % 7).alias("fold"), "y_score", *keys[::-1]), root, folders)
+    return S.read_predictions(spark, root).select("run", "experiment", *keys, "y_score", "fold")
+
+
 @query("S20_X10_selected_epochs", f"""WITH {PANEL}, m AS (SELECT electrode, min(epoch) AS a, max(epoch) AS b FROM panel GROUP BY ALL)
 SELECT patient, seizure, electrode, epoch, {r('f_sum')} FROM panel JOIN m USING (electrode) WHERE electrode % 3 = 0 OR epoch IN (a, b)""")
 def s20(spark, d):

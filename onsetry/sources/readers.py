@@ -2,17 +2,19 @@
 
 Each reader is one scan over a directory tree; metadata comes from the file path
 as columns.  Every CSV file is read by its own header, so files of one tree may
-differ in columns and in their order.  NaN and infinities become null.
+differ in columns and in their order; files are split by bytes, whatever their size.  NaN and infinities become null.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from onsetry.functions import strings as X
 from onsetry.functions.scalars import to_int
+from onsetry.operators.lineage import durable
 from onsetry.operators.normalize import finite
 
 # fixed values: metric name in a file name -> accepted value columns, standard column
@@ -56,20 +58,58 @@ def clean_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 UNQUOTED = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'  # a separator followed by whole quotes only
 
 
-def csv_files(spark, root: str, glob: str, comment: str | None = None) -> DataFrame:
-    """One row per file: ``file_path``, ``header`` (names) and ``rows`` (arrays of cells).
+def name_pattern(glob: str) -> str:
+    """A file name glob (``*``, ``?``, ``[...]``, ``{a,b}``) as a regular expression."""
+    out = ""
+    for part in re.findall(r"\[[^]]*\]|\{[^}]*\}|.", glob):
+        if part[0] == "{":
+            out += "(" + "|".join(re.escape(x) for x in part[1:-1].split(",")) + ")"
+        else:
+            out += part if part[0] == "[" else {"*": "[^/]*", "?": "[^/]"}.get(part, re.escape(part))
+    return f"^{out}$"
 
-    Comma, semicolon or tab separate, whichever the header holds most of.  A file is one row, so it is bounded by what a task can hold; trees of any number of files are read in parallel.
+
+def table_path(path: Column) -> Column:
+    """The path of the table a file belongs to: a folder of part files stands for one file of that name.
+
+    Spark writes a table as such a folder; the ``key=`` before the name of a partition folder is left out.
+    """
+    whole = F.regexp_replace(F.regexp_replace(path, r"^file:/+", "/"), r"/part-[^/]*$", "")
+    return F.regexp_replace(whole, r"/[A-Za-z_][A-Za-z0-9_]*=([^/]+)", "/$1")
+
+
+def csv_rows(spark, root: str, glob: str, comment: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lines and headers of the CSV files whose name fits ``glob``: (file_path, value) and (file_path, path, header, separator, first).
+
+    Files are read by byte ranges, so neither a file nor a tree needs to fit anywhere. The header is the first line of
+    a file that is neither blank nor a ``comment``; headers are one row per file, stored once. Lines equal to their
+    file's header repeat it and are no rows; a quoted cell ends on its line. ``path`` is the table's (``table_path``).
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: (F.trim(x) != "") & (~F.startswith(x, F.lit(comment)) if comment else F.lit(True)))
-    table = files.select(X.file_path().alias("file_path"), lines.alias("_lines"))
-    count = lambda c: F.length(F.regexp_replace(F.coalesce(F.get("_lines", F.lit(0)), F.lit("")), f"[^{c}]", ""))
-    table = table.withColumn("_sep", F.when((count(";") > count(",")) & (count(";") >= count("\t")), ";").when(count("\t") > count(","), "\t").otherwise(","))
-    pattern = F.concat(F.col("_sep"), F.lit(UNQUOTED))
-    cells = F.transform("_lines", lambda x: F.transform(F.split(x, pattern, -1), lambda c: F.regexp_replace(F.trim(c), '^"(.*)"$', "$1")))
-    table = table.select("file_path", cells.alias("_cells"))
-    return table.select("file_path", F.get("_cells", F.lit(0)).alias("header"), F.slice("_cells", F.lit(2), F.greatest(F.size("_cells") - 1, F.lit(0))).alias("rows"))
+    raw = spark.read.option("recursiveFileLookup", True).text(root)
+    raw = raw.where(X.file_name(table_path(X.file_path())).rlike(name_pattern(glob)))
+    skip = F.trim("value") == ""
+    if comment:
+        skip |= F.startswith(F.col("value"), F.lit(comment))
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = raw.select(X.file_path().alias("file_path"), F.rtrim("value").alias("value"), place.alias("_at"), skip.alias("_skip")).where("not _skip")
+    first = lines.groupBy("file_path").agg(F.min_by("value", "_at").alias("first"))
+    count = lambda c: F.length(F.regexp_replace("first", f"[^{c}]", ""))
+    sep = F.when((count(";") > count(",")) & (count(";") >= count("\t")), ";").when(count("\t") > count(","), "\t").otherwise(",")
+    heads = durable(first.withColumn("separator", sep).withColumn("header", cells_of(F.col("first"), F.col("separator"))).withColumn("path", table_path(F.col("file_path"))))
+    return lines.select("file_path", "value"), heads
+
+
+def cells_of(line: Column, separator: Column) -> Column:
+    """The trimmed cells of a line, without the quotes around them."""
+    plain = F.split(line, separator, -1)
+    parts = F.when(F.contains(line, F.lit('"')), F.split(line, F.concat(separator, F.lit(UNQUOTED)), -1)).otherwise(plain)
+    return F.transform(parts, lambda c: F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"))
+
+
+def with_headers(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """The rows of the files in ``heads``, with their columns and ``_cells``; a file's lines need not meet in one task."""
+    rows = lines.join(heads, "file_path").where(F.col("value") != F.col("first"))
+    return rows.withColumn("_cells", cells_of(F.col("value"), F.col("separator"))).drop("value")
 
 
 def cell(cells: Column, header: Column, name: str) -> Column:
@@ -78,14 +118,16 @@ def cell(cells: Column, header: Column, name: str) -> Column:
     return F.when(at > 0, F.get(cells, (at - 1).cast("int")))
 
 
-def csv_lines(files: DataFrame, kinds: dict[str, str] | None = None, other: str = "string") -> DataFrame:
-    """All lines, columns matched by name over all headers; ``kinds`` gives types by name, ``other`` that of the rest."""
-    names = sorted(r[0] for r in files.select(F.explode("header")).distinct().collect())  # as many as there are names
-    rows = files.withColumn("_cells", F.explode("rows"))
-    typed = [cell(F.col("_cells"), F.col("header"), n) for n in names]
+def csv_lines(lines: DataFrame, heads: DataFrame, kinds: dict[str, str] | None = None, other: str = "string", keep: tuple = ()) -> DataFrame:
+    """All lines, columns matched by name over all headers; ``kinds`` gives types by name, ``other`` that of the rest.
+
+    ``keep`` names columns of ``heads`` to carry along.
+    """
+    names = sorted(r[0] for r in heads.select(F.explode("header")).distinct().collect())  # as many as there are names
     cast = {n: (kinds or {}).get(n, other) for n in names}
-    return rows.select(
-        "file_path", *[(c if cast[n] == "string" else c.try_cast(cast[n])).alias(n) for n, c in zip(names, typed)]
+    typed = [cell(F.col("_cells"), F.col("header"), n) for n in names]
+    return with_headers(lines, heads).select(
+        "file_path", *keep, *[(c if cast[n] == "string" else c.try_cast(cast[n])).alias(n) for n, c in zip(names, typed)]
     )
 
 
@@ -117,12 +159,12 @@ def collect_node_features(spark, root: str, glob="*{znorm,normpre}.csv", kinds:
 
     The first, unnamed column is the channel; others are numbers unless ``kinds`` says otherwise.
     """
-    files = _tagged(csv_files(spark, root, glob), root, "file_path")
+    lines, heads = csv_rows(spark, root, glob)
+    heads = _tagged(heads, root, "path")
     named = F.concat(F.array(F.lit("electrode")), F.slice("header", F.lit(2), F.greatest(F.size("header") - 1, F.lit(0))))
-    good = files.where("_parts is not null").withColumn("header", named)
-    tags = good.select("file_path", "dataset", "outcome", "phase", "patient", "seizure", "epoch", "is_avg")
-    lines = csv_lines(good, {"electrode": "string", **(kinds or {})}, "double")
-    return nan_to_null(lines.join(tags, "file_path")), files.where("_parts is null").select("file_path")
+    good = heads.where("_parts is not null").withColumn("header", named)
+    tags = ("dataset", "outcome", "phase", "patient", "seizure", "epoch", "is_avg")
+    return nan_to_null(csv_lines(lines, good, {"electrode": "string", **(kinds or {})}, "double", tags)), heads.where("_parts is null").select("file_path")
 
 
 def value_column(df: DataFrame, aliases: list[str], keys=("source", "target")) -> str:
@@ -136,15 +178,17 @@ def value_column(df: DataFrame, aliases: list[str], keys=("source", "target")) -
     return numeric[0]
 
 
-def file_value_position(aliases: list[str], header="header", rows="rows", keys=("source", "target")) -> Column:
-    """S5 per file: position (from 0) of the first alias in the header, else of the first column of numbers."""
-    found = [F.nullif(F.array_position(header, a), F.lit(0)) - 1 for a in aliases]
+def value_positions(lines: DataFrame, heads: DataFrame, keys=("source", "target")) -> DataFrame:
+    """S5 per file: ``heads`` with ``_at``, the position (from 0) of the first of its ``_aliases`` in the header, else of
+    the first column, keys apart, that holds numbers or nothing in every row; null without one."""
+    at = F.get(F.filter(F.transform("_aliases", lambda a: F.array_position("header", a)), lambda i: i > 0), F.lit(0)) - 1
+    heads = heads.withColumn("_alias", at.cast("int"))
+    rows = with_headers(lines, heads.where("_alias is null and _aliases is not null"))
     number = lambda c: c.isNull() | (c == "") | c.try_cast("double").isNotNull()
-    free = F.filter(
-        F.sequence(F.lit(0), F.size(header) - 1),
-        lambda i: ~F.get(F.col(header), i).isin(*keys) & F.forall(rows, lambda r: number(F.get(r, i))),
-    )
-    return F.coalesce(*found, F.get(free, F.lit(0))).cast("int")
+    fits = F.transform(F.sequence(F.lit(0), F.size("header") - 1), lambda i: F.struct(i.alias("i"), (~F.get("header", i).isin(*keys) & number(F.get("_cells", i))).alias("ok")))
+    free = rows.select("file_path", F.explode(fits).alias("f")).groupBy("file_path", "f.i").agg(F.bool_and("f.ok").alias("ok"))
+    free = free.where("ok").groupBy("file_path").agg(F.min("i").alias("_free"))
+    return heads.join(free, "file_path", "left").withColumn("_at", F.coalesce("_alias", "_free")).drop("_alias", "_free")
 
 
 def collect_edge_features(spark, root: str, metrics=tuple(EDGE_VALUES)) -> tuple[DataFrame, DataFrame]:
@@ -152,20 +196,18 @@ def collect_edge_features(spark, root: str, metrics=tuple(EDGE_VALUES)) -> tuple
 
     Matrix, adjacency and Laplacian files are no edge files and are passed over.
     """
-    files = csv_files(spark, root, "*_EDGE_*.csv").where(~X.ignored_edge_file(X.file_name(F.col("file_path"))))
-    p = F.regexp_replace(F.col("file_path"), r"^file:/+", "/")
-    d = X.directory_metadata(X.directory_parts(p, root), X.EDGE_FOLDER)
+    lines, heads = csv_rows(spark, root, "*_EDGE_*.csv")
+    heads = heads.where(~X.ignored_edge_file(X.file_name(F.col("path")))).withColumn("_parts", X.edge_name_parts(X.file_name(F.col("path"))))
+    d = X.directory_metadata(X.directory_parts(F.col("path"), root), X.EDGE_FOLDER)
     n = X.file_metadata(F.col("_parts"), edge=True)
-    files = files.withColumn("_parts", X.edge_name_parts(X.file_name(p))).withColumn("_metric", n["feature"])
-    files = files.where(F.col("_metric").isin(*metrics) | F.col("_parts").isNull())
-    at, std = F.lit(None).cast("int"), F.lit(None).cast("string")
+    heads = heads.withColumn("_metric", n["feature"]).where(F.col("_metric").isin(*metrics) | F.col("_parts").isNull())
+    aliases, std = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
     for m in metrics:
-        aliases, name = EDGE_VALUES[m]
-        at = F.when(F.col("_metric") == m, file_value_position(aliases)).otherwise(at)
-        std = F.when(F.col("_metric") == m, name).otherwise(std)
-    files = files.withColumns({"_at": at, "_std": std})
-    ok = F.col("_parts").isNotNull() & F.array_contains("header", "source") & F.array_contains("header", "target") & F.col("_at").isNotNull()
-    rows = files.where(ok).withColumn("_cells", F.explode("rows"))
+        aliases = F.when(F.col("_metric") == m, F.array(*map(F.lit, EDGE_VALUES[m][0]))).otherwise(aliases)
+        std = F.when(F.col("_metric") == m, EDGE_VALUES[m][1]).otherwise(std)
+    ends = F.array_contains("header", "source") & F.array_contains("header", "target") & F.col("_parts").isNotNull()
+    heads = durable(value_positions(lines, heads.withColumns({"_aliases": aliases, "_std": std, "_ok": F.coalesce(ends, F.lit(False))})))
+    rows = with_headers(lines, heads.where("_ok and _at is not null"))
     end = lambda k: cell(F.col("_cells"), F.col("header"), k).alias(k)
     edges = rows.select(
         d["dataset"].alias("dataset"), d["outcome"].alias("outcome"), F.coalesce(d["phase"], n["phase"]).alias("phase"),
@@ -173,7 +215,7 @@ def collect_edge_features(spark, root: str, metrics=tuple(EDGE_VALUES)) -> tuple
         n["is_avg"].alias("is_avg"), end("source"), end("target"), F.col("_std").alias("feature"),
         F.get("_cells", F.col("_at")).try_cast("double").alias("value"), "file_path",
     )
-    return nan_to_null(edges), files.where(~F.coalesce(ok, F.lit(False))).select("file_path")
+    return nan_to_null(edges), heads.where("not _ok or _at is null").select("file_path")
 
 
 def list_paths(spark, root: str, glob="*") -> DataFrame:
@@ -261,9 +303,9 @@ def wide_to_long(wide: DataFrame, ids: list[str], node_map: DataFrame | None = N
 
 def read_series(spark, root: str, glob="seiz_*_seq_*[0-9].csv") -> DataFrame:
     """Every series file by its own header, comment lines skipped, in long form."""
-    files = csv_files(spark, root, glob, comment="#")
-    rec, seq = X.series_file(X.file_name(F.col("file_path")))
-    rows = files.withColumn("_cells", F.explode("rows"))
+    lines, heads = csv_rows(spark, root, glob, comment="#")
+    rec, seq = X.series_file(X.file_name(F.col("path")))
+    rows = with_headers(lines, heads)
     step = cell(F.col("_cells"), F.col("header"), "t").try_cast("int")
     pairs = F.explode(F.filter(F.arrays_zip(F.col("header").alias("k"), F.col("_cells").alias("v")), lambda x: F.startswith(F.lower(x["k"]), F.lit("node_"))))
     long = rows.select("file_path", rec.alias("seizure_id"), seq.alias("seq_idx"), step.alias("t"), pairs.alias("_c"))
@@ -308,8 +350,9 @@ def with_outcomes(parts: dict[str, DataFrame], key: str) -> DataFrame:
 def read_predictions(spark, root: str, kinds: dict[str, str] | None = None, file="cv_val_predictions_ranked.csv") -> DataFrame:
     """The prediction files of all runs and experiments in one scan, each by its own header."""
     kinds = {"y_score": "double", "is_SOZ": "int", "seq_idx": "int", "node_index": "int", "rank": "int", "fold": "int"} | (kinds or {})
-    run, exp = X.experiment_path(F.col("file_path"))
-    return nan_to_null(csv_lines(csv_files(spark, root, file), kinds)).withColumns({"run": run, "experiment": exp})
+    lines, heads = csv_rows(spark, root, file)
+    run, exp = X.experiment_path(F.col("path"))
+    return nan_to_null(csv_lines(lines, heads, kinds, keep=("path",))).withColumns({"run": run, "experiment": exp}).drop("path")
 
 
 def selected_epochs(manifest: DataFrame, epochs: DataFrame, keys: list[str], ids="selected_epoch_ids", status="status", epoch="epoch") -> DataFrame:

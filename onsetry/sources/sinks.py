@@ -23,3 +23,15 @@ def write_table(df: DataFrame, path: str, fmt="parquet", partition_by: str | Non
     else:
         raise ValueError(f"unknown format {fmt}")
     return path
+
+
+def write_tree(df: DataFrame, root: str, folders: list[str], separator=",", mode="append") -> str:
+    """A tree of CSV tables with a header each: the last of the ``folders`` columns names the table, the others its folders.
+
+    Calls on one root add to it; columns may differ from call to call. Rows are spread by range over folders and the
+    other columns, so that a table with most of the rows is written by several tasks.
+    """
+    rest = [c for c in df.columns if c not in folders]
+    spread = df.repartitionByRange(*folders, *rest[:2])
+    spread.write.partitionBy(*folders).mode(mode).option("header", True).option("sep", separator).csv(root)
+    return root

@@ -113,3 +113,39 @@ def test_safe_parsing(spark):
     df = spark.createDataFrame([("7",), ("7.9",), ("x",), ("nan",), ("",)], "s string")
     rows = df.select(SC.to_int(F.col("s")).alias("i"), SC.to_float(F.col("s")).alias("f")).collect()
     assert [r.i for r in rows] == [7, 7, None, None, None] and [r.f for r in rows] == [7.0, 7.9, None, None, None]
+
+
+def test_files_are_split_anywhere(spark, tmp_path):
+    """Byte ranges smaller than a line: each row comes once, under its file's own header."""
+    a = "CHUM/sc_fc/preictal/NODE_features_SOZ/P1"
+    write(tmp_path, f"{a}/P1_preictal_0_NODEfeatures_epoch_3_znorm.csv", "\n,ll,rms\n" + "".join(f"A{i},{i},{i / 2}\n" for i in range(300)))
+    write(tmp_path, f"{a}/P1_preictal_1_NODEfeatures_epoch_3_znorm.csv", ',rms;x,"ll"\r\n' + "".join(f'"B{i}, b",{i},{-i}\r\n' for i in range(300)) + ',rms;x,"ll"\r\n')
+    write(tmp_path, f"{a}/P1_preictal_2_NODEfeatures_epoch_3_znorm.csv", "")
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    for k in sizes:
+        spark.conf.set(k, "48")
+    try:
+        df, rejected = S.collect_node_features(spark, str(tmp_path))
+        lines, _ = S.csv_rows(spark, str(tmp_path), "*_znorm.csv")
+        assert lines.rdd.getNumPartitions() > 20 and rejected.count() == 0
+        rows = {(r.seizure, r.electrode): r for r in df.collect()}
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+    assert len(rows) == 600
+    assert all(rows[0, f"A{i}"].ll == i and rows[0, f"A{i}"].rms == i / 2 for i in range(300))
+    assert all(rows[1, f"B{i}, b"].ll == -i and rows[1, f"B{i}, b"]["rms;x"] == i for i in range(300))
+
+
+def test_value_column_is_the_first_with_numbers_only_in_every_row(spark, tmp_path):
+    a = "CHUM/sc_fc/ictal/EDGE_features_SOZ/P2/P2_ictal_5_EDGE_psi1245_epoch_1.csv"
+    write(tmp_path, a, "source,note,target,w\n" + "".join(f"A,{i},B{i},{i}.5\n" for i in range(50)) + "A,text,B,7\n")
+    edges, rejected = S.collect_edge_features(spark, str(tmp_path))
+    assert {r.value for r in edges.collect()} == {i + 0.5 for i in range(50)} | {7.0} and rejected.count() == 0
+
+
+def test_glob_patterns():
+    import re
+
+    for glob, yes, no in (("*{znorm,normpre}.csv", "a_znorm.csv", "a_znorm.csv.gz"), ("seiz_*_seq_*[0-9].csv", "seiz_1_seq_004.csv", "seiz_1_seq_4_nodes.csv"), ("?.csv", "a.csv", "ab.csv")):
+        assert re.match(S.name_pattern(glob), yes) and not re.match(S.name_pattern(glob), no)
