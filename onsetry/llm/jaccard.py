@@ -7,11 +7,13 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from onsetry.llm.common import NOT_SPACE, Words, bounded, components, gram_hash, mix64, slices, stored
 from onsetry.llm.registry import query, read
 
+#: An element in the heads of so many different sets is common and comes last in the order of elements.
+COMMON = 16
 SHINGLE, THRESHOLD = 5, Fraction(4, 5)
 SENT_ROWS = 1_000_000  # ids or pairs that may be sent to every task
 
@@ -42,31 +44,21 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def set_digests(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, fa, fb): set size and 128 bits that equal sets share."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                row, value, n = shingles(part.column("text"), width)
-                fa, fb = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-                np.add.at(fa, row, mix64(value))
-                np.add.at(fb, row, mix64(value ^ np.uint64(0x5851F42D4C957F2D)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), _signed(fa), _signed(fb)], ["id", "n", "fa", "fb"])
-
-    return docs.mapInArrow(digest, "id long, n long, fa long, fb long")
-
-
 def allowance(n: np.ndarray, t: Fraction) -> np.ndarray:
     """How many of its own elements a set of ``n`` may miss in a partner: n - ceil(t n)."""
     return n - -(-n * t.numerator // t.denominator)
 
 
+def spare(n: np.ndarray, t: Fraction) -> np.ndarray:
+    """By how many elements a head is longer than the allowance."""
+    return np.maximum(allowance(n, t) // 2, 1)
+
+
 def index_lists(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """(token, id, f, need): the head of every set in hash order, twice as long as a prefix filter needs.
+    """(token, id, f, n, pos): the head of every set in hash order, half as long again as a prefix filter needs.
 
-    Two linked sets miss ``allowance`` elements of each other at most; of heads longer by ``need`` elements they share
-    ``need`` or more. So a set with fewer shared elements in its head than ``need`` of its least partner has none.
+    Two linked sets miss ``allowance`` elements of each other at most; of heads longer by ``spare`` elements they share
+    ``spare`` or more. So a set with fewer shared elements in its head than its least partner's ``spare`` has none.
     """
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,17 +67,14 @@ def index_lists(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
                 row, value, n = shingles(part.column("text"), width)
                 f = np.zeros(len(n), np.uint64)
                 np.add.at(f, row, mix64(value))
-                first = np.cumsum(n) - n
-                least = -(-n * t.numerator // t.denominator)  # size of the least partner
-                extra, need = np.maximum(allowance(n, t) // 2, 1), np.maximum(allowance(least, t) // 2, 1)
-                keep = np.arange(len(row)) - first[row] < (allowance(n, t) + extra)[row]
-                row, value = row[keep], value[keep]
+                pos = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+                keep = pos < (allowance(n, t) + spare(n, t))[row]
+                row, value, pos = row[keep], value[keep], pos[keep]
                 ids = np.asarray(part.column("id"))
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(value), pa.array(ids[row]), _signed(f[row]), pa.array(need[row].astype(np.int32))], ["token", "id", "f", "need"]
-                )
+                columns = [_signed(value), pa.array(ids[row]), _signed(f[row]), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "id", "f", "n", "pos"])
 
-    return docs.mapInArrow(heads, "token long, id long, f long, need int")
+    return docs.mapInArrow(heads, "token long, id long, f long, n int, pos int")
 
 
 SKETCH_WORDS = 16  # 64-bit words of a parity sketch
@@ -102,22 +91,35 @@ def parity_sketch(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def set_digests(docs: DataFrame, width: int) -> DataFrame:
+    """(id, n, fa, fb, sketch): set size, 128 bits that equal sets share, and the parity sketch."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                row, value, n = shingles(part.column("text"), width)
+                fa, fb = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+                np.add.at(fa, row, mix64(value))
+                np.add.at(fb, row, mix64(value ^ np.uint64(0x5851F42D4C957F2D)))
+                sketch = _signed(parity_sketch(row, value, len(n)).ravel())
+                fixed = pa.array(np.arange(len(n) + 1, dtype=np.int32) * SKETCH_WORDS)
+                columns = [part.column("id"), pa.array(n), _signed(fa), _signed(fb), pa.ListArray.from_arrays(fixed, sketch)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "fa", "fb", "sketch"])
+
+    return docs.mapInArrow(digest, "id long, n long, fa long, fb long, sketch array<long>")
+
+
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, tokens, sketch): the whole shingle set, and its parity sketch."""
+    """(id, n, tokens): the whole shingle set."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 row, value, n = shingles(part.column("text"), width)
                 ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                sketch = _signed(parity_sketch(row, value, len(n)).ravel())
-                fixed = pa.array(np.arange(len(n) + 1, dtype=np.int32) * SKETCH_WORDS)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n), pa.ListArray.from_arrays(ends, _signed(value)), pa.ListArray.from_arrays(fixed, sketch)],
-                    ["id", "n", "tokens", "sketch"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.ListArray.from_arrays(ends, _signed(value))], ["id", "n", "tokens"])
 
-    return docs.mapInArrow(collect, "id long, n long, tokens array<long>, sketch array<long>")
+    return docs.mapInArrow(collect, "id long, n long, tokens array<long>")
 
 
 def _alike(t: Fraction, a: str = "sa", b: str = "sb") -> str:
@@ -126,15 +128,60 @@ def _alike(t: Fraction, a: str = "sa", b: str = "sb") -> str:
     return f"coalesce({bits} * {t.denominator + t.numerator} <= (na + nb) * {t.denominator - t.numerator}, true)"
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold; only sets that a likely pair names are moved."""
-    brief = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+def _texts(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """The sets of the documents that ``ids`` names; several rows may carry one id."""
+    chosen = docs.join(bounded(ids, SENT_ROWS), "id", "left_semi")
+    return stored(sets_of(chosen, width).where("n > 0").dropDuplicates(["id", "n", "tokens"]))
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, about: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold; only sets that pairs with near sketches name are made."""
+    brief = lambda x: about.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     pairs = stored(pairs.join(brief("a"), "a").join(brief("b"), "b").where(_alike(t)).select("a", "b").distinct())
+    sets = _texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), width)
     one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    two = two.join(bounded(pairs.select("b").distinct(), SENT_ROWS), "b", "left_semi")
     both = one.join(bounded(pairs, SENT_ROWS), "a").join(two, "b").withColumn("o", F.size(F.array_intersect("ta", "tb")).cast("long"))
-    return both.where(f"o * {t.denominator} >= (na + nb - o) * {t.numerator}").select("a", "b", "na", "nb")
+    return both.where(f"o * {t.denominator} >= (na + nb - o) * {t.numerator}").select("a", "b")
+
+
+def prefixes(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """(token, id, n, pos): elements that different sets share, by the prefixes of the sets that may have a partner.
+
+    The order of elements is: common ones (``COMMON``) last, then by hash. One shuffle brings the heads together by
+    element; elements of one set alone, and all but one of several copies, end there. The other prefixes follow from
+    the same heads: they are half as long again as needed, so leaving out the common elements mostly leaves a whole
+    prefix. The few sets for which it does not are cut into elements once more.
+    """
+    heads = index_lists(docs.where("id is not null"), width, t)
+    by = Window.partitionBy("token")
+    heads = heads.withColumns({"set": F.dense_rank().over(by.orderBy("f")), "copy": F.row_number().over(Window.partitionBy("token", "f").orderBy("id"))})
+    shared = heads.where("copy = 1").withColumn("df", F.max("set").over(by)).where("df > 1")
+    shared = stored(shared.select("token", "id", "f", "n", "pos", (F.col("df") >= COMMON).alias("common")))
+
+    def misses(n: str) -> Column:  # ``allowance``
+        return F.expr(f"{n} + cast(floor(-{n} * {t.numerator} / {t.denominator}) as int)")
+
+    def half(x: Column) -> Column:  # ``spare``
+        return F.greatest(F.floor(x / 2).cast("int"), F.lit(1))
+
+    shared = shared.withColumns({"allowed": misses("n"), "least": (F.col("n") - misses("n")).cast("int")}).withColumn("need", half(misses("least")))
+    counts = shared.groupBy("id", "f").agg(
+        F.count("*").alias("c"), F.first("need").alias("need"), F.sum(F.col("common").cast("int")).alias("commons"), F.first("allowed").alias("allowed")
+    ).where("c >= need")
+    alive = stored(counts.select("id", "f", (F.col("commons") < half(F.col("allowed"))).alias("whole")))
+    rows = shared.join(alive, ["id", "f"])
+    before = F.sum(F.col("common").cast("int")).over(Window.partitionBy("id", "f").orderBy("pos"))
+    short = rows.where("whole").withColumn("pos", F.col("pos") - before).where("not common and pos <= allowed").select("token", "id", "n", "pos")
+
+    again = _texts(docs, alive.where("not whole").select("id").distinct(), width)
+    common = shared.where("common").select("token").distinct()
+    tokens = again.select("id", F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("place", "token"))
+    tokens = tokens.join(common.withColumn("common", F.lit(True)), "token", "left").withColumn("common", F.coalesce("common", F.lit(False)))
+    # the order within a set: not common ones first, each kind by hash, which is the order of the array
+    number = F.row_number().over(Window.partitionBy("id", "n").orderBy("common", "place")) - 1
+    long = tokens.withColumn("pos", number).where(F.col("pos") <= misses("n")).select("token", "id", "n", "pos")
+    return stored(short.union(long).select("token", "id", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos")))
 
 
 def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -145,9 +192,9 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     one class from the start, so thousands of copies cost no pair.
 
     1. Skipping sets: index lists over the head of each set in hash order; a set that shares too few head elements
-       with other sets cannot have a partner and drops out. Counting is combined before the shuffle.
-    2. Skipping in the lists: the sets left are ordered rarest element first (exact counts among them); lists hold the
-       prefix, and entries are passed over by size and by position.
+       with other sets cannot have a partner and drops out.
+    2. Skipping in the lists: the lists hold the prefixes of the sets left, common elements last (``prefixes``), and
+       entries are passed over by size and by position.
     3. Answers from similar sets: in each list the most central set (least far down in its own order) is verified
        first. Sets tied by these links share an answer; only pairs from different components are verified then, so
        no link between components is lost and none inside is looked for. Parity sketches, which never differ in more
@@ -161,21 +208,10 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     usable = members.where("n > 0 and id is not null")
     classes = usable.groupBy("n", "fa", "fb").agg(F.min("id").alias("rep"))
 
-    heads = index_lists(lean.where("id is not null"), width, threshold)
-    shared = heads.groupBy("token").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo < hi").select("token")
-    alive = heads.join(shared, "token").groupBy("id", "f").agg(F.count("*").alias("c"), F.first("need").alias("need")).where("c >= need")
-    reps = stored(classes.join(alive.select(F.col("id").alias("rep"), F.col("f").alias("fa")), ["rep", "fa"]).select("rep", "fa").distinct())
-
-    # several rows may carry one id: the digest tells which text stands for the class
-    texts = lean.join(bounded(reps.select(F.col("rep").alias("id")).distinct(), SENT_ROWS), "id", "left_semi")
-    sets = stored(sets_of(texts, width).where("n > 0").dropDuplicates(["id", "n", "tokens"]))
-
-    tokens = sets.select("id", "n", F.explode("tokens").alias("token"))
-    frequency = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    known = tokens.join(frequency, "token").withColumn("row", F.row_number().over(Window.partitionBy("id", "n").orderBy("df", "token")))
-    known = known.withColumn("pos", F.col("n") - F.count("*").over(Window.partitionBy("id", "n")) + F.col("row") - 1)
-    allowed = F.expr(f"n - ceil(n * {threshold.numerator} / {threshold.denominator})")
-    prefix = stored(known.where(F.col("pos") <= allowed).select("token", "id", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos")))
+    prefix = prefixes(lean, width, threshold)
+    about = usable.groupBy("id").agg(F.count_distinct("n", "fa", "fb").alias("c"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    # an id with several texts has no sketch of its own
+    about = about.select("id", *[F.when(F.col("c") == 1, F.col(x)).alias(x) for x in ("n", "sketch")])
 
     num, den = threshold.numerator, threshold.denominator
     near = f"na * {den} >= nb * {num} and nb * {den} >= na * {num} and (pa + pb) * {den + num} <= (na + nb) * {den - num}"
@@ -184,7 +220,7 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("l.id").alias("b"), F.col("l.n").alias("nb"), F.col("l.pos").alias("pb")
     )
     tried = stored(star.where("a <> b").where(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    links = stored(_linked(tried, sets, threshold).select("a", "b"))
+    links = stored(_linked(tried, lean, about, width, threshold))
     groups = components(links)
 
     marked = prefix.join(groups.withColumnRenamed("id", "g"), F.col("id") == F.col("g"), "left").select(
@@ -192,17 +228,16 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     )
     open_lists = marked.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
     heads_of = prefix.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("head"))
-    sketches = sets.groupBy("id").agg(F.count("*").alias("c"), F.first("sketch").alias("sketch"))
-    one_set = F.col("c") == 1  # an id with several texts is spared what follows
-    about = heads_of.join(sketches, "id").select("id", *[F.when(one_set, F.col(x)).alias(x) for x in ("head", "sketch")])
-    marked = stored(marked.join(open_lists, "token").join(about, "id"))
+    marked = marked.join(open_lists, "token")
+    of = heads_of.join(about.drop("n"), "id").select("id", F.when(F.col("sketch").isNotNull(), F.col("head")).alias("head"), "sketch")
+    marked = stored(marked.join(of, "id"))
     one = marked.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("head").alias("ha"), F.col("sketch").alias("sa"))
     two = marked.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("head").alias("hb"), F.col("sketch").alias("sb"))
     # a pair comes from one list only, that of its first common element, and only if its sketches are near enough
     once = "coalesce(array_intersect(ha, hb)[0] = token, true)"
     first = one.join(two, "token").where(f"a > b and ca <> cb and {near} and {once} and {_alike(threshold)}")
     rest = stored(first.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-    more = stored(_linked(rest, sets, threshold).select("a", "b"))
+    more = stored(_linked(rest, lean, about, width, threshold))
 
     answers = components(links.union(more))
     own = usable.join(classes, ["n", "fa", "fb"]).select("id", "rep")
