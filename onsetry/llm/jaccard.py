@@ -78,6 +78,7 @@ def index_lists(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
 
 
 SKETCH_WORDS = 16  # 64-bit words of a parity sketch
+FOLDED = 4  # words of one that is folded, which is a sketch with fewer classes
 
 
 def parity_sketch(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -227,15 +228,12 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         "token", "id", "n", "pos", F.coalesce("component", "id").alias("comp")
     )
     open_lists = marked.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
-    heads_of = prefix.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("head"))
-    marked = marked.join(open_lists, "token")
-    of = heads_of.join(about.drop("n"), "id").select("id", F.when(F.col("sketch").isNotNull(), F.col("head")).alias("head"), "sketch")
-    marked = stored(marked.join(of, "id"))
-    one = marked.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("head").alias("ha"), F.col("sketch").alias("sa"))
-    two = marked.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("head").alias("hb"), F.col("sketch").alias("sb"))
-    # a pair comes from one list only, that of its first common element, and only if its sketches are near enough
-    once = "coalesce(array_intersect(ha, hb)[0] = token, true)"
-    first = one.join(two, "token").where(f"a > b and ca <> cb and {near} and {once} and {_alike(threshold)}")
+    folded = F.expr(f"transform(sequence(0, {FOLDED - 1}), i -> aggregate(sequence(i, {SKETCH_WORDS - 1}, {FOLDED}), 0L, (x, j) -> x ^ sketch[j]))")
+    marked = stored(marked.join(open_lists, "token").join(about.select("id", F.when(F.col("sketch").isNotNull(), folded).alias("sketch")), "id"))
+    one = marked.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"))
+    two = marked.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"))
+    # the lists carry a quarter of each sketch; ``_linked`` compares the whole ones of the pairs left
+    first = one.join(two, "token").where(f"a > b and ca <> cb and {near} and {_alike(threshold)}")
     rest = stored(first.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     more = stored(_linked(rest, lean, about, width, threshold))
 
