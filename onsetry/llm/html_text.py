@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,15 +35,20 @@ BAD_WORDS = frozenset(
 )
 GOOD_WORDS = frozenset("article body content entry main page post story text blog".split())
 PRIOR = {"article": 25.0, "main": 20.0, "section": 5.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "li": -3.0}
+#: Names that mark what readers or the site add; other bad names also occur in the names of whole layouts.
+STRONG = frozenset("comment comments disqus respond replies cookie cookies gdpr nav navbar navigation breadcrumb breadcrumbs pagination newsletter login signup".split())
+NAMED, STRONGLY = 0.5, 0.9  # a box with a bad (strong) name stays from this share of the page's points on
+DECAY = 0.5  # of the points of a container that reach the one around it
+TEXT_TAGS = frozenset("p pre td li blockquote h1 h2 h3 h4 h5 h6 dd dt".split())
 SHARE = 0.2  # of the best score, from which a sibling of the best container is kept
 
 
 class _Node:
-    __slots__ = ("parent", "tag", "points", "chars", "links", "dropped", "names", "best", "n_links")
+    __slots__ = ("parent", "tag", "points", "mass", "chars", "links", "dropped", "names", "share", "n_links", "kept", "linked")
 
-    def __init__(self, parent: _Node | None, tag: str, dropped: bool, names: frozenset):
-        self.parent, self.tag, self.dropped, self.names = parent, tag, dropped, names
-        self.points, self.chars, self.links, self.n_links, self.best = 0.0, 0, 0, 0, False
+    def __init__(self, parent: _Node | None, tag: str, dropped: bool, names: frozenset, share: float = 0.0):
+        self.parent, self.tag, self.dropped, self.names, self.share = parent, tag, dropped, names, share
+        self.points, self.mass, self.chars, self.links, self.n_links, self.kept, self.linked = 0.0, 0.0, 0, 0, 0, False, False
 
 
 class _Page(HTMLParser):
@@ -50,8 +56,9 @@ class _Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.node, self.blocks, self.nodes = _Node(None, "#root", False, frozenset()), [], []
-        self.text, self.links, self.depth_a, self.n_links = [], 0, 0, 0
+        self.root = self.node = _Node(None, "#root", False, frozenset())
+        self.blocks, self.nodes = [], []
+        self.text, self.links, self.depth_a, self.n_links, self.opened = [], 0, 0, 0, Counter()
 
     def flush(self) -> None:
         line = " ".join("".join(self.text).split())
@@ -63,17 +70,14 @@ class _Page(HTMLParser):
         self.text, self.links, self.n_links = [], 0, 0
 
     def open(self, tag: str) -> bool:
-        n = self.node
-        while n is not None:
-            if n.tag == tag:
-                return True
-            n = n.parent
-        return False
+        return self.opened[tag] > 0
 
     def pop_to(self, tag: str) -> None:
-        while self.node.tag != tag:
-            self.node = self.node.parent
-        self.node = self.node.parent
+        while True:
+            last, self.node = self.node, self.node.parent
+            self.opened[last.tag] -= 1
+            if last.tag == tag:
+                return
 
     def handle_starttag(self, tag, attrs):
         if tag == "br" or tag in VOID:
@@ -89,14 +93,17 @@ class _Page(HTMLParser):
                 n = self.node
                 while n.parent is not None and n.tag not in SCOPE | {"li", "tr", "p", "dt", "dd"}:
                     n = n.parent
-        given = dict(attrs)
-        hints = re.sub(r"(?<!\S)(?:with|without|has|no|is|show)[-_]\S*", "", f"{given.get('class') or ''} {given.get('id') or ''}".lower())
-        names = frozenset(re.split(r"[^a-z]+", hints)) - {""}
+        given, within = dict(attrs), self.open("article") or self.open("main")
+        # of a paragraph or heading the class alone tells; its id is an anchor
+        hints = f"{given.get('class') or ''} {'' if tag in TEXT_TAGS else given.get('id') or ''}".lower()
+        names = frozenset(re.split(r"[^a-z]+", re.sub(r"(?<!\S)(?:with|without|has|no|is|show)[-_]\S*", "", hints))) - {""}
         bad = tag in DROPPED or (given.get("role") or "") in BAD_ROLES or "hidden" in given or given.get("aria-hidden") == "true"
-        bad = bad or re.search(r"display\s*:\s*none", given.get("style") or "") is not None
-        bad = bad or (names & BAD_WORDS and not (names & GOOD_WORDS and tag in ("article", "main")) and tag not in ("html", "body"))
-        bad = bad or (tag == "header" and not (self.open("article") or self.open("main")))
-        self.node = _Node(self.node, tag, self.node.dropped or bool(bad), names)
+        bad = bad or re.search(r"display\s*:\s*none", given.get("style") or "") is not None or (tag == "header" and not within)
+        named = frozenset() if tag in ("html", "body") or (names & GOOD_WORDS and tag in ("article", "main")) else names & BAD_WORDS
+        named -= {"header"} if within else frozenset()
+        share = STRONGLY if named & STRONG else NAMED if named else 0.0
+        self.node = _Node(self.node, tag, self.node.dropped or bool(bad), names, share)
+        self.opened[tag] += 1
         self.nodes.append(self.node)
         if tag == "a":
             self.depth_a += 1
@@ -136,11 +143,13 @@ def main_text(html: str | None) -> str:
     """The text of the best container and its good siblings; "" if there is none.
 
     A block of text earns one point, one for each comma and up to three for its length, less the share of it that is
-    link text. Its nearest container gets all, the next half, those further out a third by depth. The container with
-    the best points, times the share of its text outside links, is lifted to the article around it, if any. Siblings
-    of a container that is no article stay if they reach a fifth of its score. Inside, lists and boxes that are
-    mostly links are left out, and so are elements that tag, role or class name as menus, headers, footers, sidebars,
-    notices, adverts, forms or comments.
+    link text. Its nearest container gets all, and each further one half of what the one inside it has. The container
+    with the best points, times the share of its text outside links, is lifted to the article around it, if any.
+    Siblings of a container that is no article stay if they reach a fifth of its score. Inside, lists and boxes that
+    are mostly links are left out, and so are elements that tag or role name as menus, headers, footers, sidebars,
+    notices, adverts, forms or comments. A class or id that does so counts against a box only if the box holds less
+    than half of the page's points (nine tenths for names that layouts do not bear, as of comments). Work is
+    proportional to the page, however deep it nests.
     """
     if not html:
         return ""
@@ -150,16 +159,21 @@ def main_text(html: str | None) -> str:
         page.rawdata = ""
     page.close()
     page.flush()
-    for owner, line, links, n_links in page.blocks:
-        points = (1 + line.count(",") + min(len(line) / 100, 3.0)) * (1 - links / len(line))
-        node, depth = owner, 0
-        if owner.tag in ("p", "pre", "td", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt"):
-            node = owner.parent
-            owner.chars, owner.links, owner.n_links = owner.chars + len(line), owner.links + links, owner.n_links + n_links
-        while node is not None:
-            node.points += points / (1 if depth == 0 else 2 if depth == 1 else 3 * depth)
-            node.chars, node.links, node.n_links = node.chars + len(line), node.links + links, node.n_links + n_links
-            node, depth = node.parent, depth + 1
+    worth = [(1 + line.count(",") + min(len(line) / 100, 3.0)) * (1 - links / len(line)) for _, line, links, _ in page.blocks]
+    for (owner, *_), points in zip(page.blocks, worth):
+        owner.mass += points
+    for n in reversed(page.nodes):  # children come after their parents
+        n.parent.mass += n.mass
+    for n in page.nodes:
+        n.dropped = n.dropped or n.parent.dropped or n.mass < n.share * page.root.mass
+    kept_blocks = [(*block, points) for block, points in zip(page.blocks, worth) if not block[0].dropped]
+    for owner, line, links, n_links, points in kept_blocks:
+        owner.chars, owner.links, owner.n_links = owner.chars + len(line), owner.links + links, owner.n_links + n_links
+        container = owner.parent if owner.tag in TEXT_TAGS else owner
+        container.points += points
+    for n in reversed(page.nodes):
+        up = n.parent
+        up.points, up.chars, up.links, up.n_links = up.points + DECAY * n.points, up.chars + n.chars, up.links + n.links, up.n_links + n.n_links
 
     def score(n: _Node) -> float:
         prior = PRIOR.get(n.tag, 0.0) + (10.0 if n.names & GOOD_WORDS else 0.0)
@@ -170,25 +184,22 @@ def main_text(html: str | None) -> str:
         if not n.dropped and n.tag != "html" and (s := score(n)) > best:
             top, best = n, s
     if top is None:
-        return " ".join(line for _, line, links, _ in page.blocks if links * 2 < len(line))
+        return " ".join(line for _, line, links, _, _ in kept_blocks if links * 2 < len(line))
     n = top
     while n is not None:
         if n.tag == "article":
             top = n
         n = n.parent
-    kept = {id(top)}
+    top.kept = True
     if top.tag not in ("article", "main", "body"):
-        kept |= {id(n) for n in page.nodes if n.parent is top.parent and not n.dropped and score(n) >= max(10.0, SHARE * best)}
-        kept |= {id(n) for n in page.nodes if n.parent is top.parent and n.tag == "p" and n.chars > 80 and n.links * 4 < n.chars}
-    out = []
-    for owner, line, links, _ in page.blocks:
-        n, linked = owner, False
-        while n is not None and id(n) not in kept:
-            linked = linked or (n.tag in ("ul", "ol", "div", "section", "table", "dl") and n.n_links >= 3 and n.links * 2 > n.chars)
-            n = n.parent
-        if n is not None and not linked:
-            out.append(line)
-    return " ".join(out)
+        for n in page.nodes:
+            if n.parent is top.parent and not n.dropped:
+                n.kept = n.kept or score(n) >= max(10.0, SHARE * best) or (n.tag == "p" and n.chars > 80 and n.links * 4 < n.chars)
+    for n in page.nodes:
+        if n.parent.kept and not n.kept:
+            boxed = n.tag in ("ul", "ol", "div", "section", "table", "dl") and n.n_links >= 3 and n.links * 2 > n.chars
+            n.kept, n.linked = True, n.parent.linked or boxed
+    return " ".join(line for owner, line, *_ in kept_blocks if owner.kept and not owner.linked)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
