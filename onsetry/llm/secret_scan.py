@@ -19,6 +19,7 @@ KINDS = [k for k, *_ in BASE] + [MARKOV]
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+UNSEEN = 0.02  # share of each row of a model that is spread over all symbols
 MIN_RATIO = 0.5  # nats per character pair by which the model of random strings must explain a candidate better
 
 
@@ -57,15 +58,21 @@ def pair_counts(samples: DataFrame, text: str = "text", secret: str = "secret",
 def model_of(counts: DataFrame) -> list[float]:
     """Log-likelihood ratios of character pairs, secret against ordinary, from their counts (s, at, n).
 
-    Two first-order Markov models over ``ALPHABET`` with add-one smoothing; other characters count as one symbol more.
-    The table has (66 + 2) squared entries of either kind, whatever was counted.
+    Two first-order Markov models over ``ALPHABET``; other characters count as one symbol more. ``UNSEEN`` of each
+    row's probability is spread evenly, so a model depends on shares only: ten times the corpus gives the same one,
+    and a pair that ordinary strings never hold (one with a digit, say) weighs a fixed amount. A symbol that was never
+    counted has an even row. The table has (66 + 2) squared entries of either kind, whatever was counted.
     """
     size = len(ALPHABET) + 1
-    table = {True: [1.0] * size * size, False: [1.0] * size * size}
+    table = {True: [0] * size * size, False: [0] * size * size}
     for r in counts.collect():
         table[r["s"]][r["at"]] += r["n"]
     total = {k: [sum(v[i * size : (i + 1) * size]) for i in range(size)] for k, v in table.items()}
-    logp = lambda k, i: math.log(table[k][i] / total[k][i // size])
+
+    def logp(k: bool, i: int) -> float:
+        n = total[k][i // size]
+        return math.log((1 - UNSEEN) * table[k][i] / n + UNSEEN / size if n else 1 / size)
+
     return [logp(True, i) - logp(False, i) for i in range(size * size)]
 
 

@@ -58,3 +58,21 @@ def test_recall_of_random_strings(spark, fitted, kind):
         found += [(t,)] if re.search("[0-9]", t) and re.search("[A-Za-z]", t) else []
     hits = spark.createDataFrame(found, "t string").where(ratio(F.col("t"), fitted) >= MIN_RATIO).count()
     assert hits >= 396, f"{hits} of 400"
+
+
+def test_the_model_depends_on_shares_not_on_size(spark):
+    docs = spark.createDataFrame(list(enumerate(texts(300))), "doc_id long, text string")
+    once = corpus_counts(docs)
+    ten = once.withColumn("n", F.col("n") * 10)
+    thousand = once.withColumn("n", F.col("n") * 1000)
+    assert model_of(once) == pytest.approx(model_of(ten), abs=1e-12) and model_of(once) == pytest.approx(model_of(thousand), abs=1e-12)
+
+
+def test_identifiers_with_a_number_are_not_secrets(spark, fitted):
+    """Camel-case names of five words of the corpus with a number at the end: at most one in fifty is flagged."""
+    words = spark.read.parquet(f"{SF}/documents.parquet").select(F.explode(F.split("text", r"[^A-Za-z]+")).alias("w")).where("length(w) between 3 and 9")
+    pool = sorted(r.w.lower() for r in words.distinct().collect())
+    rng = random.Random(9)
+    names = [(rng.choice(pool) + "".join(rng.choice(pool).capitalize() for _ in range(4)) + str(rng.randrange(100)),) for _ in range(500)]
+    hits = spark.createDataFrame(names, "t string").where(ratio(F.col("t"), fitted) >= MIN_RATIO).count()
+    assert hits <= 10, f"{hits} of 500"
