@@ -59,6 +59,23 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def aside(df: DataFrame, added: list[str]) -> tuple[list[str], list[Column]]:
+    """(names, columns) of ``df`` but the ``added`` ones, called u0, u1, ... while an operator works with names of its own."""
+    lost = {a.lower() for a in added}
+    names = [c for c in df.columns if c.lower() not in lost]
+    return names, [col(c).alias(f"u{i}") for i, c in enumerate(names)]
+
+
+def back(names: list[str]) -> list[Column]:
+    """The columns that ``aside`` put away, under their own names."""
+    return [F.col(f"u{i}").alias(c) for i, c in enumerate(names)]
+
+
+def aside_name(names: list[str], name: str) -> str:
+    """How ``aside`` calls the column ``name``."""
+    return f"u{[c.lower() for c in names].index(name.lower())}"
+
+
 def in_arrow(df: DataFrame, work, schema) -> DataFrame:
     """``df.mapInArrow``, for column names of any form (dots break the plain call); batches bear the names of ``df``."""
     names = df.columns
@@ -71,7 +88,7 @@ def in_arrow(df: DataFrame, work, schema) -> DataFrame:
 
 def hash60(*cols: Column | str, seed: int = 0) -> Column:
     """60 bits of MD5 over the columns' text (null differs from empty); any SQL engine can compute it."""
-    parts = [F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n")) for c in (F.col(c) if isinstance(c, str) else c for c in cols)]
+    parts = [F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n")) for c in (col(c) if isinstance(c, str) else c for c in cols)]
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts, F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
 
 

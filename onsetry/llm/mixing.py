@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from onsetry.llm.common import bounded, hash60, hash60_sql, stored
+from onsetry.llm.common import aside, back, bounded, col, hash60, hash60_sql, stored
 from onsetry.llm.registry import query, read
 
 BITS, LEVELS = 10, 6  # six nested histograms of 1,024 buckets resolve a 60-bit hash
@@ -83,10 +83,9 @@ def mix(docs: DataFrame, size: Column, key: list[Column | str], source: str = "s
     mix. Null sources are one source, after all others; null or empty texts have size 0 and cost nothing; rows with
     equal keys go together; no rows give no rows. Columns of ``docs`` called like an added one are replaced.
     """
-    added = ["size", "source_size", "target", "copies", "_hash"]
-    kept = [c for c in docs.columns if c not in added]
-    base = docs.select(*[F.col(f"`{c}`") for c in kept], size.cast("long").alias("size"), hash60(*key, seed=seed).alias("_hash"))
-    lean = stored(base.select(F.col(f"`{source}`").alias("source"), "size", F.col("_hash").alias("hash")))
+    names, users = aside(docs, ["size", "source_size", "target", "copies"])
+    base = docs.select(*users, col(source).alias("source"), size.cast("long").alias("size"), hash60(*key, seed=seed).alias("hash"))
+    lean = stored(base.select("source", "size", "hash"))
     sizes = lean.groupBy("source").agg(F.sum("size").alias("source_size"))
     weights = cyclic_weights(sizes.select("source")) if weights is None else weights
     plan = stored(targets(sizes, weights))
@@ -97,9 +96,9 @@ def mix(docs: DataFrame, size: Column, key: list[Column | str], source: str = "s
         F.col("source").alias("_s"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold")
     )
     plan = bounded(stored(plan), MOST_SOURCES)
-    out = base.join(plan, F.col(f"`{source}`").eqNullSafe(F.col("_s")))
-    copies = F.col("whole") + F.when(F.col("_hash") < F.col("threshold"), 1).otherwise(0)
-    return out.select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", copies.cast("long").alias("copies"))
+    out = base.join(plan, F.col("source").eqNullSafe(F.col("_s")))
+    copies = F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
+    return out.select(*back(names), "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 SQL = f"""
