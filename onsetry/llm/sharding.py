@@ -7,7 +7,7 @@ from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from onsetry.llm.common import bounded, hash60, stored
+from onsetry.llm.common import aside, back, bounded, col, hash60, stored
 from onsetry.llm.registry import query, read
 
 SPACE = 1 << 60
@@ -57,12 +57,13 @@ def assign(docs: DataFrame, key: list[Column | str], shards: int = 8, ties: list
     an added one are replaced. Many rows with one and the same key share a stretch, and so a task.
     """
     spark, nodes = docs.sparkSession, ring(shards, virtual_nodes)
-    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    names, users = aside(docs, ["shard", "slot"])
+    order = [(col(c) if isinstance(c, str) else c).alias(f"tie{i}") for i, c in enumerate(ties)]
     rows = docs.count()
     cells = max(1, rows // CELL_ROWS)
     position = hash60(*key)
     starts = F.array(*[F.lit(p) for p, _ in nodes])
-    base = docs.select(*[F.col(f"`{c}`") for c in kept], position.alias("_at"))
+    base = docs.select(*users, *order, position.alias("_at"))
     base = base.withColumn("_arc", F.size(F.filter(starts, lambda p: p < F.col("_at"))))
     base = base.withColumn("_cell", F.floor(F.col("_at") / F.lit(SPACE / cells)).cast("long"))
     counts = stored(base.groupBy("_arc", "_cell").agg(F.count("*").alias("_n")))
@@ -71,14 +72,14 @@ def assign(docs: DataFrame, key: list[Column | str], shards: int = 8, ties: list
     runs_df = spark.createDataFrame(runs or [(-1, 0, 0, 0, 0)], "arc int, first long, n long, to int, slot0 long")
     before = F.sum("_n").over(Window.partitionBy("_arc").orderBy("_cell")) - F.col("_n")
     offsets = counts.select(F.col("_arc").alias("_a"), F.col("_cell").alias("_c"), before.alias("_before"))
-    order = [F.col("_at"), *[F.col(f"`{c}`") if isinstance(c, str) else c for c in ties]]
+    order = ["_at", *[f"tie{i}" for i in range(len(ties))]]
     rank = F.row_number().over(Window.partitionBy("_arc", "_cell").orderBy(*order)).cast("long") - 1
     ranked = base.withColumn("_r", rank).join(bounded(offsets, 1_000_000), (F.col("_arc") == F.col("_a")) & (F.col("_cell") == F.col("_c")))
     ranked = ranked.withColumn("_r", F.col("_r") + F.col("_before"))
     # at most one run for each arc and shard: bounded by the ring
     inside = (F.col("_arc") == F.col("arc")) & (F.col("_r") >= F.col("first")) & (F.col("_r") < F.col("first") + F.col("n"))
     out = ranked.join(F.broadcast(runs_df), inside)
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.col("to").alias("shard"), (F.col("slot0") + F.col("_r") - F.col("first")).alias("slot"))
+    return out.select(*back(names), F.col("to").alias("shard"), (F.col("slot0") + F.col("_r") - F.col("first")).alias("slot"))
 
 
 def shard_of_keys(keys: list[int], shards: int, virtual_nodes: int = VIRTUAL_NODES) -> list[int]:
