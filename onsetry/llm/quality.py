@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from onsetry.llm.common import Words, hash60, mix64, slices, stored
+from onsetry.llm.common import Words, aside, aside_name, back, col, hash60, mix64, slices, stored
 from onsetry.llm.mixing import thresholds
 from onsetry.llm.registry import query, read
 
@@ -124,25 +124,27 @@ def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     both kinds everything is kept; rows with equal keys stay or go together. Columns called like an added one are
     replaced.
     """
-    docs = docs.drop("log_ratio", "gumbel_key", "kept")
-    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_label")).where("_id is not null and _label is not null")
+    names, users = aside(docs, ["log_ratio", "gumbel_key", "kept"])
+    known = labels.select(col(doc_id).alias("_id"), col(label).alias("_label")).where("_id is not null and _label is not null")
+    docs, doc_id, text = docs.select(*users), aside_name(names, doc_id), aside_name(names, text)
     sample = known.groupBy("_id").agg((F.min("_label") >= 1).alias("_good"))
     sample = stored(sample.orderBy(hash60("_id", seed=seed), "_id").limit(max_labelled))
     few = F.broadcast(sample)  # max_labelled rows at most
-    marked = docs.join(few, F.col(f"`{doc_id}`") == F.col("_id"), "left")
+    marked = docs.join(few, F.col(doc_id) == F.col("_id"), "left")
     model = log_ratios(count_ngrams(marked, text, "_good"))
     key = EVIDENCE * F.col("log_ratio") + gumbel([doc_id], seed)
     scored = with_score(docs, model, text).withColumn("gumbel_key", key)
     # ascending: the largest key comes first
     place = F.floor((KEY_RANGE - F.greatest(F.least(F.col("gumbel_key"), F.lit(KEY_RANGE - 1)), F.lit(-KEY_RANGE + 1))) * ((1 << 59) / KEY_RANGE))
-    lean = stored(scored.select(F.col(f"`{doc_id}`").alias("_id"), "log_ratio", place.cast("long").alias("hash")))
+    lean = stored(scored.select(F.col(doc_id).alias("_id"), "log_ratio", place.cast("long").alias("hash")))
     fitted = lean.join(few, "_id").select("log_ratio", "_good").collect()  # max_labelled documents
     tau = split_point(np.array([r[0] for r in fitted]), np.array([r[1] for r in fitted], bool))
     k = lean.where(F.col("log_ratio") >= tau).count()
     one = lean.select(F.lit("all").alias("source"), F.lit(1).cast("long").alias("size"), "hash")
     budget = docs.sparkSession.createDataFrame([("all", float(k))], "source string, rest double")
     cut = thresholds(one, budget).first()  # nothing if all are within the budget
-    return scored.withColumn("kept", F.lit(True) if cut is None else place < cut["threshold"])
+    kept = F.lit(True) if cut is None else place < cut["threshold"]
+    return scored.select(*back(names), "log_ratio", "gumbel_key", kept.alias("kept"))
 
 
 @query("op3_quality")
