@@ -8,10 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from onsetry.llm.common import ASCII_LOWER, ASCII_UPPER, WORD_BYTE, Words, gram_hash, sliding_min, slices, stored
+from onsetry.llm.common import (
+    ASCII_LOWER, ASCII_UPPER, WORD_BYTE, Words, aside, aside_name, back, col, gram_hash, sliding_min, slices, stored,
+)
 from onsetry.llm.registry import query, read
 
 WINDOW = 13
+WORD_BYTES = 16  # an index holds so many bytes of text a word at most
 GRAM = 7  # shared spans of WINDOW words hold WINDOW - GRAM + 1 grams, whose least hash is the fingerprint
 INDEX_WORDS = 4_000_000  # benchmark words that one index, sent to every task, may hold
 
@@ -105,24 +108,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     bytes. The fingerprint of 13 words is the least hash of their 7-grams, so a shared span of 13 words always shares
     one; where a document's fingerprint is in the index, every window it stands for is compared whole, which extends the
     hit. Items below 13 words are looked up whole. A document is contaminated if a twentieth (``share``) of its words
-    are hit. The index goes to every task only while the benchmark has ``index_words`` words at most; a larger one
-    is taken in blocks of that size, one pass over the documents each, and the blocks' hits are put together. Null and
+    are hit. The index goes to every task only while the benchmark's distinct items have ``index_words`` words at most, of 16 bytes
+    on average; a larger one is taken in blocks of that size, one pass over the documents each, and the blocks' hits are put together. Null and
     empty texts have no words; repeated items and null ids count as hits, null ids are not listed; an empty
     benchmark contaminates nothing. Columns called like an added one are replaced.
     """
-    added = ["n_words", "n_hit", "hit_items", "contaminated"]
-    docs = docs.drop(*added)
-    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("text"))
+    names, users = aside(docs, ["n_words", "n_hit", "hit_items", "contaminated"])
+    docs, text = docs.select(*users), aside_name(names, text)
+    items = benchmark.select(col(item_id).cast("string").alias("id"), col(item_text).alias("text"))
     lengths = F.regexp_count(F.translate("text", ASCII_UPPER, ASCII_LOWER), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
-    total = items.agg(F.sum(lengths)).first()[0] or 0
-    blocks = -(-total // index_words) or 1
+    items = items.where(lengths > 0).distinct()
+    words, size = items.agg(F.sum(lengths), F.sum(F.octet_length("text"))).first()
+    blocks = max(-(-(words or 0) // index_words), -(-(size or 0) // (WORD_BYTES * index_words)), 1)
     if blocks == 1:
-        out = _scan(docs, Index([tuple(r) for r in items.collect()]), text)  # index_words words at most
+        out = _scan(docs, Index([tuple(r) for r in items.collect()]), text)  # index_words words of WORD_BYTES bytes at most
     else:
         out = _in_blocks(docs, items, text, blocks)
-    out = out.withColumn("n_words", F.col("_words")).withColumn("n_hit", F.size("_hit").cast("long"))
-    out = out.withColumn("hit_items", F.array_sort("_items")).drop("_words", "_hit", "_items")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
+    hit = F.size("_hit").cast("long")
+    return out.select(
+        *back(names), F.col("_words").alias("n_words"), hit.alias("n_hit"), F.array_sort("_items").alias("hit_items"),
+        ((hit > 0) & (F.lit(share) * hit >= F.col("_words"))).alias("contaminated"),
+    )
 
 
 def _in_blocks(docs: DataFrame, items: DataFrame, text: str, blocks: int) -> DataFrame:
