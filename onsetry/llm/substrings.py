@@ -6,9 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from onsetry.llm.common import Words, mix64, slices, span_hash, stored
+from onsetry.llm.common import Words, aside, aside_name, back, mix64, slices, span_hash, stored
 from onsetry.llm.registry import query, read
 
 WINDOW = 35
@@ -70,7 +70,7 @@ def phrase_index(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     ["h", "c", "id", "k", "lo", "m", "r"],
                 )
 
-    return docs.mapInArrow(cut, "h long, c long, id long, k int, lo int, m int, r int")
+    return docs.mapInArrow(cut, "h long, c long, id long, k long, lo int, m int, r int")
 
 
 def phrase_windows(docs: DataFrame, window: int) -> DataFrame:
@@ -93,7 +93,7 @@ def phrase_windows(docs: DataFrame, window: int) -> DataFrame:
                     ["h", "w", "single", "id", "k", "at"],
                 )
 
-    return docs.mapInArrow(expand, "h long, w long, single boolean, id long, k int, at int")
+    return docs.mapInArrow(expand, "h long, w long, single boolean, id long, k long, at int")
 
 
 def remove_spans(docs: DataFrame, text: str) -> DataFrame:
@@ -144,12 +144,16 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     Every index lookup is a join on 64-bit anchors, then on 128 bits (anchor and context, anchor and window); counts
     are combined before the shuffle, so a passage or copy that a third of all documents hold is counted by part. Words
     end at ASCII white space. Null and empty texts have no words; shorter texts lose nothing; repeated rows are repeats
-    of each other; rows are known by id and text, so equal or null ids do no harm. No rows give no rows. Columns called
+    of each other; ids may have any type. A row is known by id and 64 bits of its text, without an integer id by 128 bits
+    of its text, so equal or null ids do no harm. No rows give no rows. Columns called
     like an added one are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "kept", "_spans")
-    id_, k = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-1)), F.hash(F.col(f"`{text}`"))
-    lean = docs.select(id_.alias("id"), k.alias("k"), F.col(f"`{text}`").alias("text"))
+    names, users = aside(docs, ["n_words", "n_removed", "kept"])
+    docs, doc_id, text = docs.select(*users), aside_name(names, doc_id), aside_name(names, text)
+    whole_number = isinstance(docs.schema[doc_id].dataType, T.IntegralType)
+    id_ = F.coalesce(F.col(doc_id).cast("long") if whole_number else F.lit(None), F.xxhash64(text))
+    k = F.xxhash64(F.lit("text"), text)
+    lean = docs.select(id_.alias("id"), k.alias("k"), F.col(text).alias("text"))
     index = phrase_index(lean, window, gram)
     # stored first: a join of two plain shuffles is one that AQE can split where an anchor is common
     twice = stored(index.groupBy("h").agg(F.sum("r").alias("n")).where("n > 1").select("h"))
@@ -167,7 +171,8 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     spans = whole.union(part).groupBy("id", "k").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
     spans = spans.select(F.col("id").alias("_id"), F.col("k").alias("_k"), "_spans")
-    return remove_spans(docs.join(spans, (id_ == F.col("_id")) & (k == F.col("_k")), "left").drop("_id", "_k"), text)
+    out = remove_spans(docs.join(spans, (id_ == F.col("_id")) & (k == F.col("_k")), "left").drop("_id", "_k"), text)
+    return out.select(*back(names), "n_words", "n_removed", "kept")
 
 
 SQL = r"""
