@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import math
 import sys
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from onsetry.functions.scalars import seeded
 from onsetry.operators.grouped import (
     MOST, average_ranks, correlation, down, numbered, ordered, pair_blocks, quantiles, split_rows, with_totals,
 )
+from onsetry.operators.permutation import permutation_test  # noqa: F401  (C18 belongs to this module's interface)
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EPS = 1e-12
+MOST_ARRANGED = 100_000  # values of U up to which an exact distribution is counted
 MEASURES = ["change_global_abs", "change_soz_abs", "change_nonsoz_abs", "change_soz_amp_abs"]
 
 
@@ -407,16 +409,89 @@ def kruskal(df, by: list[str], group: str, value: str) -> DataFrame:
     return j.select(*by, n.cast("long").alias("n"), "dof", h.alias("h"))
 
 
+def _pairwise(df, group: str, value: str) -> DataFrame:
+    names = [r[0] for r in df.where(F.col(group).isNotNull()).select(group).distinct().orderBy(group).collect()]
+    k, kind = len(names), df.schema[group].dataType.simpleString()
+    if k < 2:
+        return df.sparkSession.createDataFrame([], f"ga {kind}, gb {kind}, n1 double, n2 double, u double, z double, ties double")
+    rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+    counts = rows.groupBy(F.col(value).alias("_v")).agg(*[F.count_if(F.col(group) == g).alias(f"n{i}") for i, g in enumerate(names)])
+    run = ordered(counts.withColumn("_k", F.lit(0)), ["_k"], ["_v"], running={f"c{i}": F.col(f"n{i}") for i in range(k)})
+    a, b = np.triu_indices(k, 1)
+
+    def add(batches):
+        wins, ties, size = np.zeros((k, k)), np.zeros((k, k)), np.zeros(k)
+        for pdf in batches:
+            n = pdf[[f"n{i}" for i in range(k)]].to_numpy(float)
+            below = pdf[[f"c{i}" for i in range(k)]].to_numpy(float) - n
+            wins += n.T @ (below + n / 2)
+            # t = n_a + n_b equal values of a pair add t^3 - t
+            own, cross = (n**3 - n).sum(axis=0), (n**2).T @ n
+            ties += own[:, None] + own[None] + 3 * (cross + cross.T)
+            size += n.sum(axis=0)
+        yield pd.DataFrame({"a": a, "b": b, "n1": size[a], "n2": size[b], "u": wins[a, b], "ties": ties[a, b]})
+
+    parts = run.drop("_k", "_v").mapInPandas(add, "a int, b int, n1 double, n2 double, u double, ties double")
+    sums = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "u", "ties")]).where("n1 + n2 > 0")
+    name = F.array(*[F.lit(g) for g in names])
+    j = sums.select(name[F.col("a")].alias("ga"), name[F.col("b")].alias("gb"), "n1", "n2", (F.col("n1") + F.col("n2")).alias("_all_n"),
+                    (F.col("u") + F.col("n1") * (F.col("n1") + 1) / 2).alias("_r1"), F.col("ties").alias("_ties"))
+    return _mann_whitney_z(j).select("ga", "gb", "n1", "n2", "u", "z", F.col("_ties").alias("ties"))
+
+
 def pairwise_mann_whitney(df, group: str, value: str) -> DataFrame:
-    """Every pair of groups tested against each other; one row per pair."""
-    names = df.where(F.col(group).isNotNull()).select(group).distinct()
-    ga = names.select(F.col(group).alias("ga"), F.lit(1).alias("_j"))
-    gb = names.select(F.col(group).alias("gb"), F.lit(1).alias("_j"))
-    pairs = ga.join(gb, "_j").where("ga < gb").drop("_j")  # k(k-1)/2 rows for k group names
-    rows = df.where(F.col(group).isNotNull())
-    both = rows.join(pairs, F.col(group) == F.col("ga")).unionByName(rows.join(pairs, F.col(group) == F.col("gb")))
-    both = both.withColumn("_side", F.when(F.col(group) == F.col("ga"), "a").otherwise("b"))
-    return mann_whitney(both, ["ga", "gb"], "_side", value, "a", "b")
+    """Every pair of groups tested against each other; one row per pair.
+
+    Rows are read once: they become counts by value and group, the counts are summed up along the values, and all
+    pairs follow from products of count columns, one small matrix a task. The group names reach the driver; they
+    are as many as the root of the result's rows.
+    """
+    return _pairwise(df, group, value).drop("ties")
+
+
+def pairwise_p_values(df, group: str, value: str) -> DataFrame:
+    """The same with two-sided ``p``: exact for small groups without ties, the normal tail for all others."""
+    t = _pairwise(df, group, value)
+    return t.withColumn("p", two_sided_p(F.col("u"), F.col("n1"), F.col("n2"), F.col("ties"), F.col("z"))).drop("ties")
+
+
+@cache
+def u_tail(n1: int, n2: int) -> list[float]:
+    """P(U >= u) for u = 0 .. n1 n2 without ties, from the numbers of arrangements.
+
+    Their generating function is the Gaussian binomial coefficient: for each i up to n1 one factor 1 - x^(n2 + i) is
+    multiplied and one factor 1 - x^i divided out, in whole numbers.
+    """
+    ways = [1] + [0] * (n1 * n2)
+    for i in range(1, n1 + 1):
+        for u in range(n1 * n2, n2 + i - 1, -1):
+            ways[u] -= ways[u - n2 - i]
+        for u in range(i, n1 * n2 + 1):
+            ways[u] += ways[u - i]
+    above, out = 0, []
+    for w in reversed(ways):
+        above += w
+        out.append(above)
+    return [x / above for x in reversed(out)]
+
+
+def two_sided_p(u: Column, n1: Column, n2: Column, ties: Column, z: Column) -> Column:
+    """P of a few test rows: exact if there are no ties and one group has at most 8 rows (and the table of
+    arrangements at most ``MOST_ARRANGED`` entries), else the normal tail of ``z``."""
+
+    def one(u, a, b, t, z):
+        if pd.isna(u):
+            return None
+        a, b = int(min(a, b)), int(max(a, b))
+        if t == 0 and a <= 8 and a * b <= MOST_ARRANGED:
+            return min(1.0, 2 * u_tail(a, b)[int(max(u, a * b - u))])
+        return None if pd.isna(z) else min(1.0, math.erfc(z / math.sqrt(2)))
+
+    @F.pandas_udf("double")
+    def p(u: pd.Series, a: pd.Series, b: pd.Series, t: pd.Series, z: pd.Series) -> pd.Series:
+        return pd.Series([one(*x) for x in zip(u, a, b, t, z)], dtype=float)
+
+    return p(u, n1, n2, ties, z)
 
 
 def holm(tests: DataFrame, p="p", ident=("ga", "gb"), family: list[str] | None = None) -> DataFrame:
@@ -430,39 +505,6 @@ def holm(tests: DataFrame, p="p", ident=("ga", "gb"), family: list[str] | None =
     return out if family else out.drop("_f")
 
 
-def permutation_test(df, ident: str, group: str, value: str, n_perm: int, seed: int, statistic="group_variance") -> DataFrame:
-    """Share of seeded relabellings whose statistic reaches the observed one.
-
-    Draw d orders the rows by a hash of (row, d, seed); the i-th row takes the
-    label of the i-th row in label order, so group sizes are kept.  The statistic
-    is the weighted variance of group means, or for two groups the absolute
-    difference of means or medians.
-    """
-    rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(ident, group, value).withColumn("_k", F.lit(0))
-    labels = numbered(rows, ["_k"], [group, ident], "_pos").select("_pos", F.col(group).alias("_g"))
-    draws = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    perm = numbered(draws, ["draw"], [seeded(ident, "draw", seed=seed), ident], "_pos").join(labels, "_pos")
-    obs = rows.select(F.lit(0).alias("draw"), F.col(group).alias("_g"), value)
-    both = obs.unionByName(perm.select("draw", "_g", value))
-    if statistic == "median_difference":
-        per = quantiles(both, ["draw", "_g"], {"_m": (value, 0.5)}, {"_n": F.count(F.lit(1))})
-    else:
-        per = both.groupBy("draw", "_g").agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("_n"))
-    if statistic == "group_variance":
-        grand = F.sum(F.col("_m") * F.col("_n")) / F.sum("_n")
-        stat = F.sum(F.col("_n") * F.col("_m") * F.col("_m")) / F.sum("_n") - grand * grand
-    else:
-        stat = F.max("_m") - F.min("_m")
-    stats = per.groupBy("draw").agg(stat.alias("_s"))
-    tot = stats.where("draw = 0").select(F.col("_s").alias("observed"), F.lit(1).alias("_j"))
-    j = stats.where("draw > 0").withColumn("_j", F.lit(1)).join(tot, "_j")
-    # a relabelling equal to the data must count despite rounding
-    return j.groupBy("observed").agg(
-        F.count(F.lit(1)).alias("n_perm"),
-        ((F.count(F.when(F.col("_s") >= F.col("observed") - 1e-12, 1)) + 1) / (F.count(F.lit(1)) + 1)).alias("p"),
-    )
-
-
 # ------------------------------------------------------------------ embeddings
 def pca_2d(matrix: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
     """C20: first two principal components; their sign is arbitrary."""

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from onsetry.operators import cohort as C
-from onsetry.operators import normalize as N
+from onsetry.operators import normalize as N, permutation as P
 from onsetry.plans.bindings import FEATS, PANEL, PANEL_LONG, panel, panel_long, table
 from onsetry.plans.registry import query, r
 
@@ -275,26 +275,18 @@ def c17(spark, d):
     return C.kruskal(_values(spark, d), [], "region", "value")
 
 
-def permuted(side: str, stat: str) -> str:
-    """The same relabellings in SQL: the i-th row of a draw takes the i-th label."""
-    return f"""WITH {DIM}, {SUP}, ok AS (SELECT patient_key, {side} AS g, value FROM sp WHERE value IS NOT NULL AND region IS NOT NULL),
-lab AS (SELECT g, row_number() OVER (ORDER BY g, patient_key) AS pos FROM ok),
-dr AS (SELECT draw, value, row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', patient_key, draw, 7)), patient_key) AS pos FROM ok, range(1, 201) d(draw)),
-bo AS (SELECT 0 AS draw, g, value FROM ok UNION ALL SELECT draw, g, value FROM dr JOIN lab USING (pos)),
-pg AS (SELECT draw, g, avg(value) AS m, median(value) AS d, count(*) AS n FROM bo GROUP BY ALL),
-st AS (SELECT draw, {stat} AS s FROM pg GROUP BY draw), o AS (SELECT s AS observed FROM st WHERE draw = 0)
-SELECT {r('observed')}, count(*) AS n_perm, {r('(count(*) FILTER (s >= observed - 1e-12) + 1) / (count(*) + 1)', 'p')} FROM st, o WHERE draw > 0 GROUP BY observed"""
+DRAWS = 20_000
 
 
-@query("C18_permutation_means", permuted("region", "sum(n * m * m) / sum(n) - pow(sum(m * n) / sum(n), 2)"))
+@query("C18_permutation_means")
 def c18(spark, d):
-    return C.permutation_test(_values(spark, d), "patient_key", "region", "value", 200, 7)
+    return P.permutation_test(_values(spark, d), "patient_key", "region", "value", DRAWS, 7)
 
 
-@query("C18_permutation_medians", permuted("CASE WHEN region = 'ASIA' THEN 'in' ELSE 'out' END", "max(d) - min(d)"))
+@query("C18_permutation_medians")
 def c18m(spark, d):
     v = _values(spark, d).withColumn("side", F.when(F.col("region") == "ASIA", "in").otherwise("out"))
-    return C.permutation_test(v, "patient_key", "side", "value", 200, 7, "median_difference")
+    return P.permutation_test(v, "patient_key", "side", "value", DRAWS, 7, "median_difference")
 
 
 PAIRS = f"""pr AS (SELECT a.region AS ga, b.region AS gb FROM (SELECT DISTINCT region FROM sp) a, (SELECT DISTINCT region FROM sp) b WHERE a.region < b.region),
@@ -320,7 +312,7 @@ def c19(spark, d):
 
 @query("C16_C19_p_values")
 def c19pv(spark, d):
-    t = C.pairwise_mann_whitney(_values(spark, d), "region", "value").withColumn("p", C.normal_two_sided(F.col("z")))
+    t = C.pairwise_p_values(_values(spark, d), "region", "value")
     k = C.kruskal(_values(spark, d), [], "region", "value")
     return C.holm(t.select("ga", "gb", "p")).unionByName(
         k.select(F.lit("all").alias("ga"), F.lit("all").alias("gb"), C.chi_square_tail(F.col("h"), F.col("dof")).alias("p"),
