@@ -163,6 +163,50 @@ def percentile_edges(edges, graph: list[str], q: float, k_out_min: int) -> DataF
     return ranked.join(thr, graph).where((F.col("w") >= F.col("_thr")) | (F.col("_r") <= k_out_min)).drop("_thr", "_r")
 
 
+def zero_filled_percentile_edges(edges, nodes, graph: list[str], q: float, k_out_min: int, node="node") -> DataFrame:
+    """E11 over the full matrix of a graph's nodes, in which a missing edge weighs 0 and competes.
+
+    The matrix is known by its edges and its size: the zeros are counted between negative and positive weights, never
+    stored. A cell stays if it reaches the percentile of all n (n - 1) cells or is among the ``k_out_min`` strongest of
+    its row (edges before missing ones of weight 0, then by ``dst``). Missing cells that stay become edges of weight 0:
+    at most ``k_out_min`` a row, looked for among the first nodes of the order only, unless the percentile itself is 0 or
+    less, where the rule keeps them all. Null weights are missing; graphs of one node have no cells; edges of nodes
+    that ``nodes`` lacks are left out.
+    """
+    known = nodes.select(*graph, F.col(node).alias("src")).distinct()
+    known = numbered(known, graph, ["src"], "_j").withColumn("_j", F.col("_j") - 1)
+    ends = known.select(*graph, F.col("src").alias("dst"))
+    real = edges.where("src <> dst and w is not null").select(*graph, "src", "dst", "w")
+    real = real.join(known.drop("_j"), [*graph, "src"], "left_semi").join(ends, [*graph, "dst"], "left_semi")
+    size = known.groupBy(*graph).agg(F.count(F.lit(1)).alias("_n"))
+    held = real.groupBy(*graph).agg(F.count(F.lit(1)).alias("_m"), F.count_if(F.col("w") < 0).alias("_neg"))
+    size = size.join(held, graph, "left").fillna(0, ["_m", "_neg"]).withColumn("_cells", F.col("_n") * (F.col("_n") - 1))
+    size = size.withColumn("_zero", F.col("_cells") - F.col("_m")).withColumn("_pos", F.lit(float(q)) * (F.col("_cells") - 1))
+    # the place among the edges, in ascending order, of the cell at a place of the matrix; null for a missing edge
+    at = {c: F.when(F.col(c) < F.col("_neg"), F.col(c)).when(F.col(c) >= F.col("_neg") + F.col("_zero"), F.col(c) - F.col("_zero"))
+          for c in ("_lo", "_hi")}
+    size = size.withColumns({"_lo": F.floor("_pos"), "_hi": F.ceil("_pos")}).withColumns(at)
+    up = numbered(real, graph, ["w", "src", "dst"], "_r").withColumn("_r", F.col("_r") - 1)
+    found = up.join(size.select(*graph, "_lo", "_hi"), graph).where("_r = _lo or _r = _hi").groupBy(*graph).agg(
+        *[F.max(F.when(F.col("_r") == F.col(c), F.col("w"))).alias(f"{c}_w") for c in ("_lo", "_hi")])
+    low, high = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("_lo_w", "_hi_w"))
+    thr = size.join(found, graph, "left").select(*graph, "_n", (low + (high - low) * (F.col("_pos") - F.floor("_pos"))).alias("_thr"))
+
+    rows = real.groupBy(*graph, "src").agg(F.count(F.lit(1)).alias("_deg"), F.count_if(F.col("w") >= 0).alias("_ahead"))
+    rows = known.drop("_j").join(rows, [*graph, "src"], "left").fillna(0, ["_deg", "_ahead"]).join(thr, graph)
+    gaps = F.col("_n") - 1 - F.col("_deg")
+    ranked = numbered(real, [*graph, "src"], [down("w"), "dst"], "_r").join(rows, [*graph, "src"])
+    rank = F.col("_r") + F.when(F.col("w") < 0, gaps).otherwise(0)
+    kept = ranked.where((F.col("w") >= F.col("_thr")) | (rank <= k_out_min)).select(*graph, "src", "dst", "w")
+
+    need = F.when(F.col("_thr") <= 0, gaps).otherwise(F.greatest(F.lit(0), F.least(gaps, k_out_min - F.col("_ahead"))))
+    last = F.when(F.col("_thr") <= 0, F.col("_n") - 1).otherwise(F.least(F.col("_n") - 1, F.col("_deg") + k_out_min))
+    few = rows.withColumn("_need", need).where("_need > 0").select(*graph, "src", "_need", F.explode(F.sequence(F.lit(0), last)).alias("_j"))
+    few = few.join(known.withColumnRenamed("src", "dst"), [*graph, "_j"]).where("src <> dst").join(real, [*graph, "src", "dst"], "left_anti")
+    few = numbered(few, [*graph, "src"], ["_j"], "_r").where("_r <= _need")
+    return kept.unionByName(few.select(*graph, "src", "dst", F.lit(0.0).alias("w")))
+
+
 def top_edges(edges, graph: list[str], k: int) -> DataFrame:
     """The k strongest edges of a graph."""
     real = edges.where("src <> dst and w is not null")
@@ -189,11 +233,13 @@ def outcome_code(col) -> Column:
 
 
 def graph_index(nodes, edges, graph: list[str], name="node", outcome="outcome", first="first_ictal_epoch") -> DataFrame:
-    """Node and edge counts, label and first-ictal flag per graph."""
+    """Node and edge counts, label and first-ictal flag per graph; ``edges`` None: every two nodes have an edge."""
     n = nodes.groupBy(*graph).agg(
         F.count_distinct(name).alias("n_nodes"), F.max(outcome_code(outcome)).alias("y"),
         F.coalesce(F.bool_or(first), F.lit(False)).alias("first_ictal_epoch"),
     )
+    if edges is None:
+        return n.withColumn("n_edges", (F.col("n_nodes") * (F.col("n_nodes") - 1) / 2).cast("long"))
     e = edges.groupBy(*graph).agg(F.count(F.lit(1)).alias("n_edges"))
     return n.join(e, graph, "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0).cast("long")))
 

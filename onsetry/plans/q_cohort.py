@@ -344,10 +344,10 @@ def c21(spark, d):
 
 
 @query("C22_value_field", f"""WITH {PTS}, bx AS (SELECT min(x) - (max(x) - min(x)) * 0.06 AS x0, max(x) + (max(x) - min(x)) * 0.06 AS x1, min(y) - (max(y) - min(y)) * 0.06 AS y0, max(y) + (max(y) - min(y)) * 0.06 AS y1 FROM pt),
-gr AS (SELECT i, j, x0 + (x1 - x0) * i / 11 AS gx, y0 + (y1 - y0) * j / 11 AS gy FROM bx, range(0, 12) a(i), range(0, 12) b(j)),
+gr AS (SELECT i, j, x0 + (x1 - x0) * i / 249 AS gx, y0 + (y1 - y0) * j / 249 AS gy FROM bx, range(0, 250) a(i), range(0, 250) b(j)),
 w AS (SELECT i, j, gx, gy, sum(exp(-0.5 * (pow(gx - x, 2) + pow(gy - y, 2)) / 0.01) * CAST(g AS DOUBLE)) AS num, sum(exp(-0.5 * (pow(gx - x, 2) + pow(gy - y, 2)) / 0.01)) AS den FROM gr, pt GROUP BY ALL),
 t AS (SELECT quantile_cont(den, 0.02) AS thr FROM w)
 SELECT CAST(i AS INTEGER) AS ix, CAST(j AS INTEGER) AS iy, {r('gx', 'x')}, {r('gy', 'y')}, {r('CASE WHEN den >= thr THEN num / greatest(den, 1e-12) END', 'value')}, {r('den', 'support')} FROM w, t""")
 def c22(spark, d):
     p = _points(spark, d).withColumn("v", F.col("g").cast("double"))
-    return C.value_field(p, "x", "y", "v", gridsize=12, sigma=0.1)
+    return C.value_field(p, "x", "y", "v", gridsize=250, sigma=0.1)

@@ -238,6 +238,17 @@ def e11(spark, d):
     return E.percentile_edges(_directed(spark, d), GR, 0.95, 2)
 
 
+@query("E11_percentile_zero_filled", f"""WITH {ED}, nd AS (SELECT DISTINCT patient, seizure, electrode AS e FROM panel),
+mx AS (SELECT a.patient, a.seizure, a.e AS src, b.e AS dst, coalesce(di.w, 0) AS w, di.w IS NULL AS gap FROM nd a JOIN nd b ON a.patient = b.patient AND a.seizure = b.seizure AND a.e <> b.e
+ LEFT JOIN di ON di.patient = a.patient AND di.seizure = a.seizure AND di.src = a.e AND di.dst = b.e),
+q AS (SELECT patient, seizure, quantile_cont(w, 0.95) AS thr FROM mx GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY patient, seizure, src ORDER BY w DESC, gap, dst) AS rk FROM mx)
+SELECT patient, seizure, src, dst, {r('w')} FROM k JOIN q USING (patient, seizure) WHERE w >= thr OR rk <= 2""")
+def e11z(spark, d):
+    nodes = panel(spark, d).select(*GR, F.col("electrode").alias("node"))
+    return E.zero_filled_percentile_edges(_directed(spark, d), nodes, GR, 0.95, 2)
+
+
 @query("E12_topk_global", f"WITH {ED}, {REAL} SELECT patient, seizure, src, dst, {r('w')} FROM rl QUALIFY row_number() OVER (PARTITION BY patient, seizure ORDER BY w DESC, src, dst) <= 20")
 def e12(spark, d):
     return E.top_edges(_directed(spark, d), GR, 20)
@@ -271,9 +282,7 @@ n AS (SELECT patient, seizure, epoch, count(DISTINCT electrode) AS n_nodes, coal
 e AS (SELECT patient, seizure, epoch, count(*) AS n_edges FROM we GROUP BY ALL)
 SELECT n.*, coalesce(n.epoch = f, FALSE) AS first_ictal_epoch, coalesce(n_edges, 0) AS n_edges FROM n LEFT JOIN e USING (patient, seizure, epoch) LEFT JOIN fi USING (patient, seizure)""")
 def e15(spark, d):
-    p = panel(spark, d).select(*GR, "epoch", "electrode", "f_sum")
-    pairs = E.channel_pairs(p, [*GR, "epoch"], "electrode", [])
-    return E.graph_index(_nodes(spark, d), pairs, [*GR, "epoch"])
+    return E.graph_index(_nodes(spark, d), None, [*GR, "epoch"])
 
 
 @query("J1_matched_graphs", f"""WITH {PANEL}, k AS (SELECT DISTINCT patient, {OUTC} AS outcome, seizure, epoch FROM panel),
