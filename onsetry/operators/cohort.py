@@ -442,7 +442,7 @@ def _pairwise(df, group: str, value: str) -> DataFrame:
 def pairwise_mann_whitney(df, group: str, value: str) -> DataFrame:
     """Every pair of groups tested against each other; one row per pair.
 
-    Rows are read once: they become counts by value and group, the counts are summed up along the values, and all
+    The table is read for its group names, then once for all pairs: rows become counts by value and group, the counts are summed up along the values, and all
     pairs follow from products of count columns, one small matrix a task. The group names reach the driver; they
     are as many as the root of the result's rows.
     """
