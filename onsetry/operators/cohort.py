@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from onsetry.operators.embedding import principal_components, separation  # noqa: F401  (C21)
 from onsetry.operators.grouped import (
     MOST, average_ranks, correlation, down, numbered, ordered, pair_blocks, quantiles, split_rows, with_totals,
 )
@@ -507,77 +508,9 @@ def holm(tests: DataFrame, p="p", ident=("ga", "gb"), family: list[str] | None =
 
 # ------------------------------------------------------------------ embeddings
 def pca_2d(matrix: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
-    """C20: first two principal components; their sign is arbitrary."""
-    from pyspark.ml.feature import PCA, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(matrix)
-    out = PCA(k=2, inputCol="_v", outputCol="_p").fit(vec).transform(vec)
-    return out.select(*keep, vector_to_array("_p")[0].alias("pc1"), vector_to_array("_p")[1].alias("pc2"))
-
-
-def _point_blocks(points: DataFrame, ident: str, x: str, y: str, label: str, size: int) -> tuple[DataFrame, int]:
-    n = points.count()
-    blocks = max(1, math.ceil(n / size))
-    b = F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int").alias("_b")
-    members = F.sort_array(F.collect_list(F.struct(ident, x, y, label)))
-    packed = points.groupBy(b).agg(members.alias("_m"))
-    return packed.select("_b", *[F.col(f"_m.{c}").alias(c) for c in (ident, x, y, label)]), blocks
-
-
-def separation(points, ident: str, x: str, y: str, label: str, k=5, block=1024, drop="unknown") -> DataFrame:
-    """Silhouette and nearest-neighbour purity of labels, exact.
-
-    Both need every distance.  Points are packed into blocks of bounded size and a
-    task gets two blocks: it returns per point the distance sum to each label and
-    the k nearest of that block, so distances never become rows.
-    """
-    pts = points.where(F.col(label).cast("string") != drop).select(ident, x, y, F.col(label).cast("string").alias(label))
-    packed, blocks = _point_blocks(pts, ident, x, y, label, block)
-    cols = (ident, x, y, label)
-    left = packed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = packed.select(F.col("_b").alias("_o"), *[F.col(c).alias(f"{c}_o") for c in cols])
-    schema = f"{ident} long, {label} string, other string, total double, n long, near array<struct<d:double,i:long,l:string>>"
-
-    def run(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                r = row._asdict() if hasattr(row, "_asdict") else dict(zip(pdf.columns, row))
-                a = np.column_stack([r["x"], r["y"]]).astype(float)
-                b = np.column_stack([r["x_o"], r["y_o"]]).astype(float)
-                ida, idb = np.asarray(r["i"]), np.asarray(r["i_o"])
-                la, lb = np.asarray(r["l"], dtype=object), np.asarray(r["l_o"], dtype=object)
-                d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
-                same = ida[:, None] == idb[None]
-                order = np.lexsort((np.broadcast_to(idb, d.shape), np.round(np.where(same, np.inf, d), 9)), axis=1)[:, : k + 1]
-                names = sorted(set(lb))
-                out = []
-                for j in range(len(ida)):
-                    near = [
-                        {"d": float(round(d[j, q], 9)), "i": int(idb[q]), "l": lb[q]} for q in order[j] if not same[j, q]
-                    ][:k]
-                    for m, name in enumerate(names):
-                        hit = (lb == name) & ~same[j]
-                        out.append((int(ida[j]), la[j], name, float(d[j, hit].sum()), int(hit.sum()), near if m == 0 else []))
-                yield pd.DataFrame(out, columns=[ident, label, "other", "total", "n", "near"])
-
-    pairs = left.join(right, "_o").select(
-        F.col(ident).alias("i"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(label).alias("l"),
-        F.col(f"{ident}_o").alias("i_o"), F.col(f"{x}_o").alias("x_o"), F.col(f"{y}_o").alias("y_o"), F.col(f"{label}_o").alias("l_o"),
-    )
-    parts = pairs.mapInPandas(run, schema)
-    sums = parts.groupBy(ident, label, "other").agg(F.sum("total").alias("_t"), F.sum("n").alias("_n"))
-    mean = F.col("_t") / F.nullif(F.col("_n"), F.lit(0))
-    own = F.col("other") == F.col(label)
-    per = sums.groupBy(ident, label).agg(F.max(F.when(own, mean)).alias("_a"), F.min(F.when(~own, mean)).alias("_bb"))
-    s = F.when(F.col("_a").isNull(), 0.0).otherwise(
-        (F.col("_bb") - F.col("_a")) / F.nullif(F.greatest(F.col("_a"), F.col("_bb")), F.lit(0.0)))
-    near = parts.select(ident, label, F.explode("near").alias("_q")).select(ident, label, "_q.*")
-    near = numbered(near, [ident], ["d", "i"], "_r", hot=[]).where(F.col("_r") <= k)
-    pure = near.groupBy(ident).agg(F.avg((F.col("l") == F.col(label)).cast("double")).alias("_pur"))
-    return per.join(pure, ident, "left").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("n_groups"),
-        F.avg(s).alias("silhouette"), F.avg("_pur").alias("knn_purity"))
+    """C20: first two principal components of columns, centred; see :func:`principal_components`."""
+    rows = matrix.withColumn("_cols", F.array(*[F.col(f"`{c}`").cast("double") for c in cols]))
+    return principal_components(rows, "_cols", len(cols), keep)
 
 
 def value_field(points, x: str, y: str, v: str, gridsize=250, sigma=0.25, padding=0.06, low_support=0.02) -> DataFrame:

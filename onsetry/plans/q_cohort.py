@@ -115,7 +115,7 @@ sd AS (SELECT patient, feature, (v - avg(v) OVER (PARTITION BY feature)) / CASE
 @query("C6_patient_feature_matrix", f"{MAT} SELECT patient, feature, {r('z')} FROM sd")
 def c6(spark, d):
     s = _scores(spark, d)
-    chosen = C.chosen_features(s, 3)
+    chosen = C.chosen_features(s, len(FEATS))
     return C.patient_feature_matrix(s, chosen).unpivot("patient", chosen, "feature", "z")
 
 
@@ -322,7 +322,7 @@ def c19pv(spark, d):
 @query("C20_pca")
 def c20(spark, d):
     s = _scores(spark, d)
-    chosen = C.chosen_features(s, 3)
+    chosen = C.chosen_features(s, len(FEATS))
     return C.pca_2d(C.patient_feature_matrix(s, chosen), chosen, ["patient"])
 
 
@@ -340,7 +340,7 @@ m AS (SELECT id, g, og, avg(d) AS d FROM ds GROUP BY ALL), s AS (SELECT id, min(
 k AS (SELECT * FROM ds QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(d, 9), o) <= 5), u AS (SELECT id, avg(CASE WHEN g = og THEN 1.0 ELSE 0 END) AS u FROM k GROUP BY ALL)
 SELECT (SELECT count(*) FROM pt) AS n, (SELECT count(DISTINCT g) FROM pt) AS n_groups, {r('avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END)', 'silhouette')}, {r('avg(u)', 'knn_purity')} FROM s JOIN u USING (id)""")
 def c21(spark, d):
-    return C.separation(_points(spark, d), "id", "x", "y", "g", block=256)
+    return C.separation(_points(spark, d), "id", "x", "y", "g")
 
 
 @query("C22_value_field", f"""WITH {PTS}, bx AS (SELECT min(x) - (max(x) - min(x)) * 0.06 AS x0, max(x) + (max(x) - min(x)) * 0.06 AS x1, min(y) - (max(y) - min(y)) * 0.06 AS y0, max(y) + (max(y) - min(y)) * 0.06 AS y1 FROM pt),
@@ -351,3 +351,23 @@ SELECT CAST(i AS INTEGER) AS ix, CAST(j AS INTEGER) AS iy, {r('gx', 'x')}, {r('g
 def c22(spark, d):
     p = _points(spark, d).withColumn("v", F.col("g").cast("double"))
     return C.value_field(p, "x", "y", "v", gridsize=250, sigma=0.1)
+
+
+def _components(spark, d):
+    return C.principal_components(table(spark, d, "embeddings"), "embedding", 64, ["vec_id", "label"])
+
+
+@query("C20_embedding_components")
+def c20e(spark, d):
+    return _components(spark, d)
+
+
+@query("C20_C21_embedding_separation")
+def c20_21(spark, d):
+    return C.separation(_components(spark, d), "vec_id", "pc1", "pc2", "label")
+
+
+@query("C20_C22_embedding_field")
+def c20_22(spark, d):
+    p = _components(spark, d).withColumn("v", F.col("label").cast("double"))
+    return C.value_field(p, "pc1", "pc2", "v", gridsize=250, sigma=0.1)
