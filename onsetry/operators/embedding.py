@@ -119,7 +119,7 @@ def nearest(pts: DataFrame, k: int, cell: int = CELL) -> DataFrame:
             b = np.searchsorted(lows, pdf["x1"] + pdf["r"], side="right")
             yield pdf.assign(to=[list(range(p, q)) for p, q in zip(a, b)])
 
-    wide = boxes.mapInPandas(reached, boxes.schema.simpleString()[7:-1].replace(":", " ") + ", to array<int>")
+    wide = boxes.mapInPandas(reached, "s int, c int, x0 double, x1 double, y0 double, y1 double, r double, to array<int>")
     wide = wide.select("s", "c", "x0", "x1", "y0", "y1", "r", F.explode("to").alias("s2"))
     other = boxes.select(F.col("s").alias("s2"), F.col("c").alias("c2"), *[F.col(b).alias(f"b{b}") for b in ("x0", "x1", "y0", "y1")])
 
