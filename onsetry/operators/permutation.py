@@ -15,7 +15,9 @@ from onsetry.operators.grouped import numbered, quantiles
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_ROWS = 4096  # rows of one packed chunk
-BLOCK_DRAWS = 256  # draws that one task works on at once
+BLOCK_DRAWS = 256  # draws of one item of work
+TILE = 65536  # cells worked on at once
+TASK_CELLS = 1 << 20  # rows times draws of one task
 STEP, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB  # the SplitMix64 constants
 
 
@@ -32,15 +34,36 @@ def shuffled(places: np.ndarray, draws: np.ndarray, n: int, seed: int) -> np.nda
     of the pair decides for both whether they change places.  A place is sent on without knowledge of the others,
     so a permutation needs no sort and no shuffle.
     """
-    at = np.broadcast_to(places.astype(np.int64), (len(draws), len(places))).copy()
+    rounds = 4 * ceil(log2(n + 1)) + 8
+    out = np.empty((len(draws), len(places)), np.uint64)
     key = _mix(draws.astype(np.uint64) * np.uint64(STEP) + np.uint64(seed + 1))
-    for _ in range(4 * ceil(log2(n + 1)) + 8):
+    high = max(1, TILE // max(1, len(places)))
+    for top in range(0, len(draws), high):
+        _send(out[top : top + high], places.astype(np.uint64), key[top : top + high, None], rounds, np.uint64(n))
+    return out.view(np.int64)
+
+
+def _send(at: np.ndarray, places: np.ndarray, key: np.ndarray, rounds: int, n: np.uint64) -> None:
+    """``shuffled`` for some draws, in place: all its arrays stay in the processor's cache."""
+    at[:] = places
+    mirror, x, y = np.empty_like(at), np.empty_like(at), np.empty_like(at)
+    for _ in range(rounds):
         key = _mix(key + np.uint64(STEP))
-        mirror = (key % np.uint64(n)).astype(np.int64)[:, None] - at
-        mirror += n * (mirror < 0)
-        bit = _mix(np.maximum(at, mirror).astype(np.uint64) * np.uint64(STEP) + key[:, None]) >> np.uint64(63)
-        at = np.where(bit == 1, mirror, at)
-    return at
+        np.subtract(key % n, at, out=mirror)
+        np.add(mirror, n, out=x)
+        np.minimum(mirror, x, out=mirror)  # below 0 the first wraps to a huge number
+        np.maximum(at, mirror, out=x)
+        x *= np.uint64(STEP)
+        x += key
+        for shift, factor in ((30, MIX1), (27, MIX2)):
+            np.right_shift(x, np.uint64(shift), out=y)
+            x ^= y
+            x *= np.uint64(factor)
+        # the last step of the mix leaves the highest bit as it is; shifted with its sign it is a mask
+        np.right_shift(x.view(np.int64), 63, out=x.view(np.int64))
+        mirror ^= at
+        mirror &= x
+        at ^= mirror
 
 
 def _packed(df: DataFrame, ident: str, value: str) -> DataFrame:
@@ -51,6 +74,11 @@ def _packed(df: DataFrame, ident: str, value: str) -> DataFrame:
     return packed.withColumn("first", F.col("chunk") * CHUNK_ROWS)
 
 
+def _dealt(items: DataFrame, cells: int) -> DataFrame:
+    """Tasks by the work, not by the bytes: packed values are few, and a number of its own keeps tasks from being joined."""
+    return items.repartition(min(4096, ceil(cells / TASK_CELLS)), "chunk", "block")
+
+
 def _by_draw(packed: DataFrame, sizes: list[int], n_perm: int, seed: int, weigh: bool) -> DataFrame:
     """(draw, chunk, g0, g1, ...): sum of values (or number of rows) that each group gets from the chunk."""
     n, ends, k = sum(sizes), np.cumsum(sizes), len(sizes)
@@ -67,7 +95,7 @@ def _by_draw(packed: DataFrame, sizes: list[int], n_perm: int, seed: int, weigh:
                 yield pd.DataFrame({"draw": draws + 1, "chunk": chunk, **{f"g{j}": out[:, j].astype(float) for j in range(k)}})
 
     groups = ", ".join(f"g{j} double" for j in range(k))
-    return items.repartition("chunk", "block").mapInPandas(add, f"draw long, chunk long, {groups}")
+    return _dealt(items, n * n_perm).mapInPandas(add, f"draw long, chunk long, {groups}")
 
 
 def _medians(packed: DataFrame, sizes: list[int], n_perm: int, seed: int) -> DataFrame:
@@ -76,16 +104,12 @@ def _medians(packed: DataFrame, sizes: list[int], n_perm: int, seed: int) -> Dat
     n, ends, k = sum(sizes), np.cumsum(sizes), len(sizes)
     counts = _by_draw(packed, sizes, n_perm, seed, weigh=False)
     upto = Window.partitionBy("draw").orderBy("chunk")  # one row a chunk
-    asks = []
-    for j, size in enumerate(sizes):
-        run = counts.select("draw", "chunk", F.col(f"g{j}").alias("here"), F.sum(f"g{j}").over(upto).alias("upto"))
-        for rank in ((size - 1) // 2, size // 2):
-            before = F.col("upto") - F.col("here")
-            asks.append(run.where((before <= rank) & (F.col("upto") > rank)).select(
-                "draw", "chunk", F.lit(j).alias("g"), (F.lit(rank) - before).cast("long").alias("rank")))
-    asked = asks[0]
-    for a in asks[1:]:
-        asked = asked.unionAll(a)
+    run = counts.withColumns({f"u{j}": F.sum(f"g{j}").over(upto) for j in range(k)})
+    # one pass over the counts for all groups and ranks: they are not made again for each
+    ranks = [F.struct(F.lit(j).alias("g"), F.lit(rank).alias("rank"), F.col(f"u{j}").alias("upto"), (F.col(f"u{j}") - F.col(f"g{j}")).alias("before"))
+             for j, size in enumerate(sizes) for rank in ((size - 1) // 2, size // 2)]
+    asked = run.select("draw", "chunk", F.explode(F.array(*ranks)).alias("_a")).select("draw", "chunk", "_a.*").where(
+        "before <= rank and upto > rank").withColumn("rank", (F.col("rank") - F.col("before")).cast("long"))
     asked = asked.groupBy("chunk", F.floor((F.col("draw") - 1) / BLOCK_DRAWS).alias("block")).agg(
         F.collect_list("draw").alias("draws"), F.collect_list("g").alias("gs"), F.collect_list("rank").alias("ranks"))
 
@@ -97,7 +121,8 @@ def _medians(packed: DataFrame, sizes: list[int], n_perm: int, seed: int) -> Dat
                 got = [v[np.flatnonzero(label[r] == g)[q]] for r, g, q in zip(row, gs, ranks)]
                 yield pd.DataFrame({"draw": draws, "g": gs, "v": got})
 
-    found = asked.join(packed, "chunk").mapInPandas(pick, "draw long, g int, v double")
+    # about two chunks a draw and group hold the middle rows
+    found = _dealt(asked.join(packed, "chunk"), 2 * k * CHUNK_ROWS * n_perm).mapInPandas(pick, "draw long, g int, v double")
     return found.groupBy("draw").agg(*[F.avg(F.when(F.col("g") == j, F.col("v"))).alias(f"g{j}") for j in range(k)])
 
 

@@ -103,3 +103,13 @@ def test_p_values_exact_without_ties_and_normal_with(spark):
     every = [u(c, [v for v in both if v not in c]) for c in combinations(both, 3)]
     assert got["x", "y"].p == pytest.approx(min(1.0, 2 * sum(e >= top for e in every) / len(every)))
     assert got["t", "x"].p == pytest.approx(math.erfc(got["t", "x"].z / math.sqrt(2)) if got["t", "x"].z > 0 else 1.0)
+
+
+def test_work_is_dealt_by_cells_and_counts_are_made_once(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], float(i)) for i in range(5000)], "id long, g string, v double")
+    packed = P._packed(df, "id", "v")
+    draws = P._by_draw(packed, [2500, 2500], 1000, 3, weigh=True)
+    # two packed chunks are a few KB; five million cells must not end in one task
+    assert draws.rdd.getNumPartitions() == 5
+    plan = P._medians(packed, [2500, 2500], 1000, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 2
