@@ -84,7 +84,8 @@ def group_metrics(
     if brier:
         per.append(F.sum(F.pow(F.col("_y") - F.col(score), 2)).alias("_sq"))
     by_score = ranked.groupBy(*g, score).agg(*per).withColumn("_n", F.col("_c") - F.col("_p"))
-    run = ordered(by_score, g, [score], running={"_neg": F.col("_n")}, hot=hot)
+    # without large groups the rows still lie by group
+    run = ordered(by_score, g, [score], running={"_neg": F.col("_n")}, hot=hot or [])
     below = F.col("_neg") - F.col("_n") / 2
     fin = [
         F.sum("_c").alias("n"), F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"),

@@ -42,6 +42,24 @@ def test_ordered_equals_plain_window(tiny_splits, ties):
     assert canon(got) == canon(want)
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_rows_are_dealt_by_their_number(spark, split):
+    """Groups spread over tasks by rows, not by compressed bytes, which AQE would merge into one."""
+    spark.conf.set("onsetry.taskRows", "25")
+    spark.conf.set("onsetry.splitRows", "300" if split else "1000000")
+    try:
+        df = spark.range(2000).select((F.col("id") % 200 * (F.col("id") % 4 > 0).cast("int")).alias("k"), (-F.col("id")).alias("i"))
+        out = G.ordered(df, ["k"], ["i"], number="rn", totals={"n": F.count(F.lit(1))})
+        largest = out.groupBy("k", F.spark_partition_id().alias("p")).count().groupBy("p").agg(F.sum("count").alias("n"), F.max("count").alias("m")).collect()
+        assert len(largest) > 40
+        w = Window.partitionBy("k")
+        want = df.withColumns({"rn": F.row_number().over(w.orderBy("i")), "n": F.count(F.lit(1)).over(w)})
+        assert sorted(out.collect()) == sorted(want.collect())
+    finally:
+        spark.conf.unset("onsetry.taskRows")
+        spark.conf.unset("onsetry.splitRows")
+
+
 def test_totals_without_order(tiny_splits):
     df = tiny_splits.createDataFrame(rows(60, 2), "k string, i int, v double")
     got = {(r.k, r.i): r.m for r in G.with_totals(df, ["k"], {"m": F.max("v")}).collect()}
