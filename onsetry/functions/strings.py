@@ -113,7 +113,11 @@ def node_column(c: Column) -> tuple[Column, Column]:
 # --------------------------------------------------------------------- paths
 def file_path() -> Column:
     """Path of the scanned file with percent codes resolved."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return decoded_path(F.col("_metadata.file_path"))
+
+
+def decoded_path(path: Column) -> Column:
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def file_name(path: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from onsetry.functions import scalars as SC
 from onsetry.functions import strings as X
 from onsetry.operators import normalize as N
-from onsetry.operators.lineage import shared_dir
+from onsetry.operators.lineage import shared_dir, stored
 from onsetry.plans.bindings import FEATS, PANEL, PRED, TRACE, panel, predictions, table, traces
 from onsetry.plans.registry import query, r
 from onsetry.sources import readers as S
@@ -66,7 +66,9 @@ TREE = "tr AS (SELECT *, epoch % 2 AS rec, epoch % 3 AS ep, patient % 2 = 0 AS e
 
 
 def _tree(spark, d):
-    return panel(spark, d).withColumns({"rec": F.col("epoch") % 2, "ep": F.col("epoch") % 3, "even": F.col("patient") % 2 == 0})
+    """The panel with the columns of a tree, made once for all its tables, and its number of rows."""
+    p = stored(panel(spark, d).withColumns({"rec": F.col("epoch") % 2, "ep": F.col("epoch") % 3, "even": F.col("patient") % 2 == 0}))
+    return p, p.count()
 
 
 def _folders(p, kind, name, dataset, outcome=None):
@@ -86,16 +88,16 @@ def _name(middle, epoch):
 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'P' || patient, NULL, NULL, NULL, NULL, 1 FROM (SELECT DISTINCT patient FROM tr WHERE NOT even)""")
 def s1_tree(spark, d):
     """The whole panel as a tree of CSV tables, headers and separators differing by dataset; misnamed tables come back as rejects."""
-    root, p = work_dir(spark), _tree(spark, d)
+    root, (p, n) = work_dir(spark), _tree(spark, d)
     p = p.withColumn("_c0", F.concat_ws("-", "seizure", "electrode", "epoch"))
     epoch = F.when(F.col("ep") == 2, "avg_over_epochs_znorm.csv").otherwise(F.concat(F.lit("epoch_"), F.col("ep").cast("string"), F.lit("_znorm.csv")))
     one, folders = _folders(p.where("even"), "NODE", _name(F.lit("_NODEfeatures_"), epoch), "CHUM")
-    sinks.write_tree(one.select(*folders, "_c0", "f_sum", "f_avg", "f_max"), root, folders)
+    sinks.write_tree(one.select(*folders, "_c0", "f_sum", "f_avg", "f_max"), root, folders, rows=n)
     outcome = F.when(F.col("patient") % 4 == 1, "good outcome").otherwise("bad outcome")
     two, folders = _folders(p.where("not even"), "NODE", _name(F.lit("_NODE_features_"), epoch), "ds004100", outcome)
-    sinks.write_tree(two.select(*folders, "_c0", "f_cnt", "f_avg", "f_sum"), root, folders, ";")
+    sinks.write_tree(two.select(*folders, "_c0", "f_cnt", "f_avg", "f_sum"), root, folders, ";", rows=n)
     odd, folders = _folders(p.where("not even"), "NODE", F.lit("notes_znorm.csv"), "ds004100", outcome)
-    sinks.write_tree(odd.select(*folders, "f_cnt"), root, folders)
+    sinks.write_tree(odd.select(*folders, "f_cnt"), root, folders, rows=n)
     nodes, rejects = S.collect_node_features(spark, root)
     got = nodes.select("dataset", "outcome", "phase", "patient", "seizure", "epoch", "is_avg", "electrode", *FEATS, F.lit(0).alias("rejected"))
     bad = rejects.select(F.regexp_extract("file_path", "/l5=([^/]+)/", 1).alias("electrode"), F.lit(1).alias("rejected")).distinct()
@@ -109,18 +111,19 @@ UNION ALL SELECT NULL, 'P9', NULL, NULL, NULL, NULL, NULL, NULL, 1 FROM (SELECT
 def s2_tree(spark, d):
     """The whole panel as edge tables; the value column goes by another name in each dataset, or is only known by its numbers."""
     root = work_dir(spark)
-    p = _tree(spark, d).withColumns({
+    p, n = _tree(spark, d)
+    p = p.withColumns({
         "source": F.concat_ws("-", "seizure", "electrode"), "target": F.concat(F.lit("E"), F.col("epoch").cast("string")), "note": F.concat(F.lit("n"), F.col("epoch").cast("string"))})
     epoch = F.concat(F.lit("epoch_"), F.col("ep").cast("string"), F.lit(".csv"))
     one, folders = _folders(p.where("even"), "EDGE", _name(F.lit("_EDGE_corr_"), epoch), "CHUM")
-    sinks.write_tree(one.select(*folders, F.col("f_sum").alias("p_value"), "target", F.col("f_avg").alias("r"), "source"), root, folders, ";")
+    sinks.write_tree(one.select(*folders, F.col("f_sum").alias("p_value"), "target", F.col("f_avg").alias("r"), "source"), root, folders, ";", rows=n)
     metric = F.when(F.col("rec") == 0, "_EDGE_coh1245_").otherwise("_EDGE_psi1245_")
     two, folders = _folders(p.where("not even and patient <> 9"), "EDGE", _name(metric, epoch), "ds004100", F.lit("bad outcome"))
-    sinks.write_tree(two.select(*folders, "source", "note", "target", F.col("f_avg").alias("score"), "f_sum"), root, folders)
+    sinks.write_tree(two.select(*folders, "source", "note", "target", F.col("f_avg").alias("score"), "f_sum"), root, folders, rows=n)
     bad, folders = _folders(p.where("patient = 9"), "EDGE", _name(metric, epoch), "ds004100", F.lit("bad outcome"))
-    sinks.write_tree(bad.select(*folders, F.col("source").alias("from"), "target", "f_avg"), root, folders)
+    sinks.write_tree(bad.select(*folders, F.col("source").alias("from"), "target", "f_avg"), root, folders, rows=n)
     skip, folders = _folders(p.where("even"), "EDGE", _name(F.lit("_EDGE_corr_matrix_"), epoch), "CHUM")
-    sinks.write_tree(skip.select(*folders, "f_sum"), root, folders)
+    sinks.write_tree(skip.select(*folders, "f_sum"), root, folders, rows=n)
     edges, rejects = S.collect_edge_features(spark, root)
     got = edges.select("phase", "patient", "seizure", "epoch", "source", "target", "feature", "value", F.lit(0).alias("rejected"))
     lost = rejects.select(F.regexp_extract("file_path", "/l5=([^/]+)/", 1).alias("patient"), F.lit(1).alias("rejected")).distinct()
@@ -287,10 +290,10 @@ def s18_tree(spark, d):
     root, p = work_dir(spark), predictions(spark, d)
     p = p.withColumns({
         "l0": F.concat(F.lit("results_"), F.col("run")), "l1": F.concat(F.lit("exp"), F.col("experiment").cast("string")), "l2": F.lit("cv_val_predictions_ranked.csv")})
-    folders = ["l0", "l1", "l2"]
+    folders, n = ["l0", "l1", "l2"], p.count()
     keys = ["patient", "seizure_id", "seq_idx", "node_index"]
-    sinks.write_tree(p.where("experiment = 0").select(*folders, *keys, "y_score"), root, folders)
-    sinks.write_tree(p.where("experiment = 1").select(*folders, (F.col("row_id") % 7).alias("fold"), "y_score", *keys[::-1]), root, folders)
+    sinks.write_tree(p.where("experiment = 0").select(*folders, *keys, "y_score"), root, folders, rows=n)
+    sinks.write_tree(p.where("experiment = 1").select(*folders, (F.col("row_id") % 7).alias("fold"), "y_score", *keys[::-1]), root, folders, rows=n)
     return S.read_predictions(spark, root).select("run", "experiment", *keys, "y_score", "fold")
 
 

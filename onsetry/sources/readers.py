@@ -8,8 +8,11 @@ differ in columns and in their order; files are split by bytes, whatever their s
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from onsetry.functions import strings as X
@@ -55,6 +58,7 @@ def clean_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumns({c: F.trim(c) for c in strings})
 
 
+MOST_HEADS = 50_000  # so many headers go to every task; more are joined by shuffle
 UNQUOTED = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'  # a separator followed by whole quotes only
 
 
@@ -78,38 +82,59 @@ def table_path(path: Column) -> Column:
     return F.regexp_replace(whole, r"/[A-Za-z_][A-Za-z0-9_]*=([^/]+)", "/$1")
 
 
+def run_starts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows that follow each other in a task with the same ``keys``, the first: few rows, found without sorting."""
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if batch.num_rows:
+                cols = [batch.column(k) for k in keys]
+                new = reduce(pc.or_, [pc.not_equal(c[1:], c[:-1]) for c in cols])
+                yield batch.filter(pa.concat_arrays([pa.array([[c[0].as_py() for c in cols] != last]), new]))
+                last = [c[-1].as_py() for c in cols]
+
+    return rows.mapInArrow(starts, rows.schema)
+
+
 def csv_rows(spark, root: str, glob: str, comment: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Lines and headers of the CSV files whose name fits ``glob``: (file_path, value) and (file_path, path, header, separator, first).
+    """Lines and headers of the CSV files whose name fits ``glob``: (_file, value) and (_file, file_path, path, header, separator, first).
 
     Files are read by byte ranges, so neither a file nor a tree needs to fit anywhere. The header is the first line of
     a file that is neither blank nor a ``comment``; headers are one row per file, stored once. Lines equal to their
     file's header repeat it and are no rows; a quoted cell ends on its line. ``path`` is the table's (``table_path``).
     """
     raw = spark.read.option("recursiveFileLookup", True).text(root)
-    raw = raw.where(X.file_name(table_path(X.file_path())).rlike(name_pattern(glob)))
     skip = F.trim("value") == ""
     if comment:
         skip |= F.startswith(F.col("value"), F.lit(comment))
-    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    lines = raw.select(X.file_path().alias("file_path"), F.rtrim("value").alias("value"), place.alias("_at"), skip.alias("_skip")).where("not _skip")
-    first = lines.groupBy("file_path").agg(F.min_by("value", "_at").alias("first"))
+    cols = [F.col("_metadata.file_path").alias("_file"), F.rtrim("value").alias("value")]
+    lines = raw.where(~skip).select(*cols)
+    placed = raw.where(~skip).select(*cols, F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    # a task reads the lines of a block in order, so only the first of them can be the first of its file
+    first = run_starts(placed, ["_file", "_block"]).groupBy("_file").agg(F.min_by("value", F.struct("_block", "_id")).alias("first"))
+    # names are looked at once a file, not once a line
+    first = first.withColumn("file_path", X.decoded_path(F.col("_file"))).withColumn("path", table_path(F.col("file_path")))
+    first = first.where(X.file_name(F.col("path")).rlike(name_pattern(glob)))
     count = lambda c: F.length(F.regexp_replace("first", f"[^{c}]", ""))
     sep = F.when((count(";") > count(",")) & (count(";") >= count("\t")), ";").when(count("\t") > count(","), "\t").otherwise(",")
-    heads = durable(first.withColumn("separator", sep).withColumn("header", cells_of(F.col("first"), F.col("separator"))).withColumn("path", table_path(F.col("file_path"))))
-    return lines.select("file_path", "value"), heads
+    heads = durable(first.withColumn("separator", sep).withColumn("header", cells_of(F.col("first"), F.col("separator"))))
+    return lines, heads
 
 
 def cells_of(line: Column, separator: Column) -> Column:
     """The trimmed cells of a line, without the quotes around them."""
     plain = F.split(line, separator, -1)
     parts = F.when(F.contains(line, F.lit('"')), F.split(line, F.concat(separator, F.lit(UNQUOTED)), -1)).otherwise(plain)
-    return F.transform(parts, lambda c: F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"))
+    bare = ~F.contains(line, F.lit('"')) & ~F.contains(line, F.lit(" "))
+    return F.when(bare, plain).otherwise(F.transform(parts, lambda c: F.regexp_replace(F.trim(c), '^"(.*)"$', "$1")))
 
 
 def with_headers(lines: DataFrame, heads: DataFrame) -> DataFrame:
     """The rows of the files in ``heads``, with their columns and ``_cells``; a file's lines need not meet in one task."""
-    rows = lines.join(heads, "file_path").where(F.col("value") != F.col("first"))
-    return rows.withColumn("_cells", cells_of(F.col("value"), F.col("separator"))).drop("value")
+    few = F.broadcast(heads) if heads.count() <= MOST_HEADS else heads
+    rows = lines.join(few, "_file").where(F.col("value") != F.col("first"))
+    return rows.withColumn("_cells", cells_of(F.col("value"), F.col("separator"))).drop("value", "_file")
 
 
 def cell(cells: Column, header: Column, name: str) -> Column:
@@ -185,8 +210,8 @@ def value_positions(lines: DataFrame, heads: DataFrame, keys=("source", "target"
     heads = heads.withColumn("_alias", at.cast("int"))
     rows = with_headers(lines, heads.where("_alias is null and _aliases is not null"))
     number = lambda c: c.isNull() | (c == "") | c.try_cast("double").isNotNull()
-    fits = F.transform(F.sequence(F.lit(0), F.size("header") - 1), lambda i: F.struct(i.alias("i"), (~F.get("header", i).isin(*keys) & number(F.get("_cells", i))).alias("ok")))
-    free = rows.select("file_path", F.explode(fits).alias("f")).groupBy("file_path", "f.i").agg(F.bool_and("f.ok").alias("ok"))
+    each = rows.select("file_path", "_cells", F.posexplode("header").alias("i", "_name")).where(~F.col("_name").isin(*keys))
+    free = each.groupBy("file_path", "i").agg(F.bool_and(number(F.get("_cells", "i"))).alias("ok"))
     free = free.where("ok").groupBy("file_path").agg(F.min("i").alias("_free"))
     return heads.join(free, "file_path", "left").withColumn("_at", F.coalesce("_alias", "_free")).drop("_alias", "_free")
 
@@ -205,14 +230,16 @@ def collect_edge_features(spark, root: str, metrics=tuple(EDGE_VALUES)) -> tuple
     for m in metrics:
         aliases = F.when(F.col("_metric") == m, F.array(*map(F.lit, EDGE_VALUES[m][0]))).otherwise(aliases)
         std = F.when(F.col("_metric") == m, EDGE_VALUES[m][1]).otherwise(std)
+    heads = heads.select(
+        "_file", "file_path", "first", "separator", "header", "_metric", "_parts", d["dataset"].alias("dataset"), d["outcome"].alias("outcome"),
+        F.coalesce(d["phase"], n["phase"]).alias("phase"), F.coalesce(d["patient"], n["patient"]).alias("patient"),
+        n["seizure"].alias("seizure"), n["epoch"].alias("epoch"), n["is_avg"].alias("is_avg"))
     ends = F.array_contains("header", "source") & F.array_contains("header", "target") & F.col("_parts").isNotNull()
     heads = durable(value_positions(lines, heads.withColumns({"_aliases": aliases, "_std": std, "_ok": F.coalesce(ends, F.lit(False))})))
     rows = with_headers(lines, heads.where("_ok and _at is not null"))
     end = lambda k: cell(F.col("_cells"), F.col("header"), k).alias(k)
     edges = rows.select(
-        d["dataset"].alias("dataset"), d["outcome"].alias("outcome"), F.coalesce(d["phase"], n["phase"]).alias("phase"),
-        F.coalesce(d["patient"], n["patient"]).alias("patient"), n["seizure"].alias("seizure"), n["epoch"].alias("epoch"),
-        n["is_avg"].alias("is_avg"), end("source"), end("target"), F.col("_std").alias("feature"),
+        "dataset", "outcome", "phase", "patient", "seizure", "epoch", "is_avg", end("source"), end("target"), F.col("_std").alias("feature"),
         F.get("_cells", F.col("_at")).try_cast("double").alias("value"), "file_path",
     )
     return nan_to_null(edges), heads.where("not _ok or _at is null").select("file_path")
@@ -305,10 +332,10 @@ def read_series(spark, root: str, glob="seiz_*_seq_*[0-9].csv") -> DataFrame:
     """Every series file by its own header, comment lines skipped, in long form."""
     lines, heads = csv_rows(spark, root, glob, comment="#")
     rec, seq = X.series_file(X.file_name(F.col("path")))
-    rows = with_headers(lines, heads)
+    rows = with_headers(lines, heads.withColumns({"_rec": rec, "_seq": seq}))
     step = cell(F.col("_cells"), F.col("header"), "t").try_cast("int")
     pairs = F.explode(F.filter(F.arrays_zip(F.col("header").alias("k"), F.col("_cells").alias("v")), lambda x: F.startswith(F.lower(x["k"]), F.lit("node_"))))
-    long = rows.select("file_path", rec.alias("seizure_id"), seq.alias("seq_idx"), step.alias("t"), pairs.alias("_c"))
+    long = rows.select("file_path", F.col("_rec").alias("seizure_id"), F.col("_seq").alias("seq_idx"), step.alias("t"), pairs.alias("_c"))
     idx, name = X.node_column(F.col("_c.k"))
     return nan_to_null(long.select(
         "file_path", "seizure_id", "seq_idx", "t", idx.alias("node_index"), name.alias("electrode_name"), F.col("_c.v").try_cast("double").alias("value")))
@@ -352,7 +379,8 @@ def read_predictions(spark, root: str, kinds: dict[str, str] | None = None, file
     kinds = {"y_score": "double", "is_SOZ": "int", "seq_idx": "int", "node_index": "int", "rank": "int", "fold": "int"} | (kinds or {})
     lines, heads = csv_rows(spark, root, file)
     run, exp = X.experiment_path(F.col("path"))
-    return nan_to_null(csv_lines(lines, heads, kinds, keep=("path",))).withColumns({"run": run, "experiment": exp}).drop("path")
+    return nan_to_null(csv_lines(lines, heads.withColumns({"_run": run, "_exp": exp}), kinds, keep=("_run", "_exp"))).withColumns(
+        {"run": F.col("_run"), "experiment": F.col("_exp")}).drop("_run", "_exp")
 
 
 def selected_epochs(manifest: DataFrame, epochs: DataFrame, keys: list[str], ids="selected_epoch_ids", status="status", epoch="epoch") -> DataFrame:
