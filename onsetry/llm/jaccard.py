@@ -78,7 +78,8 @@ def index_lists(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
 
 
 SKETCH_WORDS = 16  # 64-bit words of a parity sketch
-FOLDED = 4  # words of one that is folded, which is a sketch with fewer classes
+FOLDED = 8  # words of one that is folded, which is a sketch with fewer classes
+BEFORE = 8  # elements before it that an entry of an open list carries along
 
 
 def parity_sketch(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -185,6 +186,23 @@ def prefixes(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
     return stored(short.union(long).select("token", "id", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos")))
 
 
+def with_elements_before(entries: DataFrame) -> DataFrame:
+    """``entries`` (token, id, n, pos, ...) with ``before``: up to ``BEFORE`` elements that precede each in its set."""
+    w = Window.partitionBy("id", "n").orderBy("pos", "token").rowsBetween(-BEFORE, -1)
+    return entries.withColumn("before", F.collect_list("token").over(w))
+
+
+def met_in_lists(entries: DataFrame, near: str) -> DataFrame:
+    """(a, b): pairs of one list and different components for which ``near`` holds.
+
+    Sets that share an element share most of those around it. A pair that already meets at an element which both
+    entries carry in ``before`` is passed over: the sizes are the same there and the positions smaller, so ``near``
+    holds there too, and the pair is never passed over at the first element it shares.
+    """
+    side = lambda x: entries.select("token", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("comp").alias(f"c{x}"), F.col("before").alias(f"e{x}"), F.col("sketch").alias(f"s{x}"))
+    return side("a").join(side("b"), "token").where(f"a > b and ca <> cb and not arrays_overlap(ea, eb) and {near}").select("a", "b")
+
+
 def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id): exact Jaccard links of distinct ``width``-word shingles, as components.
 
@@ -229,12 +247,11 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     )
     open_lists = marked.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
     folded = F.expr(f"transform(sequence(0, {FOLDED - 1}), i -> aggregate(sequence(i, {SKETCH_WORDS - 1}, {FOLDED}), 0L, (x, j) -> x ^ sketch[j]))")
-    marked = stored(marked.join(open_lists, "token").join(about.select("id", F.when(F.col("sketch").isNotNull(), folded).alias("sketch")), "id"))
-    one = marked.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"))
-    two = marked.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"))
-    # the lists carry a quarter of each sketch; ``_linked`` compares the whole ones of the pairs left
-    first = one.join(two, "token").where(f"a > b and ca <> cb and {near} and {_alike(threshold)}")
-    rest = stored(first.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    marked = with_elements_before(marked.join(open_lists, "token"))
+    marked = stored(marked.join(about.select("id", F.when(F.col("sketch").isNotNull(), folded).alias("sketch")), "id"))
+    # the lists carry half of each sketch; ``_linked`` compares the whole ones of the pairs left
+    first = met_in_lists(marked, f"{near} and {_alike(threshold)}")
+    rest = stored(first.distinct().join(tried, ["a", "b"], "left_anti"))
     more = stored(_linked(rest, lean, about, width, threshold))
 
     answers = components(links.union(more))
