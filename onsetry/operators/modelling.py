@@ -195,7 +195,8 @@ def leave_one_out_predictions(df: DataFrame, cols: list[str], exp: Experiment, g
     table = durable(table.join(folds, "patient"))
     chosen = l1_features(table, cols, label, l1_c) if select_on_all and l1_c else None
     fitted = fit_all(table, cols, exp, max(1, min(n, max_fits)), group, label, l1_c=l1_c, selected=chosen, **fit_args)
-    return rank_rows(score(table, fitted).select(*group, *keep, label, "y_score", "fold"), group)
+    # ranking counts its rows first; rows are scored once
+    return rank_rows(durable(score(table, fitted).select(*group, *keep, label, "y_score", "fold")), group)
 
 
 def apply_to_new(df: DataFrame, fitted: Fitted, exp: Experiment, cols: list[str], group=GROUP, label="is_soz",
@@ -205,4 +206,4 @@ def apply_to_new(df: DataFrame, fitted: Fitted, exp: Experiment, cols: list[str]
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("double"))
     rows = prepare(df, cols, exp, group, label).withColumn("fold", F.lit(1))
-    return rank_rows(score(rows, {1: fitted} if fitted else {}).select(*group, *keep, label, "y_score"), group)
+    return rank_rows(durable(score(rows, {1: fitted} if fitted else {}).select(*group, *keep, label, "y_score")), group)

@@ -22,7 +22,7 @@ def _features(spark, d):
 
 
 def _all_features(spark, d):
-    f = _features(spark, d)
+    f = M.durable(_features(spark, d))  # several branches read it; the plans of the later steps start here
     f = f.withColumns({c: F.col(c).cast("double") for c in BASE})
     return M.N.relative_features(f, GROUP, ["node_index", "is_soz", "is_flat_zero"], BASE)
 
