@@ -16,7 +16,7 @@ from conftest import SF
 from onsetry.llm.common import Words, components, gram_hash, sliding_min
 from onsetry.llm.contamination import decontaminate
 from onsetry.llm.html_text import extract, main_text
-from onsetry.llm.jaccard import similar_sets
+from onsetry.llm.jaccard import met_in_lists, prefixes, similar_sets, with_elements_before
 from onsetry.llm.lines import drop_common_lines
 from onsetry.llm.mixing import mix, n_words
 from onsetry.llm.neighbours import near_vectors
@@ -160,6 +160,24 @@ def test_jaccard_join_matches_all_pairs(spark, width, t):
     assert Counter((x["doc_id"], x["component_id"]) for x in none) == Counter([(None, None), (4, 4)])
 
 
+def test_a_pair_meets_in_its_lists_about_once(spark):
+    """Texts of one template that are no links share most of their elements; pairs used to be made once for each."""
+    r, base, texts = random.Random(8), words(200, 31), []
+    for _ in range(40):
+        w = list(base)
+        for at in r.sample(range(len(w)), 3):
+            w[at] = f"y{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    ids, t = list(range(len(texts))), Fraction(4, 5)
+    entries = prefixes(docs(spark, texts).select(F.col("doc_id").cast("long").alias("id"), "text"), 5, t).withColumns({"comp": F.col("id"), "sketch": F.lit(0)})
+    near = "na * 5 >= nb * 4 and nb * 5 >= na * 4 and (pa + pb) * 9 <= na + nb"
+    each = [(x.a, x.b) for x in met_in_lists(entries.withColumn("before", F.array().cast("array<bigint>")), near).collect()]
+    got = [(x.a, x.b) for x in met_in_lists(with_elements_before(entries), near).collect()]
+    assert len(each) > 3 * len(set(each)) and set(got) == set(each) and len(got) < 1.5 * len(set(got))
+    sizes, comp = brute_components(texts, ids, 5, t)
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in similar_sets(docs(spark, texts)).collect()) == list(zip(ids, sizes, comp))
+
+
 # --- 5 line dedup --------------------------------------------------------------------------------------------------
 
 
