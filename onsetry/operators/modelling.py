@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from onsetry.functions.scalars import seeded, seeded_number, sigmoid
 from onsetry.operators import normalize as N
-from onsetry.operators.boosting import Growth, bounded_rows, fit_folds, raw_scores
+from onsetry.operators.boosting import Growth, fit_folds, raw_scores
 from onsetry.operators.grouped import numbered
 from onsetry.operators.lineage import durable
 from onsetry.operators.ranking import GROUP, rank_rows
@@ -140,17 +140,15 @@ def prepare(df: DataFrame, cols: list[str], exp: Experiment, group=GROUP, label=
 
 def fit_all(table: DataFrame, cols: list[str], exp: Experiment, folds: int, group=GROUP, label="is_soz", rounds=None, seed=42,
             l1_c: float | None = None, max_features=None, selected: list[str] | None = None, calibrate=0.1, patient="patient") -> dict[int, Fitted]:
-    """M8-M11 for every fold at once, on prepared rows with a ``fold``; at most ``boosting.MAX_FIT_ROWS`` rows in all.
+    """M8-M11 for every fold at once, on all prepared rows, which have a ``fold``.
 
     Models and shifts, ``folds`` rows, come to the driver.
     """
     rows = N.groups_with_positive(table, group, label) if exp.groups_with_positive_only else table
     rows = rows.withColumns({"_watch": F.abs(F.hash(*group)), "_order": seeded(patient, seed=seed)})
     use = selected or cols
-    # a row is drawn by all it holds, so repeated rows go together
-    drawn = bounded_rows(rows, [*group, *use, label])
     how = exp.growth() if rounds is None else replace(exp.growth(), rounds=rounds)
-    out = durable(fit_folds(drawn, use, how, folds=folds, fold="fold", label=label, watch="_watch", patient=patient, order="_order",
+    out = durable(fit_folds(rows, use, how, folds=folds, fold="fold", label=label, watch="_watch", patient=patient, order="_order",
                             calibrate=calibrate, seed=seed, l1_c=None if selected else l1_c, max_features=max_features))
     shifts = {}
     if calibrate:
